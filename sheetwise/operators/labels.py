@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheetwise.functions.geometry import Box, center_inside
+from sheetwise.operators.review import reason_array
 from sheetwise.operators.spatial import with_cells
 
 MATCH, MISMATCH, UNLABELLED, HELD = "전사 일치", "전사 불일치", "미확정 답 자동 확정 오류", "보류"
@@ -153,9 +154,10 @@ def stage_summary(classified: DataFrame, compared: DataFrame, policy: str) -> Da
         ("total", F.lit("false_correct"), F.col("false_correct")),
         ("total", F.lit("false_incorrect"), F.col("false_incorrect")),
     ))
-    named = rows.select(F.explode(F.array_union(
-        F.transform("reasons", lambda r: F.struct(F.lit("reason").alias("kind"), r.code.alias("name"))),
-        F.transform("reasons", lambda r: F.struct(F.lit("rule").alias("kind"), r.rule.alias("name"))),
+    reasons = reason_array()
+    named = rows.filter("fired <> 0").select(F.explode(F.array_union(
+        F.transform(reasons, lambda r: F.struct(F.lit("reason").alias("kind"), r.code.alias("name"))),
+        F.transform(reasons, lambda r: F.struct(F.lit("rule").alias("kind"), r.rule.alias("name"))),
     )).alias("tag"))
     mixed = (
         classified.filter((F.col("stage") == 0) & F.col("mixed_print")).select("question_id").distinct()

@@ -8,13 +8,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheetwise.functions.messages import reason_message
-from sheetwise.operators.review import reasons_long
+from sheetwise.operators.review import BIT, RULES, reasons_long
 
 
 def policy_summary(reviews: DataFrame) -> DataFrame:
     """Per policy: questions, automatic, held, right, wrong, stated counts and
     count mismatches."""
-    codes = F.transform("reasons", lambda r: r.code)
     return reviews.groupBy("policy").agg(
         F.count(F.lit(1)).alias("questions"),
         F.count_if(F.col("selection").isNotNull()).alias("automatic"),
@@ -22,7 +21,7 @@ def policy_summary(reviews: DataFrame) -> DataFrame:
         F.count_if(F.col("status") == "정답").alias("right_answers"),
         F.count_if(F.col("status") == "오답").alias("wrong_answers"),
         F.count_if(F.col("expected_count").isNotNull()).alias("explicit_count"),
-        F.count_if(F.array_contains(codes, "14")).alias("count_mismatch"),
+        F.count_if(F.col("fired").bitwiseAND(BIT["F12", "14"]) != 0).alias("count_mismatch"),
     )
 
 
@@ -36,7 +35,7 @@ def diff_policies(
     def side(policy: str, suffix: str) -> DataFrame:
         return reviews.filter(F.col("policy") == policy).select(
             *keys, F.col("selection").alias(f"selection_{suffix}"),
-            F.col("reasons").alias(f"reasons_{suffix}"), F.col("status").alias(f"status_{suffix}"),
+            F.col("fired").alias(f"fired_{suffix}"), F.col("status").alias(f"status_{suffix}"),
         )
 
     def exempt(policy: str):
@@ -53,7 +52,7 @@ def diff_policies(
     )
     both = side(a, "a").join(side(b, "b"), keys).join(other_crops, keys, "left")
     selection_differs = ~F.col("selection_a").eqNullSafe(F.col("selection_b"))
-    reasons_differ = ~F.col("reasons_a").eqNullSafe(F.col("reasons_b")) | F.coalesce("other_crops", F.lit(False))
+    reasons_differ = ~F.col("fired_a").eqNullSafe(F.col("fired_b")) | F.coalesce("other_crops", F.lit(False))
     return both.filter(selection_differs | reasons_differ).select(
         *keys, "selection_a", "selection_b", "status_a", "status_b",
         selection_differs.alias("selection_differs"),
@@ -62,10 +61,13 @@ def diff_policies(
 
 def top_hold_reasons(reviews: DataFrame, n: int = 5, scope: Sequence[str] = ()) -> DataFrame:
     """The n most frequent reason codes per policy; a question counts once per code."""
-    codes = reviews.select(
-        "policy", F.explode(F.array_distinct(F.transform("reasons", lambda r: r.code))).alias("code")
+    masks: dict[str, int] = {}
+    for i, (_, code, _) in enumerate(RULES):
+        masks[code] = masks.get(code, 0) | 1 << i
+    counted = reviews.groupBy("policy").agg(
+        *(F.count_if(F.col("fired").bitwiseAND(mask) != 0).alias(code) for code, mask in masks.items())
     )
-    counts = codes.groupBy("policy", "code").agg(F.count(F.lit(1)).alias("questions"))
+    counts = counted.unpivot("policy", list(masks), "code", "questions").filter("questions > 0")
     order = Window.partitionBy("policy").orderBy(F.desc("questions"), "code")
     return (
         counts.withColumn("place", F.row_number().over(order))
@@ -140,8 +142,8 @@ def view_filter(reviews: DataFrame, baseline: DataFrame, view: str, scope: Seque
         return reviews.filter(F.col("expected_count").isNotNull())
     if view == "changed":
         keys = [*scope, "question_id"]
-        before = baseline.select(*keys, F.col("selection").alias("s0"), F.col("reasons").alias("r0"))
-        same = F.col("selection").eqNullSafe(F.col("s0")) & F.col("reasons").eqNullSafe(F.col("r0"))
+        before = baseline.select(*keys, F.col("selection").alias("s0"), F.col("fired").alias("r0"))
+        same = F.col("selection").eqNullSafe(F.col("s0")) & F.col("fired").eqNullSafe(F.col("r0"))
         return reviews.join(before, keys).filter(~same).drop("s0", "r0")
     raise ValueError(f"unknown view {view}")
 

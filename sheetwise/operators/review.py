@@ -19,16 +19,40 @@ from sheetwise.functions.gates import aligned, classify
 from sheetwise.functions.messages import key_count_message, reason_message, resolution_reason
 from sheetwise.operators.spatial import BOX, overlap_counts
 
-# The hold outcomes of a crop, in (stage, code) order.
-HOLD_OUTCOMES = [
-    (1, "2"), (1, "9"), (2, "5"), (2, "6"), (2, "not_executed"), (2, "score_missing"),
-    (3, "11"), (3, "15"), (3, "7"), (3, "8"), (3, "route_unknown"),
-]
 POLICIES = ("duplicate", "broad")
-REASON_TYPE = "array<struct<seq:int,stage:int,code:string,rule:string,message:string>>"
 
-_FACTS = ["ownership", "annotated", "conflict"] + [f"held_{code}" for _, code in HOLD_OUTCOMES]
-_BIT = {name: 1 << i for i, name in enumerate(_FACTS)}
+# The hold rules in reason order as (stage, code, rule). A review
+# carries the rules that fired as one bit mask, bit seq-1 for the seq-th rule.
+RULES = [
+    (1, "2", "D12"),
+    (3, "15", "page_ownership"),
+    (3, "11", "F10"),
+    (4, "10", "F06"),
+    (4, "10", "F06(re-read)"),
+    (4, "14", "F12"),
+    (3, "6", "F08(b)"),
+    (3, "7", "F08(b)"),
+    (1, "2", "no_candidate"),
+    (1, "9", "no_candidate"),
+    (2, "5", "no_candidate"),
+    (2, "6", "no_candidate"),
+    (2, "not_executed", "no_candidate"),
+    (2, "score_missing", "no_candidate"),
+    (3, "11", "no_candidate"),
+    (3, "15", "no_candidate"),
+    (3, "7", "no_candidate"),
+    (3, "8", "no_candidate"),
+    (3, "route_unknown", "no_candidate"),
+    (1, "2", "no_crop"),
+    (None, "12", "G03"),
+    (4, "16", "F12(key-count)"),
+    (1, "17", "scan_resolution"),
+]
+BIT = {(rule, code): 1 << i for i, (_, code, rule) in enumerate(RULES)}
+NO_CANDIDATE = sum(bit for (rule, _), bit in BIT.items() if rule == "no_candidate")
+BLOCK6, BLOCK7 = BIT["F08(b)", "6"], BIT["F08(b)", "7"]
+OWNERSHIP = BIT["page_ownership", "15"]
+FROM_CROPS = OWNERSHIP | BIT["F10", "11"] | BIT["F06(re-read)", "10"]
 
 
 def classify_crops(crops: DataFrame) -> DataFrame:
@@ -105,54 +129,36 @@ def question_facts(
     policies: Sequence[str],
     scope: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per question with crops: candidate masks and fact bits.
-
-    ``block6_<policy>`` / ``block7_<policy>`` tell whether a crop of that reason
-    still competes with a candidate under the policy ("none" exempts nothing).
-    """
+    """One row per question with crops: row count, lowest and highest candidate
+    mask, rule bits its crops can raise, and per policy the F08(b) bits
+    (``block_<policy>``) that remain ("none" exempts nothing)."""
     keys = [*scope, "question_id"]
-    is_candidate = F.col("stage") == 0
     bits = (
-        F.when(F.col("ownership_review") & (F.col("stage") != 1), _BIT["ownership"]).otherwise(0)
-        + F.when(F.col("semantic_annotation").isNotNull(), _BIT["annotated"]).otherwise(0)
-        + F.when(F.col("reread_conflict"), _BIT["conflict"]).otherwise(0)
+        F.when(F.col("ownership_review") & (F.col("stage") != 1), OWNERSHIP).otherwise(0)
+        .bitwiseOR(F.when(F.col("semantic_annotation").isNotNull(), BIT["F10", "11"]).otherwise(0))
+        .bitwiseOR(F.when(F.col("reread_conflict"), BIT["F06(re-read)", "10"]).otherwise(0))
     )
     held = F.lit(0)
-    for _, code in reversed(HOLD_OUTCOMES):
-        held = F.when(F.col("reason") == code, _BIT[f"held_{code}"]).otherwise(held)
+    for (rule, code), bit in BIT.items():
+        if rule == "no_candidate":
+            held = F.when(F.col("reason") == code, bit).otherwise(held)
+    zero = F.lit(0)
     from_crops = classified.select(
-        *keys,
-        F.lit(1).alias("n"),
-        F.when(is_candidate, F.col("choice")).alias("choice"),
-        (bits + held).alias("bits"),
-        F.lit(0).alias("blocks"),
+        *keys, F.lit(1).alias("n"), "choice", bits.bitwiseOR(held).alias("bits"),
+        *(zero.alias(f"block_{p}") for p in policies),
     )
-    blocks = F.lit(0)
-    for i, policy in enumerate(policies):
-        exempt = F.lit(False) if policy == "none" else F.col(f"exempt_{policy}")
-        bit = F.when(F.col("reason") == "6", 1 << (2 * i)).otherwise(1 << (2 * i + 1))
-        blocks = blocks + F.when(exempt, 0).otherwise(bit)
+    competes = F.when(F.col("reason") == "6", BLOCK6).otherwise(BLOCK7)
     from_blockers = blockers.select(
-        *keys, F.lit(0).alias("n"), F.lit(None).cast("int").alias("choice"),
-        F.lit(0).alias("bits"), blocks.alias("blocks"),
+        *keys, zero.alias("n"), F.lit(None).cast("int").alias("choice"), zero.alias("bits"),
+        *(
+            (competes if p == "none" else F.when(~F.col(f"exempt_{p}"), competes).otherwise(0)).alias(f"block_{p}")
+            for p in policies
+        ),
     )
-    facts = from_crops.unionByName(from_blockers).groupBy(*keys).agg(
-        F.sum("n").alias("n_crops"),
-        F.min("choice").alias("low"),
-        F.max("choice").alias("high"),
-        F.bit_or("bits").alias("bits"),
-        F.bit_or("blocks").alias("blocks"),
+    return from_crops.unionByName(from_blockers).groupBy(*keys).agg(
+        F.sum("n").alias("n_crops"), F.min("choice").alias("low"), F.max("choice").alias("high"),
+        F.bit_or("bits").alias("bits"), *(F.bit_or(f"block_{p}").alias(f"block_{p}") for p in policies),
     )
-    for i, policy in enumerate(policies):
-        facts = facts.withColumn(f"block6_{policy}", F.col("blocks").bitwiseAND(1 << (2 * i)) != 0)
-        facts = facts.withColumn(
-            f"block7_{policy}", F.col("blocks").bitwiseAND(1 << (2 * i + 1)) != 0
-        )
-    return facts.drop("blocks")
-
-
-def has_fact(name: str) -> Column:
-    return F.coalesce(F.col("bits"), F.lit(0)).bitwiseAND(_BIT[name]) != 0
 
 
 def key_columns(questions: DataFrame) -> DataFrame:
@@ -168,68 +174,40 @@ def page_gates(pages: DataFrame) -> DataFrame:
     ).withColumn("resolution", resolution_reason(F.col("scan_short_side")))
 
 
-def reason_list(block6: Column, block7: Column) -> Column:
-    """Ordered hold reasons of a question row that carries the fact columns."""
-    ok = F.coalesce(F.col("page_ok"), F.lit(False))
-    proposed, key, expected = F.col("proposed"), F.col("key"), F.col("expected_count")
-    several = F.col("low") != F.col("high")
-    count_differs = expected.isNotNull() & proposed.isNotNull() & (mask_size(proposed) != expected)
-    no_candidate = ok & F.col("low").isNull()
-    rules: list[tuple[Column, int | None, str, str, Column | None]] = [
-        (~ok, 1, "2", "D12", None),
-        (ok & has_fact("ownership"), 3, "15", "page_ownership", None),
-        (ok & has_fact("annotated"), 3, "11", "F10", None),
-        (ok & several, 4, "10", "F06", None),
-        (ok & has_fact("conflict"), 4, "10", "F06(re-read)", None),
-        (ok & count_differs, 4, "14", "F12", None),
-        (ok & proposed.isNotNull() & block6, 3, "6", "F08(b)", None),
-        (ok & proposed.isNotNull() & block7, 3, "7", "F08(b)", None),
-    ]
-    for stage, code in HOLD_OUTCOMES:
-        found = no_candidate & has_fact(f"held_{code}")
-        if code == "15":
-            found = found & ~has_fact("ownership")
-        rules.append((found, stage, code, "no_candidate", None))
-    rules += [
-        (no_candidate & (F.coalesce("n_crops", F.lit(0)) == 0), 1, "2", "no_crop", None),
-        (key.isNull(), None, "12", "G03", None),
-        (
-            ok & proposed.isNotNull() & (mask_size(key) >= 2)
-            & (mask_size(proposed) != mask_size(key)),
-            4, "16", "F12(key-count)", key_count_message(mask_size(key)),
-        ),
-        (F.col("resolution").isNotNull(), 1, "17", "scan_resolution", F.col("resolution")),
-    ]
-    items = [
-        F.when(
-            F.coalesce(condition, F.lit(False)),
-            F.struct(
-                F.lit(seq).alias("seq"), F.lit(stage).cast("int").alias("stage"),
-                F.lit(code).alias("code"), F.lit(rule).alias("rule"),
-                (F.lit(None).cast("string") if message is None else message).alias("message"),
-            ),
-        )
-        for seq, (condition, stage, code, rule, message) in enumerate(rules, 1)
-    ]
-    return F.array_compact(F.array(*items)).cast(REASON_TYPE)
+def fired_rules(block: Column) -> Column:
+    """Mask of the rules that hold a question row; ``block`` is its F08(b) bits."""
+    bit = lambda rule, code: BIT[rule, code]
+    return F.expr(f"""
+        IF(page_ok,
+           (bits & {FROM_CROPS})
+           | IF(low <> high, {bit("F06", "10")}, 0)
+           | IF(proposed IS NOT NULL AND expected_count IS NOT NULL AND bit_count(proposed) <> expected_count,
+                {bit("F12", "14")}, 0)
+           | IF(low IS NULL, bits & IF(bits & {OWNERSHIP} <> 0, {NO_CANDIDATE & ~bit("no_candidate", "15")}, {NO_CANDIDATE}), 0)
+           | IF(n_crops = 0, {bit("no_crop", "2")}, 0)
+           | IF(proposed IS NOT NULL AND bit_count(key) >= 2 AND bit_count(proposed) <> bit_count(key),
+                {bit("F12(key-count)", "16")}, 0),
+           {bit("D12", "2")})
+        | IF(key IS NULL, {bit("G03", "12")}, 0)
+        | IF(resolution IS NOT NULL, {bit("scan_resolution", "17")}, 0)
+    """).bitwiseOR(F.when(F.expr("page_ok AND proposed IS NOT NULL"), block).otherwise(0))
+
+
+def stage_of(fired: Column) -> Column:
+    """Furthest stage among fired rules: 0 without any, null with stage-less ones only."""
+    result = F.when(fired == 0, 0)
+    for stage in (4, 3, 2, 1):
+        mask = sum(1 << i for i, rule in enumerate(RULES) if rule[0] == stage)
+        result = result.when(fired.bitwiseAND(mask) != 0, stage)
+    return result
 
 
 def settle(reviewed: DataFrame) -> DataFrame:
-    """Selection, stage and status from the reason list."""
-    held = F.size("reasons") > 0
-    selection = F.when(~held, F.col("proposed"))
+    """Selection, stage and status from the fired rules."""
     return (
-        reviewed.withColumn("selection", selection)
-        .withColumn(
-            "stage",
-            F.when(~held, F.lit(0)).otherwise(F.array_max(F.transform("reasons", lambda r: r.stage))),
-        )
-        .withColumn(
-            "status",
-            F.when(held, F.lit("보류"))
-            .when(F.col("selection").eqNullSafe(F.col("key")), F.lit("정답"))
-            .otherwise(F.lit("오답")),
-        )
+        reviewed.withColumn("selection", F.expr("IF(fired = 0, proposed, NULL)"))
+        .withColumn("stage", stage_of(F.col("fired")))
+        .withColumn("status", F.expr("CASE WHEN fired <> 0 THEN '보류' WHEN proposed <=> key THEN '정답' ELSE '오답' END"))
     )
 
 
@@ -243,10 +221,17 @@ def join_question_facts(
     return (
         wanted.join(facts, [*scope, "question_id"], "left")
         .join(gates, [*scope, "page"], "left")
-        .withColumn("proposed", F.when(F.col("low") == F.col("high"), F.col("low")))
+        .na.fill(0, ["n_crops", "bits"]).na.fill(False, ["page_ok"])
+        .withColumn("proposed", F.expr("IF(low = high, low, NULL)"))
     )
 
 
+REVIEW_COLUMNS = (
+    "question_id", "page", "proposed", "selection", "fired", "stage", "key", "status",
+    "expected_count", "resolution",
+)
+
+
 def question_review(
     classified: DataFrame,
     questions: DataFrame,
@@ -256,40 +241,43 @@ def question_review(
     policies: Sequence[str] = ("none",),
     scope: Sequence[str] = (),
 ) -> DataFrame:
-    """Reviews per (policy, question): proposed and selected masks, ordered
-    reasons, stage, key and status. All policies come from one aggregation."""
+    """Reviews per (policy, question): proposed and selected masks, fired rules,
+    stage, key and status. All policies come from one aggregation."""
     if blockers is None:
         blockers = f08_blockers(classified, scope=scope)
     facts = question_facts(classified, blockers, policies, scope)
-    rows = join_question_facts(facts, questions, pages, scope)
-    per_policy = F.explode(
-        F.array(
-            *(
-                F.struct(
-                    F.lit(p).alias("policy"),
-                    F.coalesce(f"block6_{p}", F.lit(False)).alias("block6"),
-                    F.coalesce(f"block7_{p}", F.lit(False)).alias("block7"),
-                )
-                for p in policies
-            )
-        )
+    under = ", ".join(f"'{p}', coalesce(block_{p}, 0)" for p in policies)
+    rows = join_question_facts(facts, questions, pages, scope).selectExpr(
+        *scope, "question_id", "page", "key", "expected_count", "n_crops", "low", "high", "bits",
+        "page_ok", "resolution", "proposed", f"stack({len(policies)}, {under}) AS (policy, block)",
     )
-    rows = rows.withColumn("under", per_policy)
-    rows = rows.withColumn("reasons", reason_list(F.col("under.block6"), F.col("under.block7")))
-    return settle(rows).select(
-        F.col("under.policy").alias("policy"), *scope, "question_id", "page", "proposed",
-        "selection", "reasons", "stage", "key", "status", "expected_count",
+    return settle(rows.withColumn("fired", fired_rules(F.col("block")))).select(
+        "policy", *scope, *REVIEW_COLUMNS
     )
 
 
+_RULE_ARRAY = "array({})".format(", ".join(
+    f"named_struct('seq', {i}, 'stage', {'CAST(NULL AS INT)' if stage is None else stage}, "
+    f"'code', '{code}', 'rule', '{rule}')"
+    for i, (stage, code, rule) in enumerate(RULES, 1)
+))
+
+
+def reason_array(fired: str = "fired") -> Column:
+    """Ordered array of (seq, stage, code, rule) structs behind a fired mask."""
+    return F.expr(f"filter({_RULE_ARRAY}, r -> shiftright({fired}, r.seq - 1) & 1 = 1)")
+
+
 def reasons_long(reviews: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """One row per reason, with the text shown for it."""
-    return reviews.select(
-        "policy", *scope, "question_id", F.explode("reasons").alias("reason")
-    ).select(
-        "policy", *scope, "question_id", "reason.seq", "reason.stage", "reason.code",
-        "reason.rule",
-        F.coalesce("reason.message", reason_message(F.col("reason.code"))).alias("message"),
+    own = F.when(F.col("code") == "16", key_count_message(mask_size(F.col("key")))).when(
+        F.col("code") == "17", F.col("resolution")
+    )
+    return (
+        reviews.filter("fired <> 0")
+        .select("policy", *scope, "question_id", "key", "resolution", F.inline(reason_array()))
+        .withColumn("message", F.coalesce(own, reason_message(F.col("code"))))
+        .drop("key", "resolution")
     )
 
 

@@ -76,7 +76,7 @@ def _roi_buckets(t):
     labels = t.fx_questions.select(
         "question_id", F.when(c("question_id") % 37 == 0, F.lit("do_not_know")).otherwise(F.lit("answered")).alias("answer_status")
     )
-    conflicts = g.reviews("none").select("question_id", F.explode("reasons").alias("r")).filter("r.rule = 'F06'")
+    conflicts = g.reviews("none").filter(c("fired").bitwiseAND(rev.BIT["F06", "10"]) != 0)
     return lab.roi_buckets(near, previous, labels, conflicts)
 
 
@@ -86,7 +86,7 @@ def _reproduce(t):
         "status", F.when(c("question_id") % 101 == 0, F.lit("정답")).otherwise(c("status"))
     ).filter("question_id % 211 <> 5")
     return pol.differences(
-        g.reviews("duplicate"), stored, ["policy", "question_id"], ["proposed", "selection", "reasons", "stage", "key", "status"]
+        g.reviews("duplicate"), stored, ["policy", "question_id"], ["proposed", "selection", "fired", "stage", "key", "status"]
     )
 
 

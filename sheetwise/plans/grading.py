@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheetwise.functions.answers import answer_string, single_mask
 from sheetwise.operators.review import (
-    classify_crops, f08_blockers, question_review,
+    classify_crops, f08_blockers, question_review, reason_array,
 )
 from sheetwise.plans.fixtures import Tables
 
@@ -26,16 +27,24 @@ def ring_duplicates(crops: DataFrame) -> DataFrame:
 
 
 class Graded:
-    """Lazily built tables of one grading run over the recorded owners."""
+    """Lazily built tables of one grading run over the recorded owners.
+
+    The classified crops feed the fact, blocker and candidate branches of every
+    review. They are kept (memory, then local disk) instead of being scanned and
+    parsed once per branch; a lost executor's blocks are rebuilt from lineage.
+    """
 
     def __init__(self, t: Tables):
         self.t = t
-        self.classified = classify_crops(t.fx_crops)
-        self.blockers = f08_blockers(self.classified, ring_duplicates(t.fx_crops))
+        self.classified = classify_crops(t.fx_crops).persist(StorageLevel.MEMORY_AND_DISK)
+        self.blockers = f08_blockers(self.classified, ring_duplicates(self.classified))
         self.labels = t.fx_questions.select(
             "question_id", single_mask(F.col("label_answer")).alias("expected")
         )
 
+    def release(self) -> None:
+        self.classified.unpersist()
+
     def reviews(self, *policies: str) -> DataFrame:
         return question_review(
             self.classified, self.t.fx_questions, self.t.fx_pages,
@@ -49,7 +58,7 @@ def review_view(reviews: DataFrame) -> DataFrame:
         "policy", "question_id", "page",
         F.coalesce(answer_string(F.col("proposed")), F.lit("")).alias("proposed"),
         F.coalesce(answer_string(F.col("selection")), F.lit("")).alias("selection"),
-        F.array_join(F.transform("reasons", lambda r: r.code), ",").alias("codes"),
-        F.array_join(F.transform("reasons", lambda r: r.rule), ",").alias("rules"),
+        F.array_join(reason_array().code, ",").alias("codes"),
+        F.array_join(reason_array().rule, ",").alias("rules"),
         F.coalesce(F.col("stage").cast("string"), F.lit("")).alias("stage"), "status",
     )

@@ -27,6 +27,8 @@ def local_session(cpus: str = "8", memory: str = "16g") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", cpus)
+        .config("spark.sql.codegen.cache.maxEntries", "2000")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for name, value in RUNTIME.items():
         builder = builder.config(name, value)
