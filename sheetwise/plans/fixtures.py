@@ -68,6 +68,11 @@ FROM fx_crops c CROSS JOIN (
   SELECT 'C', 3, 1, 16 UNION ALL SELECT 'C', 3, 2, 24 UNION ALL SELECT 'D1', 4, 1, 16 UNION ALL SELECT 'D1', 4, 2, 24 UNION ALL
   SELECT 'D2', 5, 1, 16 UNION ALL SELECT 'D2', 5, 2, 24) v
 WHERE c.txt IN ('0', '③', '①④') AND c.score < 0.8 AND NOT isnan(c.score)""",
+    "fx_page_crops": """
+SELECT c.crop_id, c.page, c.txt, c.score, c.route, c.is_empty, c.answer_excluded, c.ocr_executed, c.semantic_annotation, c.reread_conflict,
+       c.ownership_review AS retry_ownership_review, c.has_ring, c.ring_only_answer, c.crop_no,
+       c.xl - CASE WHEN c.crop_id % 97 = 0 THEN 2000 ELSE 0 END AS xl, c.yt, c.xr - CASE WHEN c.crop_id % 97 = 0 THEN 2000 ELSE 0 END AS xr, c.yb
+FROM fx_crops c""",
     "fx_stats": """
 SELECT c.crop_id, c.question_id, c.page, c.is_empty, c.answer_excluded,
        CAST(c.crop_id % 50 AS DOUBLE) / 100 AS print_overlap, CAST((c.crop_id * 7) % 30 AS INT) AS largest_residual,

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheetwise.functions.answers import answer_string, single_mask
+from sheetwise.operators import ownership as own
 from sheetwise.operators.review import (
     classify_crops, f08_blockers, question_review, reason_array,
 )
@@ -62,3 +63,29 @@ def review_view(reviews: DataFrame) -> DataFrame:
         F.array_join(reason_array().rule, ",").alias("rules"),
         F.coalesce(F.col("stage").cast("string"), F.lit("")).alias("stage"), "status",
     )
+
+
+def ownership_tables(t: Tables, minimum: float | None = 0.7):
+    """(zones, associations, enclosed owners, assigned rows) from geometry."""
+    heights = t.fx_pages.select("page", (F.lit(1800) + F.col("page") % 3).alias("height"))
+    zones = own.extend_column_bottoms(
+        t.fx_questions.select("question_id", "page", "zl", "zt", "zr", "zb"), heights
+    )
+    associated = own.associate(own.anchor_columns(t.fx_page_crops), zones, minimum).persist(
+        StorageLevel.MEMORY_AND_DISK
+    )
+    changed = own.enclosing_assignments(associated)
+    return zones, associated, changed, own.assign(associated, changed)
+
+
+def owned_reviews(t: Tables, policies=("duplicate",)) -> DataFrame:
+    """Grade on the owner computed from geometry: associate, enclose, assign,
+    classify, review. Ownership comes first because it sets ownership_review."""
+    _, _, _, assigned = ownership_tables(t)
+    classified = classify_crops(assigned.filter("question_id IS NOT NULL")).persist(
+        StorageLevel.MEMORY_AND_DISK
+    )
+    blockers = f08_blockers(classified, ring_duplicates(t.fx_crops))
+    return question_review(
+        classified, t.fx_questions, t.fx_pages, blockers=blockers, policies=policies
+    )
