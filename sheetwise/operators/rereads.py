@@ -148,8 +148,8 @@ def reconcile_count(current: DataFrame, extra: DataFrame, scope: Sequence[str] =
     more = extra.select(*keys, F.col("txt").alias("new_txt"), F.col("score").alias("new_score"))
     rows = current.join(more, keys)
     old, new = F.col("old_choice"), F.col("new_choice")
-    rows = rows.withColumn("old_choice", _accepted("txt", "score")).withColumn(
-        "new_choice", _accepted("new_txt", "new_score")
+    rows = rows.withColumn("old_choice", _accepted(F.col("txt"), F.col("score"))).withColumn(
+        "new_choice", _accepted(F.col("new_txt"), F.col("new_score"))
     )
     conflict = old.isNotNull() & new.isNotNull() & (old != new)
     adopted = old.isNull() & new.isNotNull()
@@ -161,12 +161,12 @@ def reconcile_count(current: DataFrame, extra: DataFrame, scope: Sequence[str] =
     )
 
 
-def _accepted(text: str, score: str) -> Column:
-    """Answer mask of a reading that passes every gate, else null."""
-    choice = student_choices(F.col(text))
+def _accepted(text: Column, score: Column) -> Column:
+    """Answer mask of a reading that passes every gate of its crop, else null."""
+    choice = student_choices(text)
     gate = classify(
         empty=F.col("is_empty"), excluded=F.col("answer_excluded"), executed=F.col("ocr_executed"),
-        text=F.col(text), score=F.col(score), annotation=F.col("semantic_annotation"),
+        text=text, score=score, annotation=F.col("semantic_annotation"),
         route=F.col("route"), choice=choice, ownership=F.col("ownership_review"),
     )
     return F.when(gate.reason == "candidate", choice)
@@ -181,7 +181,7 @@ def reconcile_shape(rows: DataFrame, allow_consensus: bool) -> DataFrame:
     parameters in order with one digit at or above .8.
     """
     rows = rows.withColumn("before", student_choices(F.col("txt"))).withColumn(
-        "after", _accepted("new_txt", "new_score")
+        "after", _accepted(F.col("new_txt"), F.col("new_score"))
     )
     digit = to_digit(F.col("new_txt"))
     differs = F.col("before").isNotNull() & (F.col("before") != F.col("after"))
@@ -259,8 +259,9 @@ def cascade(rows: DataFrame) -> DataFrame:
     digit = to_digit(F.col("s_peel.picked.txt"))
     weak = digit.isNull() | ~F.coalesce(F.col("s_peel.picked.score") >= 0.8, F.lit(False))
     original = to_digit(F.col("txt"))
-    conflict = student_choices(F.col("txt")).isNotNull() & (
-        student_choices(F.col("txt")) != student_choices(F.col("s_peel.picked.txt"))
+    conflict = F.coalesce(
+        student_choices(F.col("txt")) != _accepted(F.col("s_peel.picked.txt"), F.col("s_peel.picked.score")),
+        F.lit(False),
     )
     confirm = peel & ~weak & conflict & original.isNotNull() & F.coalesce(F.col("score") < 0.8, F.lit(False))
     return (
@@ -402,8 +403,10 @@ def retry_ownership(supports: DataFrame, owners: DataFrame, previous: DataFrame,
     state = owners.groupBy(*keys).agg(F.max("status").alias("status"))
     return (
         supports.select(*keys).join(state, keys, "left").join(links, keys, "left")
-        .select(*keys, ~((F.col("status") == "assigned") & F.coalesce("same_owner", F.lit(False))).alias("ownership_review"))
-        .withColumn("ownership_review", F.coalesce("ownership_review", F.lit(True)))
+        .select(
+            *keys,
+            (~(F.col("status").eqNullSafe("assigned") & F.coalesce("same_owner", F.lit(False)))).alias("ownership_review"),
+        )
     )
 
 

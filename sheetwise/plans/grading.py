@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from sheetwise.functions.answers import answer_string, single_mask
 from sheetwise.operators import ownership as own
+from sheetwise.operators.evidence import Agreement
+from sheetwise.operators.rereads import all_readings, numeric_readings
 from sheetwise.operators.review import (
     classify_crops, f08_blockers, question_review, reason_array,
 )
@@ -89,3 +91,12 @@ def owned_reviews(t: Tables, policies=("duplicate",)) -> DataFrame:
     return question_review(
         classified, t.fx_questions, t.fx_pages, blockers=blockers, policies=policies
     )
+
+
+def agreement_tables(t: Tables, policies=("duplicate", "broad")) -> Agreement:
+    """Two-evidence run over the recorded owners."""
+    g = Graded(t)
+    numeric = numeric_readings(all_readings(t.fx_crops, t.fx_readings))
+    return Agreement(
+        g.reviews(*policies), g.classified, g.blockers, numeric, t.fx_marks, t.fx_questions, t.fx_pages, policies
+    )
