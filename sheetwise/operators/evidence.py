@@ -8,7 +8,7 @@ bit arithmetic on question rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -203,18 +203,25 @@ def _open_blocks(blockers: DataFrame, flags: DataFrame, policies: Sequence[str],
 
 
 class Agreement:
-    """Tables of one two-evidence run over a set of reviews."""
+    """Tables of one two-evidence run over a set of reviews.
+
+    ``keep`` may store a step's table (see session.materialise); later steps read
+    each of these tables several times.
+    """
 
     def __init__(
         self, reviews: DataFrame, classified: DataFrame, blockers: DataFrame, numeric: DataFrame, marks: DataFrame,
         questions: DataFrame, pages: DataFrame, policies: Sequence[str] = ("duplicate", "broad"), scope: Sequence[str] = (),
+        keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df,
     ):
         keys = [*scope, "question_id"]
         numbers = printed_numbers(marks, scope)
-        touched = touched_symbols(classified, numbers, scope)
-        self.decided = first_decisions(reviews, numbers, gather_evidence(touched, numeric, scope), scope)
+        touched = keep(touched_symbols(classified, numbers, scope), "touched")
+        self.decided = keep(
+            first_decisions(reviews, numbers, gather_evidence(touched, numeric, scope), scope), "decided"
+        )
         cases = open_cases(self.decided, scope)
-        self.updated = promote(touched, cases, scope)
+        self.updated = keep(promote(touched, cases, scope), "updated")
         flags = self.updated.select(
             *keys, "crop_id", "touch", "wanted", "cand_id", "is_empty", "ring_only_answer", *BOX, *(f"c_{b}" for b in BOX)
         )
@@ -223,7 +230,9 @@ class Agreement:
         passes = [f"exempt_{p}" for p in policies]
         earlier = blockers.select(*keys, "crop_id", *passes)
         fresh = f08_blockers(self.updated, scope=scope).drop(*passes)
-        self.trial_blockers = fresh.join(earlier, [*keys, "crop_id"], "left").na.fill(False, passes)
+        self.trial_blockers = keep(
+            fresh.join(earlier, [*keys, "crop_id"], "left").na.fill(False, passes), "trial-blockers"
+        )
         facts = question_facts(self.updated, self.trial_blockers, policies, scope)
         per_policy = ", ".join(f"'{p}', coalesce(block_{p}, 0)" for p in policies)
         trial = join_question_facts(
@@ -232,7 +241,7 @@ class Agreement:
             *keys, "key", "expected_count", "n_crops", "low", "high", "bits", "page_ok", "resolution", "proposed", "page",
             f"stack({len(policies)}, {per_policy}) AS (policy, block)",
         )
-        self.trial = settle(trial.withColumn("fired", fired_rules(F.col("block"))))
+        self.trial = keep(settle(trial.withColumn("fired", fired_rules(F.col("block")))), "trial")
 
         def opened(table: DataFrame, name: str) -> DataFrame:
             pairs = ", ".join(f"'{p}', open_{p}" for p in policies)

@@ -274,31 +274,38 @@ def cascade(rows: DataFrame) -> DataFrame:
     )
 
 
-def apply_stage(rows: DataFrame, stage: str, due: Column, *, confirmation: bool = False) -> DataFrame:
-    """One stage over the current readings: reconcile where it was stable, record
-    a failed consensus where it was not, leave other crops alone.
+def apply_stage(rows: DataFrame, due: dict[str, Column], *, confirmation: bool = False) -> DataFrame:
+    """One step of the chain over the current readings. ``due`` gives stages that
+    exclude each other once stable (a stable one ends the chain): the stable one is
+    reconciled, the others are recorded as failed, other crops stay as they are.
 
-    The state of a crop is (txt, score, conflict_old, conflict_new, trace); only
-    the narrow state passes to the next stage.
+    The state of a crop is (txt, score, conflict_old, conflict_new, trace).
     """
-    method, params, _ = STAGES[stage]
-    result = F.col(f"s_{stage}")
+    stable = {s: F.coalesce(F.col(f"s_{s}.stable"), F.lit(False)) for s in due}
     if confirmation:
-        new = F.col("s_peel.picked")
-        proof_ok, proof_digit = F.coalesce(result["stable"], F.lit(False)), to_digit(result["picked"]["txt"])
-        method = "enclosure"
-        stable = F.lit(True)
+        # The peel result is looked at again, now with the confirming readings.
+        (stage,) = due
+        new, ready = F.col("s_peel.picked"), due[stage]
+        method, proof_ok, digit = F.lit("enclosure"), stable[stage], to_digit(F.col(f"s_{stage}.picked.txt"))
+        label = {stage: f"{stage}+"}
+        stable[stage] = F.lit(True)
     else:
-        new, stable = result["picked"], F.coalesce(result["stable"], F.lit(False))
+        ready = F.lit(False)
+        for stage, wanted in due.items():
+            ready = ready | (wanted & stable[stage])
+        pick = lambda value: F.coalesce(*(F.when(due[s] & stable[s], value(s)) for s in due))
+        new = pick(lambda s: F.col(f"s_{s}.picked"))
+        method = pick(lambda s: F.lit(STAGES[s][0]))
         # Peel proves nothing by itself; the fixed-parameter stages do.
-        proof_ok = F.lit(False) if params is None else stable
-        proof_digit = to_digit(result["picked"]["txt"])
+        proof_ok, digit = pick(lambda s: F.lit(STAGES[s][1] is not None)), to_digit(F.col("new.txt"))
+        label = {s: s for s in due}
     state = ["txt", "score", "conflict_old", "conflict_new", "trace"]
     kept = [name for name in rows.columns if name not in state]
     prepared = (
-        rows.withColumn("due", due).withColumn("new_txt", new["txt"]).withColumn("new_score", new["score"])
-        .withColumn("method", F.lit(method)).withColumn("proof_ok", proof_ok)
-        .withColumn("proof_digit", proof_digit).withColumn("ready", F.col("due") & stable)
+        rows.withColumn("new", new).withColumn("ready", ready).withColumn("method", method)
+        .withColumn("proof_ok", proof_ok)
+        .withColumn("new_txt", F.col("new.txt")).withColumn("new_score", F.col("new.score"))
+        .withColumn("proof_digit", digit)
         .withColumn("before_state", F.struct("txt", "score", "conflict_old", "conflict_new"))
     )
     done = reconcile_shape(prepared, allow_consensus=True)
@@ -306,13 +313,15 @@ def apply_stage(rows: DataFrame, stage: str, due: Column, *, confirmation: bool
     def now(name: str) -> Column:
         return F.when(F.col("ready"), F.col(name)).otherwise(F.col(f"before_state.{name}")).alias(name)
 
-    tag = f"{stage}+" if confirmation else stage
-    step = F.when(F.col("ready"), F.concat(F.lit(f"{tag}:"), F.col("status"))).when(
-        F.col("due"), F.lit(f"{tag}:fixed_consensus_failed")
-    )
-    return done.select(
-        *kept, *(now(name) for name in state[:-1]), F.concat_ws(">", "trace", step).alias("trace")
-    )
+    steps = [
+        F.when(
+            wanted,
+            F.concat(F.lit(f"{label[s]}:"), F.when(stable[s], F.col("status")).otherwise(F.lit("fixed_consensus_failed"))),
+        )
+        for s, wanted in due.items()
+    ]
+    trace = F.concat_ws(">", F.when(F.col("trace") != "", F.col("trace")), *steps)
+    return done.select(*kept, *(now(name) for name in state[:-1]), trace.alias("trace"))
 
 
 def run_cascade(rows: DataFrame) -> DataFrame:
@@ -323,11 +332,10 @@ def run_cascade(rows: DataFrame) -> DataFrame:
         .withColumn("trace", F.lit(""))
         .withColumn("original_txt", F.col("txt")).withColumn("original_score", F.col("score"))
     )
-    for stage in ("peel", "B", "C", "D1"):
-        state = apply_stage(state, stage, F.col(f"due_{stage}"))
-    state = apply_stage(state, "D2", F.col("due_D2") & ~F.col("confirm_D2"))
-    state = apply_stage(state, "D2", F.col("confirm_D2"), confirmation=True)
-    return state.withColumn("trace", F.ltrim(F.regexp_replace("trace", "^>", "")))
+    state = apply_stage(state, {"peel": F.col("due_peel")})
+    fixed = {s: F.col(f"due_{s}") for s in ("B", "C", "D1")}
+    state = apply_stage(state, {**fixed, "D2": F.col("due_D2") & ~F.col("confirm_D2")})
+    return apply_stage(state, {"D2": F.col("confirm_D2")}, confirmation=True)
 
 
 def numeric_readings(all_readings: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from sheetwise.operators.review import (
     classify_crops, f08_blockers, question_review, reason_array,
 )
 from sheetwise.plans.fixtures import Tables
+from sheetwise.session import materialise
 
 ALL_POLICIES = ("none", "broad", "duplicate")
 
@@ -96,7 +97,10 @@ def owned_reviews(t: Tables, policies=("duplicate",)) -> DataFrame:
 def agreement_tables(t: Tables, policies=("duplicate", "broad")) -> Agreement:
     """Two-evidence run over the recorded owners."""
     g = Graded(t)
+    g.blockers = materialise(g.blockers, "blockers")
+    reviews = materialise(g.reviews(*policies), "reviews")
     numeric = numeric_readings(all_readings(t.fx_crops, t.fx_readings))
     return Agreement(
-        g.reviews(*policies), g.classified, g.blockers, numeric, t.fx_marks, t.fx_questions, t.fx_pages, policies
+        reviews, g.classified, g.blockers, numeric, t.fx_marks, t.fx_questions, t.fx_pages, policies,
+        keep=materialise,
     )
