@@ -141,18 +141,19 @@ def check(body: str, extra: dict[str, str] | None = None) -> str:
     """Full SQL: the body behind a WITH list of every block it uses."""
     blocks = {**CTES, **(extra or {})}
     order: list[str] = []
+    open_blocks: set[str] = set()  # a recursive block names itself
 
     def need(text: str) -> None:
         for name in blocks:
-            if name not in order and re.search(rf"(FROM|JOIN|,)\s+{name}\b", text):
+            if name not in order and name not in open_blocks and re.search(rf"(FROM|JOIN|,)\s+{name}\b", text):
                 need_block(name)
 
     def need_block(name: str) -> None:
+        open_blocks.add(name)
         need(blocks[name])
-        if name not in order:
-            order.append(name)
+        order.append(name)
 
     need(body)
     if not order:
         return body
-    return "WITH " + ",\n".join(f"{n} AS ({blocks[n]})" for n in order) + "\n" + body
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({blocks[n]})" for n in order) + "\n" + body
