@@ -33,3 +33,45 @@ def recommendation_audit(
         F.count_if(given & usable & ~same).alias("wrong"),
         F.count_if(given & ~usable).alias("unverified"),
     ).withColumn("show", (F.col("recommended") > 0) & (F.col("matched") >= 0.9 * F.col("recommended")))
+
+
+def timing_summary(gated: DataFrame, group: Sequence[str] = ()) -> DataFrame:
+    """Regions, executed, skipped and excluded crops of a recognition run."""
+    return gated.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("regions"), F.count_if("executed").alias("ocr_executed"),
+        F.count_if(~F.col("executed")).alias("stage1_skipped"), F.count_if("excluded").alias("answer_excluded"),
+    )
+
+
+def _numbered_lines(df: DataFrame, key: Sequence[str], text: str, side: str) -> DataFrame:
+    """Nonblank stripped lines with their place."""
+    from sheetwise.functions.answers import blank, strip
+
+    lines = F.filter(F.split(text, "\n"), lambda line: ~blank(line))
+    return df.select(*key, F.posexplode(F.transform(lines, strip)).alias("place", side))
+
+
+def line_match(pairs: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Expected and recognised lines by position: (key, place, expected, actual,
+    exact). ``pairs`` carries the two whole texts."""
+    key = list(key)
+    expected = _numbered_lines(pairs, key, "expected_text", "expected")
+    actual = _numbered_lines(pairs, key, "actual_text", "actual")
+    return expected.join(actual, [*key, "place"], "full").withColumn(
+        "exact", F.coalesce(F.col("expected") == F.col("actual"), F.lit(False))
+    )
+
+
+def line_match_summary(matched: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Expected, recognised, exact and extra lines per text."""
+    return matched.groupBy(*key).agg(
+        F.count("expected").alias("expected_lines"), F.count("actual").alias("recognised_lines"),
+        F.count_if("exact").alias("exact_lines"), F.count_if(F.col("expected").isNull()).alias("extra_lines"),
+    )
+
+
+def best_reading(readings: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Highest score per key, the earliest reading on ties; by aggregation."""
+    return readings.groupBy(*key).agg(
+        F.max(F.struct("score", (-F.col("read_no")).alias("order"), "txt")).alias("best")
+    ).select(*key, F.col("best.txt").alias("txt"), F.col("best.score").alias("score"), (-F.col("best.order")).alias("read_no"))
