@@ -16,7 +16,9 @@ CIRCLED = "①②③④⑤"
 SHAPES = "①②③④⑤○◯□■◇△▽@©OoDⓞ◎"
 NUMERALS = {"한": 1, "두": 2, "세": 3, "네": 4, "다섯": 5}
 
-SPACE = r"[\s\x1c-\x1f]"
+# Unicode white space written out: the same set as Python's, and much cheaper to
+# match than a Unicode-mode class.
+SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 DIGIT = f"[1-5{CIRCLED}]"
 
 
@@ -35,11 +37,11 @@ def let(value: Column, body) -> Column:
 
 def strip(text: Column) -> Column:
     """Drop Unicode white space at both ends."""
-    return F.regexp_replace(text, rf"(?U)^{SPACE}+|{SPACE}+\z", "")
+    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+\z", "")
 
 
 def blank(text: Column) -> Column:
-    return ~F.coalesce(text, F.lit("")).rlike(r"(?U)[^\s\x1c-\x1f]")
+    return ~F.coalesce(text, F.lit("")).rlike(f"[^{SPACE[1:]}")
 
 
 def choice_digits(text: Column) -> Column:
@@ -62,7 +64,7 @@ def digits_to_mask(digits: Column, *, reject_repeats: bool) -> Column:
 def student_choices(text: Column) -> Column:
     """Mask of a complete answer form; anything else is null."""
     form = (
-        rf"(?U)^{SPACE}*(?:{DIGIT}|\({DIGIT}\)|{DIGIT}\.|[{CIRCLED}]{{2,}}"
+        rf"^{SPACE}*(?:{DIGIT}|\({DIGIT}\)|{DIGIT}\.|[{CIRCLED}]{{2,}}"
         rf"|{DIGIT}(?:(?:{SPACE}*[,，]{SPACE}*|{SPACE}+){DIGIT})+){SPACE}*\z"
     )
     return F.when(text.rlike(form), digits_to_mask(choice_digits(text), reject_repeats=True))
@@ -73,7 +75,7 @@ def key_answer(raw: Column) -> Column:
     can (possessive), then the field must end at a colon or line end and no
     further choice or comma may follow."""
     lead = (
-        rf"(?U)^[ \t]*+({DIGIT}(?:{SPACE}*[,，]{SPACE}*{DIGIT})*+)"
+        rf"^[ \t]*+({DIGIT}(?:{SPACE}*[,，]{SPACE}*{DIGIT})*+)"
         rf"(?=[ \t]*(?::|\r|\n|\z))(?!{SPACE}*[,，{CIRCLED}])"
     )
     field = choice_digits(F.regexp_extract(raw, lead, 1))
@@ -82,7 +84,7 @@ def key_answer(raw: Column) -> Column:
 
 def eligible_answer(text: Column, score: Column, route: Column) -> Column:
     """Mask of a strictly numeric student reading at or above .8; repeats count once."""
-    numeric = text.rlike(rf"(?U)^[\s\x1c-\x1f{CIRCLED}1-5,，().]+\z")
+    numeric = text.rlike(rf"^[{SPACE[1:-1]}{CIRCLED}1-5,，().]+\z")
     return F.when(
         (route == "student_candidate") & score.isNotNull() & ~(score < 0.8) & numeric,
         digits_to_mask(choice_digits(text), reject_repeats=False),
@@ -91,7 +93,7 @@ def eligible_answer(text: Column, score: Column, route: Column) -> Column:
 
 def to_digit(text: Column) -> Column:
     """The single choice number a reading stands for, as an int."""
-    lone = text.rlike(rf"(?U)^{SPACE}*{DIGIT}{SPACE}*\z")
+    lone = text.rlike(rf"^{SPACE}*{DIGIT}{SPACE}*\z")
     return F.when(lone, choice_digits(text).cast("int"))
 
 
@@ -99,27 +101,27 @@ def should_reread(text: Column, score: Column) -> Column:
     """A lone zero, or a low reading made of shape-like characters only."""
     text = F.coalesce(text, F.lit(""))
     low = F.coalesce(score < 0.8, F.lit(False))
-    zero = text.rlike(rf"(?U)^{SPACE}*0{SPACE}*\z")
-    return zero | (low & text.rlike(rf"(?U)^{SPACE}*[{SHAPES}]+{SPACE}*\z"))
+    zero = text.rlike(rf"^{SPACE}*0{SPACE}*\z")
+    return zero | (low & text.rlike(rf"^{SPACE}*[{SHAPES}]+{SPACE}*\z"))
 
 
 def required_answer_count(text: Column) -> Column:
     """Answer count the instruction states outright, else null."""
     end = r"[?？]|(?:고르|선택하)(?:시오|세요)\.?"
     only_count = (
-        r"(?U)^\s*[（(]?\s*정답\s*(?:은|[:：])?\s*(?:[1-5한두세네]|다섯)\s*개\s*[)）]?\s*\z"
+        rf"^{SPACE}*[（(]?{SPACE}*정답{SPACE}*(?:은|[:：])?{SPACE}*(?:[1-5한두세네]|다섯){SPACE}*개{SPACE}*[)）]?{SPACE}*\z"
     )
-    token = r"(?<!\d)(다섯|[1-5한두세네])\s*개"
+    token = rf"(?<!\p{{Nd}})(다섯|[1-5한두세네]){SPACE}*개"
 
     def header(before: Column) -> Column:
-        head = F.regexp_extract(before, rf"(?sU)^(?:.*?(?:{end}))(?:\s*[（(]\s*정답[^)）]*[)）])?", 0)
+        head = F.regexp_extract(before, rf"(?s)^(?:.*?(?:{end}))(?:{SPACE}*[（(]{SPACE}*정답[^)）]*[)）])?", 0)
         return F.when(head != "", head).when(before.rlike(only_count), before)
 
     def counts(text: Column) -> Column:
         found = F.concat(
-            F.regexp_extract_all(text, F.lit(rf"(?U)정답\s*(?:은|[:：])?\s*{token}"), F.lit(1)),
+            F.regexp_extract_all(text, F.lit(rf"정답{SPACE}*(?:은|[:：])?{SPACE}*{token}"), F.lit(1)),
             F.regexp_extract_all(
-                text, F.lit(rf"(?U){token}(?:를|씩)?\s*(?:모두\s*)?(?:고르|고른|선택)"), F.lit(1)
+                text, F.lit(rf"{token}(?:를|씩)?{SPACE}*(?:모두{SPACE}*)?(?:고르|고른|선택)"), F.lit(1)
             ),
         )
         # Compare numbers, so "2" and "두" are one value.
@@ -130,7 +132,8 @@ def required_answer_count(text: Column) -> Column:
             )
         )
 
-    body = F.regexp_replace(strip(text), r"(?U)^\s*\d+\.", "")
+    stated = F.when(F.contains(text, F.lit("개")), text)  # no count word, no work
+    body = F.regexp_replace(strip(stated), rf"^{SPACE}*\p{{Nd}}+\.", "")
     before = F.element_at(F.split(body, f"[{CIRCLED}•]", 2), 1)
     numbers = let(let(before, header), counts)
     return let(numbers, lambda found: F.when(F.size(found) == 1, F.element_at(found, 1).cast("int")))

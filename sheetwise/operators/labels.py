@@ -132,13 +132,14 @@ def stage_summary(classified: DataFrame, compared: DataFrame, policy: str) -> Da
     """
     count = F.count(F.lit(1)).alias("n")
 
+    def tag_array(*pairs):
+        return F.array_compact(F.array(*(
+            F.when(cond, F.struct(F.lit(kind).alias("kind"), name.cast("string").alias("name")))
+            for kind, name, cond in pairs
+        )))
+
     def tagged(*pairs):
-        return F.explode(
-            F.array_compact(F.array(*(
-                F.when(cond, F.struct(F.lit(kind).alias("kind"), name.cast("string").alias("name")))
-                for kind, name, cond in pairs
-            )))
-        ).alias("tag")
+        return F.explode(tag_array(*pairs)).alias("tag")
 
     yes = F.lit(True)
     crops = classified.select(tagged(
@@ -146,27 +147,26 @@ def stage_summary(classified: DataFrame, compared: DataFrame, policy: str) -> Da
         ("region_stage", F.col("stage"), yes),
         ("total", F.lit("recognised_on_stage1"), (F.col("stage") == 1) & F.col("ocr_executed")),
     ))
-    rows = compared.filter(F.col("policy") == policy)
-    questions = rows.select(tagged(
+    mixed = classified.filter((F.col("stage") == 0) & F.col("mixed_print")).select("question_id").distinct()
+    rows = compared.filter(F.col("policy") == policy).join(
+        mixed.withColumn("mixed", F.lit(True)), "question_id", "left"
+    ).na.fill(False, ["mixed"])
+    wrong = F.col("comparison").isin(MISMATCH, UNLABELLED)
+    own = tag_array(
         ("review", F.col("status"), yes),
         ("review_stage", F.coalesce(F.col("stage").cast("string"), F.lit("None")), yes),
         ("comparison", F.col("comparison"), yes),
         ("total", F.lit("false_correct"), F.col("false_correct")),
         ("total", F.lit("false_incorrect"), F.col("false_incorrect")),
-    ))
-    reasons = reason_array()
-    named = rows.filter("fired <> 0").select(F.explode(F.array_union(
-        F.transform(reasons, lambda r: F.struct(F.lit("reason").alias("kind"), r.code.alias("name"))),
-        F.transform(reasons, lambda r: F.struct(F.lit("rule").alias("kind"), r.rule.alias("name"))),
-    )).alias("tag"))
-    mixed = (
-        classified.filter((F.col("stage") == 0) & F.col("mixed_print")).select("question_id").distinct()
-        .join(rows, "question_id")
-        .select(tagged(
-            ("total", F.lit("mixed_candidate_questions"), yes),
-            ("total", F.lit("mixed_candidate_errors"), F.col("comparison").isin(MISMATCH, UNLABELLED)),
-        ))
+        ("total", F.lit("mixed_candidate_questions"), F.col("mixed")),
+        ("total", F.lit("mixed_candidate_errors"), F.col("mixed") & wrong),
     )
-    return crops.unionByName(questions).unionByName(named).unionByName(mixed).groupBy(
+    reasons = reason_array()
+    named = [
+        F.array_distinct(F.transform(reasons, lambda r: F.struct(F.lit(kind).alias("kind"), r[kind_field].alias("name"))))
+        for kind, kind_field in (("reason", "code"), ("rule", "rule"))
+    ]
+    questions = rows.select(F.explode(F.concat(own, *named)).alias("tag"))
+    return crops.unionByName(questions).groupBy(
         "tag.kind", "tag.name"
     ).agg(count)

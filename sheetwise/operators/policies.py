@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheetwise.functions.messages import reason_message
-from sheetwise.operators.review import BIT, RULES, reasons_long
+from sheetwise.operators.review import BIT, BLOCK6, BLOCK7, RULES, reasons_long
 
 
 def policy_summary(reviews: DataFrame) -> DataFrame:
@@ -32,29 +32,31 @@ def diff_policies(
     also differs when it names other crops."""
     keys = [*scope, "question_id"]
 
-    def side(policy: str, suffix: str) -> DataFrame:
-        return reviews.filter(F.col("policy") == policy).select(
-            *keys, F.col("selection").alias(f"selection_{suffix}"),
-            F.col("fired").alias(f"fired_{suffix}"), F.col("status").alias(f"status_{suffix}"),
-        )
+    def side(policy: str):
+        return F.max(F.when(F.col("policy") == policy, F.struct("selection", "fired", "status"))).alias(f"side_{policy}")
 
     def exempt(policy: str):
         return F.lit(False) if policy == "none" else F.col(f"exempt_{policy}")
 
-    # A crop let pass by just one policy is named in a reason of the other.
+    def live_only(here: str, there: str):
+        bit = F.when(F.col("reason") == "6", BLOCK6).otherwise(BLOCK7)
+        return F.bit_or(F.when(~exempt(here) & exempt(there), bit).otherwise(0))
+
+    # Both sides of a question meet in one aggregation of the reviews. A crop let
+    # pass by just one policy is named in a reason of the other.
+    both = reviews.filter(F.col("policy").isin(a, b)).groupBy(*keys).agg(side(a), side(b))
+    named = blockers.groupBy(*keys).agg(live_only(a, b).alias("named_a"), live_only(b, a).alias("named_b"))
+    one, two = F.col(f"side_{a}"), F.col(f"side_{b}")
+    selection_differs = ~one["selection"].eqNullSafe(two["selection"])
     other_crops = (
-        blockers.filter(exempt(a) != exempt(b))
-        .select(*keys, F.col("reason").alias("code"), F.when(exempt(a), F.lit(b)).otherwise(F.lit(a)).alias("policy"))
-        .join(
-            reasons_long(reviews, scope).filter("rule = 'F08(b)'"), ["policy", *keys, "code"], "left_semi"
-        )
-        .select(*keys).distinct().withColumn("other_crops", F.lit(True))
-    )
-    both = side(a, "a").join(side(b, "b"), keys).join(other_crops, keys, "left")
-    selection_differs = ~F.col("selection_a").eqNullSafe(F.col("selection_b"))
-    reasons_differ = ~F.col("fired_a").eqNullSafe(F.col("fired_b")) | F.coalesce("other_crops", F.lit(False))
-    return both.filter(selection_differs | reasons_differ).select(
-        *keys, "selection_a", "selection_b", "status_a", "status_b",
+        one["fired"].bitwiseAND(F.coalesce("named_a", F.lit(0)))
+        .bitwiseOR(two["fired"].bitwiseAND(F.coalesce("named_b", F.lit(0))))
+    ) != 0
+    return both.join(named, keys, "left").filter(
+        selection_differs | (one["fired"] != two["fired"]) | other_crops
+    ).select(
+        *keys, one["selection"].alias("selection_a"), two["selection"].alias("selection_b"),
+        one["status"].alias("status_a"), two["status"].alias("status_b"),
         selection_differs.alias("selection_differs"),
     )
 

@@ -65,7 +65,7 @@ def distinct_boxes(df: DataFrame, on: Sequence[str]) -> DataFrame:
 
 
 def overlap_counts(
-    probe: DataFrame, build: DataFrame, on: Sequence[str], *, size: int = 64
+    probe: DataFrame, build: DataFrame, on: Sequence[str], *, size: int = 128
 ) -> DataFrame:
     """Probe rows that overlap at least one build row, with ``n_overlaps``."""
     pairs = overlap_join(

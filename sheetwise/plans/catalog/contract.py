@@ -214,7 +214,7 @@ WHERE NOT (crop_id % 19 = 0 AND crop_id % 29 = 0) AND (crop_id % 19 = 0 OR crop_
     ),
     "scan_range": (
         _scan_range,
-        check("""SELECT k.folder, CASE WHEN problem = '' THEN CASE WHEN k.folder = 3 THEN 'C' ELSE 'A' END ELSE '' END AS mapping_id, problem FROM (
+        check("""SELECT CAST(k.folder AS BIGINT) AS folder, CASE WHEN problem = '' THEN CASE WHEN k.folder = 3 THEN 'C' ELSE 'A' END ELSE '' END AS mapping_id, problem FROM (
 SELECT folder, CASE WHEN folder = 4 THEN 'two_known_mappings' WHEN count(*) FILTER (WHERE n > lim_lo AND n <= lim AND twice) > 0 THEN 'repeated_number' WHEN count(*) FILTER (WHERE n <= lim) <> max(lim) THEN 'no_single_fit' ELSE '' END AS problem FROM (
  SELECT page // 40 AS folder, page % 40 + 1 AS n, page % 91 = 3 AS twice, CASE WHEN page // 40 = 3 THEN 20 ELSE 40 END AS lim, 0 AS lim_lo FROM fx_pages WHERE page % 77 <> 5) f GROUP BY folder) k"""),
     ),

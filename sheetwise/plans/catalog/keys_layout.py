@@ -171,14 +171,14 @@ UNION ALL SELECT 'explained', set_id, page, n, CASE WHEN question_id % 6 IN (0,
         check("""SELECT question_id, coalesce(own, last_value(own IGNORE NULLS) OVER (PARTITION BY floor(page / 50) ORDER BY page, slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part
 FROM (SELECT *, CASE WHEN slot = 3 AND page % 3 = 0 THEN page % 7 END AS own FROM fx_questions) q"""),
     ),
-    "accept_seq": (_accept, check("SELECT c.grp, c.pos, c.k AS number FROM chain c", X)),
+    "accept_seq": (_accept, check("SELECT c.grp, CAST(c.pos AS BIGINT) AS pos, c.k AS number FROM chain c", X)),
     "zone_bottoms": (
         lambda t: lo.zone_bottoms(_heads(t), 1980).select("question_id", "y", "bottom"),
         check("SELECT h.question_id, h.y, coalesce(CAST(floor((SELECT min(o.y) FROM heads o WHERE o.page = h.page AND o.column_no = h.column_no AND o.y > h.y + 5)) AS INT) - 18, 1830) AS bottom FROM heads h", X),
     ),
     "row_groups": (
         lambda t: lo.row_groups(t.fx_crops.select("question_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(8)), lambda k: c("yt") + 4 * k)).alias("y"), (4 + c("crop_no")).alias("pixels")), ["question_id"]),
-        check("SELECT question_id, min(y) AS top, max(y) AS bottom, CAST(sum(pixels) AS BIGINT) AS pixels FROM islands GROUP BY question_id, run HAVING max(y) - min(y) >= 7 AND sum(pixels) >= 60", X),
+        check("SELECT question_id, CAST(min(y) AS INT) AS top, CAST(max(y) AS INT) AS bottom, CAST(sum(pixels) AS BIGINT) AS pixels FROM islands GROUP BY question_id, run HAVING max(y) - min(y) >= 7 AND sum(pixels) >= 60", X),
     ),
     "longest_run": (
         lambda t: lo.longest_run(t.fx_questions.select("question_id", F.explode(F.sequence(F.lit(0), (c("question_id") % 40).cast("int"))).alias("x")).filter("x % (7 + question_id % 30) <> 6"), ["question_id"], 20),

@@ -41,13 +41,16 @@ class Graded:
     def __init__(self, t: Tables):
         self.t = t
         self.classified = classify_crops(t.fx_crops).persist(StorageLevel.MEMORY_AND_DISK)
-        self.blockers = f08_blockers(self.classified, ring_duplicates(self.classified))
+        self.blockers = f08_blockers(self.classified, ring_duplicates(self.classified)).persist(
+            StorageLevel.MEMORY_AND_DISK
+        )
         self.labels = t.fx_questions.select(
             "question_id", single_mask(F.col("label_answer")).alias("expected")
         )
 
     def release(self) -> None:
         self.classified.unpersist()
+        self.blockers.unpersist()
 
     def reviews(self, *policies: str) -> DataFrame:
         return question_review(
