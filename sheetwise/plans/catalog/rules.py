@@ -17,7 +17,9 @@ from sheetwise.operators.review import classify_crops
 from sheetwise.plans.checks import D, check, digits_of
 
 c = F.col
-ZONE = Box(c("zl"), c("zt"), c("zr"), c("zb"))
+
+def zone_box() -> Box:
+    return Box(c("zl"), c("zt"), c("zr"), c("zb"))
 
 
 def milli(value):
@@ -67,7 +69,7 @@ SELECT crop_id, """ + ", ".join(
 def _page_boxes(t):
     rows = t.fx_marks.join(t.fx_questions.select("question_id", "zl", "zt", "zr", "zb"), "question_id")
     sx, sy = F.lit(2480) / 1334, F.lit(3507) / 1886
-    return rows.withColumn("p", page_box(box(), ZONE, sx, sy)).select(
+    return rows.withColumn("p", page_box(box(), zone_box(), sx, sy)).select(
         "question_id", "symbol_no", *(milli(c(f"p.{k}")).alias(k) for k in "ltrb")
     )
 
@@ -85,9 +87,9 @@ def _box_algebra(t):
     # One row per crop: the zone of the next slot of its page, so every relation occurs.
     rows = rows.filter((c("zone_id") - c("question_id")).isin(0, 1))
     return rows.select(
-        "crop_id", "zone_id", overlaps(box(), ZONE).alias("touches"),
-        milli(overlap_fraction(box(), ZONE)).alias("share"), contains(ZONE, box()).alias("inside"),
-        center_inside(box(), ZONE).alias("center_in"), area(box()).cast("bigint").alias("box_area"),
+        "crop_id", "zone_id", overlaps(box(), zone_box()).alias("touches"),
+        milli(overlap_fraction(box(), zone_box())).alias("share"), contains(zone_box(), box()).alias("inside"),
+        center_inside(box(), zone_box()).alias("center_in"), area(box()).cast("bigint").alias("box_area"),
     )
 
 
