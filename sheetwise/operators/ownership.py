@@ -46,7 +46,7 @@ def extend_column_bottoms(
 
 
 def associate(
-    crops: DataFrame, zones: DataFrame, minimum: float | None = None, scope: Sequence[str] = (), size: int = 256
+    crops: DataFrame, zones: DataFrame, minimum: float | None = None, scope: Sequence[str] = (), size: int = 512
 ) -> DataFrame:
     """Zones each crop shares area with.
 

@@ -91,6 +91,26 @@ SELECT CAST(event_id AS BIGINT) AS edit_id, CAST(user_id * 97 + event_id % 7 AS
 FROM events""",
 }
 
+# Spark lists the literal rows beside each row instead of joining them.
+_STAGES = """
+  SELECT 'peel' AS stage, 1 AS stage_no, 1 AS variant_no, CAST(0 AS DOUBLE) AS param UNION ALL
+  SELECT 'B', 2, 1, 2.0 UNION ALL SELECT 'B', 2, 2, 2.5 UNION ALL SELECT 'B', 2, 3, 3.0 UNION ALL
+  SELECT 'C', 3, 1, 16 UNION ALL SELECT 'C', 3, 2, 24 UNION ALL SELECT 'D1', 4, 1, 16 UNION ALL SELECT 'D1', 4, 2, 24 UNION ALL
+  SELECT 'D2', 5, 1, 16 UNION ALL SELECT 'D2', 5, 2, 24"""
+_SYMBOLS = "SELECT 1 AS n UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5"
+SPARK_VIEWS = {
+    **VIEWS,
+    "fx_marks": VIEWS["fx_marks"].replace(
+        f"CROSS JOIN ({_SYMBOLS}) n", "LATERAL VIEW explode(array(1, 2, 3, 4, 5)) n AS n"
+    ),
+    "fx_readings": VIEWS["fx_readings"].replace(
+        f"CROSS JOIN ({_STAGES}) v",
+        "LATERAL VIEW inline(array(struct('peel', 1, 1, 0D), struct('B', 2, 1, 2D), struct('B', 2, 2, 2.5D), struct('B', 2, 3, 3D), "
+        "struct('C', 3, 1, 16D), struct('C', 3, 2, 24D), struct('D1', 4, 1, 16D), struct('D1', 4, 2, 24D), "
+        "struct('D2', 5, 1, 16D), struct('D2', 5, 2, 24D))) v AS stage, stage_no, variant_no, param",
+    ),
+}
+
 BASE_TABLES = ["orders", "lineitem", "events", "documents", "conversations", "pages", "labels"]
 
 
@@ -108,7 +128,7 @@ class Tables:
             raise AttributeError(name)
         if name not in self._loaded:
             if name in VIEWS:
-                self._loaded[name] = self.sql(VIEWS[name])
+                self._loaded[name] = self.sql(SPARK_VIEWS[name])
             else:
                 self._loaded[name] = self.spark.read.parquet(f"{self._dir}/{name}.parquet")
         return self._loaded[name]
