@@ -22,7 +22,7 @@ def extend_column_bottoms(
     zones: DataFrame, heights: DataFrame, group: Sequence[str] = ("page",), scope: Sequence[str] = ()
 ) -> DataFrame:
     """Zones with the last one of each column reaching the page bottom, and a
-    ``problem`` text for zones the reference would refuse.
+    ``problem`` text for zones that must be refused.
 
     The last top of a column and how often it occurs are aggregated (partial
     first) and joined back, so one very long column is not one task.
