@@ -22,44 +22,43 @@ EDITS = 2
 MIN_CHARS = 20
 
 
-def segment(length: Column, number: int, edits: int) -> tuple[Column, Column]:
-    """Start (from 0) and length of a segment of a line of ``length``: the last ones take the rest."""
-    n = edits + 1
-    base = F.floor(length / n).cast("int")
-    long = length - base * n  # so many segments, the last ones, are one longer
-    start = base * number + F.greatest(F.lit(0), number - (n - long))
-    return start.cast("int"), (base + F.when(F.lit(number) >= n - long, 1).otherwise(0)).cast("int")
+def probes(edits: int) -> Column:
+    """Literal array of (gap, number, shift, listed): which substrings of a line may equal
+    segment ``number`` of a line shorter by ``gap``, as shifts from the segment's place.
 
+    A shift d is needed only if the edits left of the segment (at least |d|) and right
+    of it (at least |gap - d|) leave room: at most number before, edits - number behind.
+    ``listed`` marks the line's own segments.
+    """
+    return F.array(*(
+        F.struct(F.lit(gap).alias("gap"), F.lit(i).alias("number"), F.lit(shift).alias("shift"), F.lit(gap == 0 and shift == 0).alias("listed"))
+        for gap in range(edits + 1) for i in range(edits + 1) for shift in range(-edits, edits + 1)
+        if abs(shift) <= i and abs(gap - shift) <= edits - i
+    ))
 
-def substring_keys(line: Column, length: Column, edits: int) -> Column:
-    """Array of (key, listed): segments of lines of the length itself and up to
-    ``edits`` shorter that the line may hold. ``listed`` marks the line's own segments.
 
-    A substring at shift d from segment i's place is needed only if the edits left of
-    it (at least |d|) and right of it (at least |gap - d|) leave room by number: at
-    most i before and edits - i behind, where segments count from 0.
-    """
-    keys = []
-    for gap in range(edits + 1):
-        of = length - gap
-        for i in range(edits + 1):
-            start, size = segment(of, i, edits)
-            for shift in range(-edits, edits + 1):
-                if abs(shift) <= i and abs(gap - shift) <= edits - i:
-                    at = start + shift
-                    fits = (at >= 0) & (at + size <= length) & (of >= edits + 1)
-                    keys.append(F.when(fits, F.struct(
-                        F.xxhash64(F.lit(i), of, F.substring(line, at + 1, size)).alias("key"), F.lit(gap == 0 and shift == 0).alias("listed")
-                    )))
-    return F.array_compact(F.array(*keys))
+def keyed_lines(lines: DataFrame, edits: int) -> DataFrame:
+    """(h, g, length, line, key, listed): a row per probe of each line. A line of n
+    characters has edits + 1 segments of n div (edits + 1) characters, the last ones
+    one longer. One small expression per row, however many probes there are."""
+    n = edits + 1
+    rows = lines.select(*CLASS, "line", F.explode(probes(edits)).alias("p")).select(*CLASS, "line", "p.*").filter(F.col("length") - F.col("gap") >= n)
+    of = "(length - gap)"
+    start = f"(CAST({of} div {n} AS INT) * number + greatest(0, number - {n} + {of} % {n}) + shift)"
+    size = f"(CAST({of} div {n} AS INT) + CAST(number >= {n} - {of} % {n} AS INT))"
+    rows = rows.filter(F.expr(f"{start} >= 0 AND {start} + {size} <= length"))
+    key = F.expr(f"xxhash64(number, {of}, substring(line, {start} + 1, {size}))")
+    return rows.select(*CLASS, "line", key.alias("key"), "listed")
 
 
 def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
     """(doc_id, text_key, line_no, line, length, h, g) of the lines that take part; a class is (h, g, length)."""
+    # Trimmed lines and lengths leave the explode as values, so what is built on them
+    # does not trim or count again.
+    trimmed = F.transform(F.transform(F.split("text", "\n"), F.trim), lambda x: F.struct(x.alias("line"), F.length(x).cast("int").alias("length")))
     rows = docs.filter("doc_id IS NOT NULL").select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line")
-    )
-    rows = rows.withColumn("line", F.trim("line")).withColumn("length", F.length("line")).filter(F.col("length") >= min_chars)
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.posexplode(trimmed).alias("line_no", "of")
+    ).select("doc_id", "text_key", "line_no", "of.line", "of.length").filter(F.col("length") >= min_chars)
     return rows.withColumn("h", F.xxhash64("line")).withColumn("g", F.hash("line"))
 
 
@@ -68,11 +67,10 @@ CLASS = ["h", "g", "length"]
 
 def near_classes(lines: DataFrame, firsts: DataFrame, edits: int) -> DataFrame:
     """Classes (h, g, length) within ``edits`` edits of a class with an earlier first place."""
-    keyed = lines.withColumn("keys", substring_keys(F.col("line"), F.col("length"), edits))
-    shared = keyed.select("h", F.explode("keys.key").alias("key")).groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
+    keyed = keyed_lines(lines, edits)
+    shared = keyed.select("h", "key").groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
     shared = materialise(shared.filter("lo < hi").select("key"), "shared_keys")
-    entries = keyed.select(*CLASS, "line", F.explode("keys").alias("k")).select(*CLASS, "line", "k.key", "k.listed")
-    entries = restrict(entries, shared, "key").groupBy(*CLASS, "key", "listed").agg(F.min("line").alias("line"))
+    entries = restrict(keyed, shared, "key").groupBy(*CLASS, "key", "listed").agg(F.min("line").alias("line"))
     entries = materialise(entries.join(firsts, CLASS), "entries")
 
     def met(later: DataFrame, earlier: DataFrame) -> DataFrame:
