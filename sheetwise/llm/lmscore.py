@@ -113,7 +113,8 @@ def lm_scores(docs: DataFrame, order: int = ORDER, batch_bytes: int = BATCH_BYTE
         for part, got in zip(answers.column("part").to_pylist(), answers.column("totals").to_pylist()):
             mine = at[begins[part]: begins[part + 1]]
             totals[mine] = np.frombuffer(got, dtype=f"u{len(got) // len(mine)}")
-        index = [np.searchsorted(hashes[1:], g) + 1 for g in grams]
+        # Words before which the text begins too late for the n-gram point at the empty one.
+        index = [np.where(g > 0, np.searchsorted(hashes[1:], g) + 1, 0) for g in grams]
         ends = np.cumsum(counts)
         log_score = np.full(len(counts), np.nan)
         for row, (n, end) in enumerate(zip(counts.tolist(), ends.tolist())):
