@@ -24,12 +24,13 @@ def classify(
 ) -> Column:
     """First gate a crop fails, as struct(stage, reason); (0, 'candidate') passes all.
 
-    ``choice`` is the parsed answer mask of ``text``, so a plan parses once.
+    ``choice`` is the parsed answer mask of ``text``, so a plan parses once. A crop whose
+    recognition is not known to have run (null) is held as not executed.
     """
     gates = [
         (empty, 1, "2"),
         (excluded, 1, "9"),
-        (~executed, 2, "not_executed"),
+        (~F.coalesce(executed, F.lit(False)), 2, "not_executed"),
         (blank(text), 2, "5"),
         (~finite(score), 2, "score_missing"),
         (score < 0.8, 2, "6"),

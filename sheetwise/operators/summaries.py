@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheetwise.functions.answers import single_mask
+from sheetwise.functions.gates import finite
 
 
 def recommendation_audit(
@@ -71,7 +72,9 @@ def line_match_summary(matched: DataFrame, key: Sequence[str]) -> DataFrame:
 
 
 def best_reading(readings: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Highest score per key, the earliest reading on ties; by aggregation."""
+    """Highest finite score per key, the earliest reading on ties; by aggregation. A
+    score that is null, NaN or infinite ranks below every number and is returned as null."""
+    score = F.when(finite(F.col("score")), F.col("score"))
     return readings.groupBy(*key).agg(
-        F.max(F.struct("score", (-F.col("read_no")).alias("order"), "txt")).alias("best")
+        F.max(F.struct(score.alias("score"), (-F.col("read_no")).alias("order"), "txt")).alias("best")
     ).select(*key, F.col("best.txt").alias("txt"), F.col("best.score").alias("score"), (-F.col("best.order")).alias("read_no"))

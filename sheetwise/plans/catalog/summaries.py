@@ -33,8 +33,8 @@ SELECT *, NOT protected_choice AND (is_empty OR (gray_area >= 150 AND gray_area
 SELECT doc_id, len(e) AS expected_lines, len(a) AS recognised_lines, CAST(len(list_filter(range(1, least(len(e), len(a)) + 1), lambda i: e[i] = a[i])) AS BIGINT) AS exact_lines, greatest(len(a) - len(e), 0) AS extra_lines FROM l WHERE len(e) > 0 OR len(a) > 0""",
     ),
     "best_reading": (
-        lambda t: sm.best_reading(rr.all_readings(t.fx_crops.filter("NOT isnan(score)"), t.fx_readings), ["crop_id"]),
+        lambda t: sm.best_reading(rr.all_readings(t.fx_crops, t.fx_readings), ["crop_id"]),
         check("""SELECT crop_id, txt, score, read_no FROM (SELECT *, row_number() OVER (PARTITION BY crop_id ORDER BY score DESC NULLS LAST, read_no) AS rn FROM (
-SELECT crop_id, 0 AS read_no, txt, score FROM fx_crops WHERE score IS NULL OR NOT isnan(score) UNION ALL SELECT crop_id, stage_no * 10 + variant_no, txt, score FROM fx_readings) u) q WHERE rn = 1"""),
+SELECT crop_id, 0 AS read_no, txt, CASE WHEN NOT isnan(score) THEN score END AS score FROM fx_crops UNION ALL SELECT crop_id, stage_no * 10 + variant_no, txt, score FROM fx_readings) u) q WHERE rn = 1"""),
     ),
 }

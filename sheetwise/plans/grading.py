@@ -22,12 +22,9 @@ ALL_POLICIES = ("none", "broad", "duplicate")
 def ring_duplicates(crops: DataFrame) -> DataFrame:
     """Candidates a ring repeats: all neighbours for a ring around the answer
     only, else every second crop of the question."""
-    rings = crops.filter("has_ring").select(
-        "crop_id", "question_id", "crop_no", "ring_only_answer", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("k")
-    )
-    return rings.filter("ring_only_answer OR (crop_no + k) % 2 = 0").select(
-        "crop_id", (F.col("question_id") * 10 + F.col("k")).alias("candidate_id")
-    )
+    rings = crops.filter("has_ring").select("crop_id", "question_id", "ring_only_answer", "crop_no")
+    others = crops.select("question_id", F.col("crop_id").alias("candidate_id"), F.col("crop_no").alias("other_no"))
+    return rings.join(others, "question_id").filter("ring_only_answer OR (crop_no + other_no) % 2 = 0").select("crop_id", "candidate_id")
 
 
 class Graded:

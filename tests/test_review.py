@@ -100,3 +100,8 @@ def test_partition_count_does_not_matter(spark, sheets):
         rows.sort(key=str)
         assert wanted is None or rows == wanted
         wanted = rows
+
+
+def test_unknown_execution_is_held(spark):
+    row = classify_crops(crops(spark, {"ocr_executed": None})).select("stage", "reason").first()
+    assert tuple(row) == (2, "not_executed")
