@@ -18,7 +18,7 @@ returns every text unchanged.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -36,13 +36,31 @@ CACHED_WORDS = 400_000
 
 MARK = "▁"
 _OWN_MARK = "\udfff"  # stands for a mark in the text inside this module
-_SHOW = str.maketrans({" ": MARK, MARK: _OWN_MARK})
+# Words up to this length are merged directly, which is quadratic; longer ones are searched, with the same result.
+SHORT_WORD = 64
+_NO_MERGE = -np.inf
 
 Node = tuple[str, dict[int, float]]
 
 
 def shown(text: str) -> str:
-    return text.translate(_SHOW)
+    return text.replace(MARK, _OWN_MARK).replace(" ", MARK)
+
+
+class _Known(dict):
+    """Ids of words as int32 bytes, worked out when first asked for."""
+
+    def __init__(self, ids: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self.ids = ids
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.ids(word)
+        if len(word) < SHORT_WORD:
+            if len(self) >= CACHED_WORDS:
+                self.clear()
+            self[word] = found
+        return found
 
 
 class Pieces:
@@ -71,20 +89,20 @@ class Pieces:
         self.splits = self.words.pattern != r"(?s:.+)"
         self._apart: dict[tuple[str, str], bool] = {}
         self._whole: dict[str, bool] = {}
-        self._known: dict[str, tuple[int, ...]] = {}
+        self._known = _Known(lambda word: self.numbers(self.merge(word) if len(word) < SHORT_WORD else self.path(word)).tobytes())
 
     def merge(self, text: str) -> list[str]:
         """Merge a short text: always the neighbouring pair with the best score, leftmost first."""
-        parts = list(text)
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                score = self.scores.get(parts[i] + parts[i + 1])
-                if score is not None and (best is None or score > best):
-                    best, at = score, i
-            if best is None:
-                break
+        parts, score = list(text), self.scores.get
+        joined = [score(a + b, _NO_MERGE) for a, b in zip(parts, parts[1:])]
+        while joined and (best := max(joined)) != _NO_MERGE:
+            at = joined.index(best)
             parts[at: at + 2] = [parts[at] + parts[at + 1]]
+            del joined[at]
+            if at:
+                joined[at - 1] = score(parts[at - 1] + parts[at], _NO_MERGE)
+            if at < len(joined):
+                joined[at] = score(parts[at] + parts[at + 1], _NO_MERGE)
         return parts
 
     def whole(self, piece: str) -> bool:
@@ -128,7 +146,7 @@ class Pieces:
             end -= len(piece)
         return out[::-1]
 
-    def numbers(self, parts: list[str]) -> list[int]:
+    def numbers(self, parts: list[str]) -> np.ndarray:
         out: list[int] = []
         for part in parts:
             i = self.ids.get(part)
@@ -136,22 +154,11 @@ class Pieces:
                 out.append(i)
             else:
                 out.extend(self.byte_ids[b] for b in part.replace(_OWN_MARK, MARK).encode())
-        return out
+        return np.array(out, dtype=np.int32)
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
         """Ids of a text in marks that starts and ends where no piece spans."""
-        out: list[int] = []
-        known = self._known
-        for word in self.words.findall(text):
-            ids = known.get(word)
-            if ids is None:
-                ids = tuple(self.numbers(self.path(word)))
-                if len(word) < 64:
-                    if len(known) >= CACHED_WORDS:
-                        known.clear()
-                    known[word] = ids
-            out.extend(ids)
-        return out
+        return np.frombuffer(b"".join(map(self._known.__getitem__, self.words.findall(text))), dtype=np.int32)
 
     def decode(self, ids: list[int]) -> bytes:
         """Bytes of ids in order; the mark put in front is still there as a space."""
@@ -215,7 +222,7 @@ class Pieces:
         else:
             first, last = inner
             self.spread(text, nodes, low, first, first)
-            between = float(len(self.encode_parts(text[first:last])))
+            between = float(len(self.encode(text[first:last])))
             at_first: dict[int, float] = {}
             for _, counts in nodes.get(first, ()):
                 for source, n in counts.items():
@@ -231,21 +238,18 @@ class Pieces:
                         out[source, j] = max(out[source, j], n)
         return out
 
-    def encode_parts(self, text: str) -> list[str]:
-        return [p for word in self.words.findall(text) for p in self.path(word)]
-
-    def trace(self, text: str, low: int, high: int, source: int, target: int) -> list[int]:
+    def trace(self, text: str, low: int, high: int, source: int, target: int) -> np.ndarray:
         """Ids of the pieces behind the left border piece up to the right border piece."""
         over, left = self.crossing(text, low)[source]
         end = high + self.crossing(text, high)[target][0]
         start = low + over
         if start >= end:
-            return []
+            return np.empty(0, dtype=np.int32)
         inner = self.inner(text, low, high)
         if inner is None or inner[0] < start:
             return self.numbers(self.path(text[start:end], left))
         first, last = inner
-        return self.numbers(self.path(text[start:first], left)) + self.encode(text[first:last]) + self.numbers(self.path(text[last:end]))
+        return np.concatenate([self.numbers(self.path(text[start:first], left)), self.encode(text[first:last]), self.numbers(self.path(text[last:end]))])
 
 
 @lru_cache(maxsize=4)
@@ -284,8 +288,8 @@ def borders(matrices: list[np.ndarray]) -> list[int]:
     return [fixed[k] for k in range(len(matrices) + 1)]
 
 
-def _id_lists(lists: list[list[int]]) -> pa.Array:
-    flat = np.fromiter((i for ids in lists for i in ids), dtype=np.int32, count=sum(map(len, lists)))
+def _id_lists(lists: list[np.ndarray]) -> pa.Array:
+    flat = np.concatenate([np.empty(0, dtype=np.int32), *lists])
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, lists)]).astype(np.int32)), pa.array(flat))
 
 
@@ -309,7 +313,7 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame
 
     def short(batch: pa.RecordBatch) -> pa.RecordBatch:
         p = pieces(model)
-        lists = [p.encode(MARK + shown(t)) if t else [] for t in batch.column(2).to_pylist()]
+        lists = [p.encode(MARK + shown(t)) if t else np.empty(0, dtype=np.int32) for t in batch.column(2).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.zeros(len(lists), dtype=np.int32)), _id_lists(lists)], names=["doc_id", "row", "chunk", "ids"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
