@@ -2,11 +2,13 @@
 exact confirmation on the full shingle sets.
 
 A signature has 64 symbols of 16 bits, four in each of 16 words. Two signatures that
-differ in at most DISTANCE = 31 symbols differ in at most one symbol of some word
+differ in at most 31 symbols differ in at most one symbol of some word
 (31 < 2 * 16), so they share that word with the differing symbol masked out. Every
 signature is therefore listed under 16 words x 4 masks, and any pair within the
 distance meets under at least one key. A pair at similarity 0.75 differs in 16 symbols
-on average (deviation 3.5), so the distance lies 4.5 deviations out.
+on average (deviation 3.5), so the distance lies 4.5 deviations out. What meets under a
+key is not counted again symbol by symbol: a second signature of single bits, with its
+own distance 4 deviations out, thins it out before the exact confirmation.
 
 Copies never become pairs of rows: equal shingle sets are one class from the start.
 Rounds of stars join each class with the closest of the centres under its keys, a
@@ -31,7 +33,6 @@ from sheetwise.session import materialise
 
 WORDS = 16
 SYMBOLS = 64
-DISTANCE = 31
 # A second signature of single bits thins out what meets under a key: 128 of its 1024
 # bits differ on average at similarity 0.75 (deviation 10.6), 205 at similarity 0.6.
 # It takes sixteen bit counts, so the comparison of two rows stays small compiled code.
