@@ -38,6 +38,8 @@ MARK = "▁"
 _OWN_MARK = "\udfff"  # stands for a mark in the text inside this module
 # Words up to this length are merged directly, which is quadratic; longer ones are searched, with the same result.
 SHORT_WORD = 64
+# Characters of text whose unknown words are merged together.
+TOGETHER = 1 << 22
 _NO_MERGE = -np.inf
 
 Node = tuple[str, dict[int, float]]
@@ -57,8 +59,6 @@ class _Known(dict):
     def __missing__(self, word: str) -> bytes:
         found = self.ids(word)
         if len(word) < SHORT_WORD:
-            if len(self) >= CACHED_WORDS:
-                self.clear()
             self[word] = found
         return found
 
@@ -89,6 +89,20 @@ class Pieces:
         self.splits = self.words.pattern != r"(?s:.+)"
         self._apart: dict[tuple[str, str], bool] = {}
         self._whole: dict[str, bool] = {}
+        # Piece of every character, and the pairs of pieces that join to a piece, by left * size + right.
+        self._char_ids = np.full(0x110000, -1, dtype=np.int32)
+        for piece, i in self.ids.items():
+            if len(piece) == 1:
+                self._char_ids[ord(piece)] = i
+        pairs = [
+            (self.ids[piece[:cut]] * size + self.ids[piece[cut:]], i)
+            for piece, i in self.ids.items() for cut in range(1, len(piece)) if piece[:cut] in self.ids and piece[cut:] in self.ids
+        ]
+        self._pairs, self._joins = (np.array(column, dtype=np.int64) for column in zip(*sorted(pairs)))
+        self._id_scores = np.full(size + 1, _NO_MERGE)
+        for piece, i in self.ids.items():
+            self._id_scores[i] = self.scores[piece]
+        self._size = size
         self._known = _Known(lambda word: self.numbers(self.merge(word) if len(word) < SHORT_WORD else self.path(word)).tobytes())
 
     def merge(self, text: str) -> list[str]:
@@ -156,9 +170,73 @@ class Pieces:
                 out.extend(self.byte_ids[b] for b in part.replace(_OWN_MARK, MARK).encode())
         return np.array(out, dtype=np.int32)
 
+    def join_ids(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Id of the piece that two neighbours join to; the last place of _id_scores where there is none."""
+        keys = left.astype(np.int64) * self._size + right
+        at = np.minimum(np.searchsorted(self._pairs, keys), len(self._pairs) - 1)
+        return np.where(self._pairs[at] == keys, self._joins[at], self._size)
+
+    def merge_all(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Words of one length with their ids, merged step by step side by side: every word
+        that still has a joining pair loses one piece in each step, so all have the same number.
+        Words with characters that the vocabulary lacks are left out."""
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        parts = self._char_ids[codes].reshape(len(words), -1)
+        row = np.flatnonzero((parts >= 0).all(axis=1))
+        parts = parts[row]
+        joins = self.join_ids(parts[:, :-1], parts[:, 1:])
+        while len(row):
+            if joins.shape[1]:
+                scores = self._id_scores[joins]
+                at = scores.argmax(axis=1)
+                live = scores[np.arange(len(row)), at] != _NO_MERGE
+            else:
+                at, live = np.zeros(len(row), dtype=np.int64), np.zeros(len(row), dtype=bool)
+            raw, width = parts[~live].tobytes(), 4 * parts.shape[1]
+            for k, i in enumerate(row[~live].tolist()):
+                yield words[i], raw[k * width: (k + 1) * width]
+            row, at, parts, joins = row[live], at[live], parts[live], joins[live]
+            if not len(row):
+                return
+            lines, columns = np.arange(len(row)), np.arange(parts.shape[1] - 1)
+            joined = joins[lines, at]
+            parts = np.where(columns < at[:, None], parts[:, :-1], parts[:, 1:])
+            parts[lines, at] = joined
+            joins = np.where(columns[:-1] < at[:, None], joins[:, :-1], joins[:, 1:])
+            left, right = np.flatnonzero(at > 0), np.flatnonzero(at < joins.shape[1])
+            joins[left, at[left] - 1] = self.join_ids(parts[left, at[left] - 1], parts[left, at[left]])
+            joins[right, at[right]] = self.join_ids(parts[right, at[right]], parts[right, at[right] + 1])
+
+    def learn(self, words: set[str]) -> None:
+        """Store the ids of words not met before."""
+        if len(self._known) > CACHED_WORDS:
+            self._known.clear()
+        by_length: dict[int, list[str]] = {}
+        for word in words:
+            if word not in self._known and len(word) < SHORT_WORD:
+                by_length.setdefault(len(word), []).append(word)
+        for same in by_length.values():
+            self._known.update(self.merge_all(same))
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of whole texts; empty ones have none."""
+        out: list[np.ndarray] = []
+        split = [self.words.findall(MARK + shown(text)) if text else [] for text in texts]
+        first = size = 0
+        for i, text in enumerate(texts):
+            size += len(text)
+            if size >= TOGETHER or i == len(texts) - 1:
+                group = split[first: i + 1]
+                self.learn(set().union(*group))
+                out.extend(np.frombuffer(b"".join(map(self._known.__getitem__, words)), dtype=np.int32) for words in group)
+                first, size = i + 1, 0
+        return out
+
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text in marks that starts and ends where no piece spans."""
-        return np.frombuffer(b"".join(map(self._known.__getitem__, self.words.findall(text))), dtype=np.int32)
+        words = self.words.findall(text)
+        self.learn(set(words))
+        return np.frombuffer(b"".join(map(self._known.__getitem__, words)), dtype=np.int32)
 
     def decode(self, ids: list[int]) -> bytes:
         """Bytes of ids in order; the mark put in front is still there as a space."""
@@ -313,7 +391,7 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame
 
     def short(batch: pa.RecordBatch) -> pa.RecordBatch:
         p = pieces(model)
-        lists = [p.encode(MARK + shown(t)) if t else np.empty(0, dtype=np.int32) for t in batch.column(2).to_pylist()]
+        lists = p.encode_all(batch.column(2).to_pylist())
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.zeros(len(lists), dtype=np.int32)), _id_lists(lists)], names=["doc_id", "row", "chunk", "ids"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
