@@ -18,8 +18,9 @@ returns every text unchanged.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -176,13 +177,13 @@ class Pieces:
         at = np.minimum(np.searchsorted(self._pairs, keys), len(self._pairs) - 1)
         return np.where(self._pairs[at] == keys, self._joins[at], self._size)
 
-    def merge_all(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+    def merge_all(self, words: list[str]) -> Iterator[Iterable[tuple[str, bytes]]]:
         """Words of one length with their ids, merged step by step side by side: every word
         that still has a joining pair loses one piece in each step, so all have the same number.
         Words with characters that the vocabulary lacks are left out."""
         codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         parts = self._char_ids[codes].reshape(len(words), -1)
-        row = np.flatnonzero((parts >= 0).all(axis=1))
+        names, row = np.array(words, dtype=object), np.flatnonzero((parts >= 0).all(axis=1))
         parts = parts[row]
         joins = self.join_ids(parts[:, :-1], parts[:, 1:])
         while len(row):
@@ -192,9 +193,10 @@ class Pieces:
                 live = scores[np.arange(len(row)), at] != _NO_MERGE
             else:
                 at, live = np.zeros(len(row), dtype=np.int64), np.zeros(len(row), dtype=bool)
-            raw, width = parts[~live].tobytes(), 4 * parts.shape[1]
-            for k, i in enumerate(row[~live].tolist()):
-                yield words[i], raw[k * width: (k + 1) * width]
+            if not live.all():
+                # Rows as void values become bytes of their ids in one step.
+                done = np.ascontiguousarray(parts[~live]).view(f"V{4 * parts.shape[1]}")
+                yield zip(names[row[~live]].tolist(), done.ravel().tolist())
             row, at, parts, joins = row[live], at[live], parts[live], joins[live]
             if not len(row):
                 return
@@ -211,12 +213,11 @@ class Pieces:
         """Store the ids of words not met before."""
         if len(self._known) > CACHED_WORDS:
             self._known.clear()
-        by_length: dict[int, list[str]] = {}
-        for word in words:
-            if word not in self._known and len(word) < SHORT_WORD:
-                by_length.setdefault(len(word), []).append(word)
-        for same in by_length.values():
-            self._known.update(self.merge_all(same))
+        known = self._known
+        for length, same in groupby(sorted([word for word in words if word not in known], key=len), len):
+            if length < SHORT_WORD:
+                for found in self.merge_all(list(same)):
+                    known.update(found)
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of whole texts; empty ones have none."""
