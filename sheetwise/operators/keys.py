@@ -9,22 +9,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheetwise.functions.answers import CIRCLED, SPACE, key_answer, let, strip
 from sheetwise.operators.ordered import carry_forward, ordinal
+from sheetwise.session import materialise
 
 # Section heading and question heads of the two key layouts.
 HEADING = r"Pattern\s+([12])(?:\s+Part\s+(\d+))?"
 HEAD = r"(?<![\d(])(\d+)\)\s*"
 EXPLAINED_HEAD = r"(?<!\d)(\d+)\s*번\s*-\s*"
-_CUT = "\u0001"
 
 
 def _pieces(text: Column, pattern: str) -> Column:
     """The text cut in front of every match; piece 0 is what precedes the first."""
-    return F.split(F.regexp_replace(text, f"(?U){pattern}", f"{_CUT}$0"), _CUT)
+    # A line end in front keeps piece 0 even where the text begins with a match.
+    cut = F.split(F.concat(F.lit("\n"), text), f"(?U)(?={pattern})")
+    return F.transform(cut, lambda piece, i: F.when(i == 0, F.substr(piece, F.lit(2))).otherwise(piece))
 
 
 def key_sections(pages: DataFrame, scope: Sequence[str] = ("set_id",), bucket: int = 1000) -> DataFrame:
@@ -150,53 +152,48 @@ def numbered_key_summary(entries: DataFrame, scope: Sequence[str] = ("set_id",))
     ).join(repeats, key)
 
 
-def accept_sequence(heads: DataFrame, group: Sequence[str], order: str = "pos", limit: int = 4096) -> DataFrame:
+def accept_sequence(heads: DataFrame, group: Sequence[str], order: str = "pos", bucket: int = 4096) -> DataFrame:
     """Heads (group, pos, number) with ``accepted``: a head counts only if it is the
-    next expected number of its group.
+    next expected number of its group, in the order of position, then number. Rows with
+    equal position and number are one head.
 
-    Groups of up to ``limit`` heads are folded in one row. Larger ones follow the
-    chain "first k+1 after this k" by doubling its length each round, so no task
-    sees a whole group.
+    The accepted heads are the chain "first k+1 behind this k" from the first 1. It is
+    followed by doubling its length each round, whatever the size of a group; the next
+    head is looked up inside a bucket of positions, then among the buckets behind.
     """
     group = list(group)
-    sizes = heads.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    small = heads.join(sizes.filter(F.col("_n") <= limit).select(*group), group, "left_semi")
-    large = sizes.filter(F.col("_n") > limit).select(*group)
-    step = lambda state, row: F.when(
-        row.number == state.expected,
-        F.struct((state.expected + 1).alias("expected"), F.concat(state.taken, F.array(row.pos)).alias("taken")),
-    ).otherwise(state)
-    listed = small.groupBy(*group).agg(
-        F.sort_array(F.collect_list(F.struct(F.col(order).cast("bigint").alias("pos"), F.col("number").cast("int").alias("number")))).alias("rows")
+    rows = heads.select(*group, F.col(order).cast("bigint").alias("_at"), F.col("number").cast("int").alias("_k"))
+    taken = _chain(rows.distinct(), group, bucket).withColumn("accepted", F.lit(True))
+    keyed = heads.withColumns({"_at": F.col(order).cast("bigint"), "_k": F.col("number").cast("int")})
+    return keyed.join(taken, [*group, "_at", "_k"], "left").drop("_at", "_k").na.fill(False, ["accepted"])
+
+
+def _next_heads(rows: DataFrame, group: list[str], bucket: int) -> DataFrame:
+    """(group, _k, _at, next): the first head of number _k + 1 at the position of a head or behind it."""
+    slot = F.floor(F.col("_at") / bucket)
+    asks = rows.select(*group, "_k", "_at", (F.col("_k") + 1).alias("want"), slot.alias("slot"), F.lit(None).cast("bigint").alias("offer"))
+    offers = rows.select(*group, "_k", "_at", F.col("_k").alias("want"), slot.alias("slot"), F.col("_at").alias("offer"))
+    both = asks.unionByName(offers)
+    inside = Window.partitionBy(*group, "want", "slot").orderBy("_at").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    behind = Window.partitionBy(*group, "want").orderBy("slot").rowsBetween(1, Window.unboundedFollowing)
+    slots = both.groupBy(*group, "want", "slot").agg(F.min("offer").alias("first")).withColumn("later", F.min("first").over(behind))
+    found = both.withColumn("near", F.min("offer").over(inside)).filter("offer IS NULL")
+    return (
+        found.join(slots.select(*group, "want", "slot", "later"), [*group, "want", "slot"])
+        .withColumn("next", F.coalesce("near", "later")).filter("next IS NOT NULL").select(*group, "_k", "_at", "next")
     )
-    start = F.struct(F.lit(1).alias("expected"), F.array().cast("array<bigint>").alias("taken"))
-    taken = listed.select(*group, F.explode(F.aggregate("rows", start, step).taken).alias(order))
-    if large.take(1):
-        taken = taken.unionByName(_chain(heads.join(large, group, "left_semi"), group, order))
-    return heads.join(taken.withColumn("accepted", F.lit(True)), [*group, order], "left").na.fill(False, ["accepted"])
-
-
-def _chain(heads: DataFrame, group: list[str], order: str) -> DataFrame:
-    """Positions of the accepted chain, by pointer doubling."""
-    from pyspark.sql import Window
-
-    from sheetwise.session import materialise
-
-    # Rows of number k ask for the next row of number k+1; both meet in one
-    # partition per (group, k+1).
-    asks = heads.select(*group, F.col(order).alias("at"), (F.col("number") + 1).alias("k"), F.lit(None).cast("bigint").alias("target"))
-    offers = heads.select(*group, F.col(order).alias("at"), F.col("number").alias("k"), F.col(order).alias("target"))
-    later = Window.partitionBy(*group, "k").orderBy("at").rowsBetween(1, Window.unboundedFollowing)
-    jump = (
-        asks.unionByName(offers).withColumn("next", F.min("target").over(later))
-        .filter("target IS NULL AND next IS NOT NULL").select(*group, F.col("at"), F.col("next"))
-    )
-    reached = heads.filter("number = 1").groupBy(*group).agg(F.min(order).alias("at"))
+
+
+def _chain(rows: DataFrame, group: list[str], bucket: int) -> DataFrame:
+    """Number and position of the accepted heads, by pointer doubling."""
+    jump, length = _next_heads(rows, group, bucket), 1
+    reached = rows.filter("_k = 1").groupBy(*group, "_k").agg(F.min("_at").alias("_at"))
     while True:
         jump, reached = materialise(jump, "jump"), materialise(reached, "reached")
-        further = reached.join(jump, [*group, "at"]).select(*group, F.col("next").alias("at")).join(reached, [*group, "at"], "left_anti")
-        if not further.take(1):
-            return reached.withColumnRenamed("at", order)
+        further = reached.join(jump, [*group, "_k", "_at"]).select(*group, (F.col("_k") + length).alias("_k"), F.col("next").alias("_at"))
+        if further.isEmpty():
+            return reached
         reached = reached.unionByName(further)
-        hop = jump.select(*group, F.col("at").alias("next"), F.col("next").alias("beyond"))
-        jump = jump.join(hop, [*group, "next"]).select(*group, "at", F.col("beyond").alias("next"))
+        hop = jump.select(*group, (F.col("_k") - length).alias("_k"), F.col("_at").alias("next"), F.col("next").alias("beyond"))
+        jump = jump.join(hop, [*group, "_k", "next"]).select(*group, "_k", "_at", F.col("beyond").alias("next"))
+        length *= 2

@@ -154,9 +154,9 @@ def _export(t):
 
 
 def _documents(t):
-    """Exported documents parsed again: questions per assessment and part sizes."""
+    """Exported documents parsed again: questions per assessment."""
     rows = _export(t).withColumn("assessment_id", F.concat(F.lit("A"), F.floor(c("question_id") / 800)))
-    docs = rs.assemble_documents(rows, ["assessment_id"], part_size=100)
+    docs = rs.assemble_documents(rows, ["assessment_id"])
     return docs.select(
         F.get_json_object("raw", "$.assessment_id").alias("assessment_id"), F.get_json_object("raw", "$.schema_version").alias("version"),
         F.size(F.from_json(F.get_json_object("raw", "$.questions"), "array<struct<question_id:bigint>>")).alias("n"),

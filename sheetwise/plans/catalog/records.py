@@ -49,7 +49,7 @@ def score_table(t):
 def _conf(t):
     lines = F.array_join(F.array(F.lit("level\tconf\ttext"), F.concat_ws("\t", F.lit("5"), (c("crop_id") % 101).cast("string"), "txt"), F.lit("5\t-1\t"), F.lit("")), "\n")
     rows = t.fx_crops.select(c("crop_id").cast("string").alias("path"), F.when(c("crop_id") % 9 == 0, F.lit("a\tb\n1\t2")).otherwise(lines).alias("content"))
-    return ar.read_conf_tsv(rows).withColumn("text", F.coalesce("text", F.lit("")))
+    return ar.read_conf_tsv(rows).select("path", "line", F.coalesce("text", F.lit("")).alias("text"), "conf")
 
 
 def _recognise(t):
@@ -105,8 +105,8 @@ SELECT *, CASE WHEN edit_id % 5 < 3 THEN 0 ELSE 1 END AS batch, row_number() OVE
 
 ENTRIES = {
     "score_archive": (
-        lambda t: ar.flatten_scores(ar.flatten_json(artifacts(t))).select("path", "pointer", "field", F.coalesce("text", F.lit("null")).alias("text"), "score"),
-        check("SELECT path, pointer, field, coalesce(text, 'null') AS text, score FROM score_rows WHERE crop_id % 50 <> 3", X),
+        lambda t: ar.flatten_scores(ar.flatten_json(artifacts(t))).select("path", "pointer", "field", F.coalesce("text", F.lit("null")).alias("text"), "score", "score_scale", "representation"),
+        check("SELECT path, pointer, field, coalesce(text, 'null') AS text, score, 'model-native; not calibrated probability' AS score_scale, CASE WHEN path LIKE '%/results.json' THEN 'derived-or-aggregate' ELSE 'source-or-metadata' END AS representation FROM score_rows WHERE crop_id % 50 <> 3", X),
     ),
     "assessment_archive": (
         lambda t: ar.flatten_assessments(ar.flatten_json(artifacts(t))).select("path", "pointer", F.get_json_object("payload", "$.status").alias("status")),

@@ -89,11 +89,20 @@ def test_long_sequences_by_doubling(spark):
             if k == g and number == expected:
                 want.add((g, pos))
                 expected += 1
-    for limit in (4096, 0):
-        got = {(r.g, r.pos) for r in ks.accept_sequence(df, ["g"], limit=limit).filter("accepted").collect()}
+    for bucket in (4096, 7):
+        got = {(r.g, r.pos) for r in ks.accept_sequence(df, ["g"], bucket=bucket).filter("accepted").collect()}
         assert got == want and len(want) > 20
 
 
+def test_heads_at_one_position(spark):
+    rows = [(1, 1, 1), (1, 1, 2), (1, 2, 3), (1, 3, 2), (2, 5, 2), (2, 4, 1), (2, 4, 1), (3, 1, 2)]
+    df = spark.createDataFrame(rows, "g int, pos bigint, number int")
+    out = ks.accept_sequence(df, ["g"])
+    assert sorted((r.g, r.pos, r.number) for r in out.collect()) == sorted(rows)
+    assert sorted((r.g, r.pos, r.number) for r in out.filter("accepted").collect()) == [(1, 1, 1), (1, 1, 2), (1, 2, 3), (2, 4, 1), (2, 4, 1), (2, 5, 2)]
+    assert ks.accept_sequence(df.filter("g > 9"), ["g"]).count() == 0
+
+
 def test_merge_long_chains(spark):
     rng = random.Random(13)
     rows = [(1, i, i) for i in range(60)] + [(1, i, i + 1) for i in range(59) if i % 10] + [(2, rng.randrange(30), rng.randrange(40)) for _ in range(40)]
