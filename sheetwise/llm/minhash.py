@@ -45,7 +45,7 @@ PERCENT = 75
 # A word with one of its symbols masked out, as signed 64-bit values.
 _MASKS = [(~(0xFFFF << (16 * e)) & ((1 << 63) - 1)) - (0 if e == 3 else 1 << 63) for e in range(4)]
 SIG = [f"s{k}" for k in range(WORDS + FINE_WORDS)]
-FINE = SIG[WORDS:]
+COARSE, FINE = SIG[:WORDS], SIG[WORDS:]
 
 _WORD = word_table(SPACES)
 _RANDOM = np.random.Generator(np.random.PCG64(7919))
@@ -151,6 +151,18 @@ def close(a: str, b: str) -> Column:
     return (100 * small >= PERCENT * large) & (apart(a, b) <= FINE_DISTANCE)
 
 
+def first_meeting(a: str, b: str) -> Column:
+    """A pair meets under every key it shares; true under the first of them, so that the
+    join makes it once. ``j`` is the number of the key at hand, ``own`` its whole word:
+    words that are equal meet under all four masks and count under the first."""
+    first = (F.col(f"{a}_j") % 4 == 0) | (F.col(f"{a}_own") != F.col(f"{b}_own"))
+    for c, word in enumerate(COARSE[:-1]):
+        differ = F.col(f"{a}_{word}").bitwiseXOR(F.col(f"{b}_{word}"))
+        apart_here = reduce(lambda x, y: x & y, (differ.bitwiseAND(F.lit(mask)) != 0 for mask in _MASKS))
+        first &= (F.col(f"{a}_j") < 4 * (c + 1)) | apart_here
+    return first
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full shingle sets reach the similarity."""
     pairs = materialise(pairs.select("a", "b").distinct(), "pairs")
@@ -164,7 +176,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _named(df: DataFrame, side: str, *more: str) -> DataFrame:
-    return df.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), *(F.col(c).alias(f"{side}_{c}") for c in FINE),
+    words = [c for c in (*SIG, "j", "own") if c in df.columns]
+    return df.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), *(F.col(c).alias(f"{side}_{c}") for c in words),
                      *(F.col(c).alias(f"{c}_{side}") for c in more))
 
 
@@ -189,16 +202,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", F.col("n_shingles").alias("n"))
         .agg(F.min("doc_id").alias("id"), *(F.any_value(c).alias(c) for c in SIG)), "classes",
     )
-    keys = classes.select("id", F.explode(F.array(*(
+    keys = classes.select("id", F.posexplode(F.array(*(
         F.xxhash64(F.lit(4 * c + e), F.col(SIG[c]).bitwiseAND(F.lit(_MASKS[e]))) for c in range(WORDS) for e in range(4)
-    ))).alias("key"))
+    ))).alias("j", "key"))
     shared = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key")
     members = materialise(keys.join(shared, "key"), "members")
 
     comps = materialise(classes.select("id", F.col("id").alias("comp")), "comps")
 
     def mixed() -> DataFrame:
-        """(key, id, comp, main) under keys that still hold several components;
+        """(key, j, id, comp, main) under keys that still hold several components;
         main is the component with most members there (ties: the larger name)."""
         at = members.join(comps, "id")
         sizes = at.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp")).alias("most"), F.count("*").alias("several"))
@@ -222,19 +235,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         pivots = at.filter("comp = main").groupBy("key").agg(F.min(draw).alias("d")).select("key", "d.pivot")
         stars = at.filter("comp <> main").join(pivots, "key").select("id", "pivot").distinct()
         scored = (
-            stars.join(_named(classes, "b").withColumnRenamed("b", "id"), "id")
-            .join(_named(classes, "a").withColumnRenamed("a", "pivot"), "pivot")
+            stars.join(_named(classes.drop(*COARSE), "b").withColumnRenamed("b", "id"), "id")
+            .join(_named(classes.drop(*COARSE), "a").withColumnRenamed("a", "pivot"), "pivot")
             .filter(close("a", "b")).withColumn("distance", apart("a", "b"))
             .groupBy("id").agg(F.min(F.struct("distance", "pivot")).alias("best"))
         )
         comps = absorb(confirmed(scored.select(F.col("best.pivot").alias("a"), F.col("id").alias("b")), texts))
 
-    full = materialise(mixed().join(classes.select("id", "n", *FINE), "id"), "full")
+    full = mixed().join(classes.select("id", "n", *SIG), "id").withColumn("own", F.get(F.array(*COARSE), F.floor(F.col("j") / 4).cast("int")))
+    full = materialise(full, "full")
     outside = _named(full.filter("comp <> main"), "a", "comp", "key").withColumnRenamed("key_a", "key")
     everyone = _named(full, "b", "comp", "main", "key").withColumnRenamed("key_b", "key")
-    # A pair is reported in one direction, once for each key that it shares.
+    # A pair is reported in one direction, under the first key that it shares. Classes in
+    # different components keep every key that they share, so the first one is there.
     rest = outside.join(everyone, "key").filter(
-        (F.col("comp_a") != F.col("comp_b")) & ((F.col("comp_b") == F.col("main_b")) | (F.col("a") < F.col("b"))) & close("a", "b")
+        (F.col("comp_a") != F.col("comp_b")) & ((F.col("comp_b") == F.col("main_b")) | (F.col("a") < F.col("b"))) & close("a", "b") & first_meeting("a", "b")
     )
     comps = absorb(confirmed(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), texts))
 
