@@ -6,7 +6,12 @@ to a few dimensions, shifted by its own offset, sorts all vectors along a Hilber
 curve. The order is cut into blocks of equal size by global rank; a query is compared,
 on the original vectors, with its own block and the two next to it in every ordering,
 and the lists are merged. Blocks count rows, not key ranges, so crowded places and
-copies don't make them larger. Equal vectors are one point; as ties go to smaller ids,
+copies don't make them larger. A block holds a fixed share of the points, so the part
+of the table that a query meets doesn't shrink as the table grows.
+
+Points are indexed apart by length, each bucket spanning a factor of two below the
+largest, so one long vector doesn't press all others into one corner of the grid. A
+query is searched for in every bucket; a bucket of one block is compared whole. Equal vectors are one point; as ties go to smaller ids,
 a point needs only its smallest ``k`` + 1 ids.
 """
 
@@ -25,6 +30,10 @@ ORDERINGS = 24
 DIMENSIONS = 6
 BITS = 3
 BLOCK = 1024
+# A block is a SHARE-th of its bucket's points, and BLOCK points at least.
+SHARE = 50
+# Scores held at a time when a group of queries meets a block.
+SCORES = 1 << 21
 NEAREST = 20
 EVERY = 20
 
@@ -73,6 +82,16 @@ def _ordering_keys(points: np.ndarray, radius: float) -> np.ndarray:
     return out
 
 
+def block_size(n: int) -> int:
+    """Points in a block of a bucket of n points."""
+    return max(BLOCK, -(-n // SHARE))
+
+
+def orderings_of(n: int) -> int:
+    """Orderings that a bucket of n points needs: one where its only block is compared whole."""
+    return 1 if n <= BLOCK else ORDERINGS
+
+
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return np.asarray(column.flatten()).reshape(len(column), -1).astype(np.float64)
@@ -119,27 +138,36 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST) -> DataFra
     points = points.filter(F.size("vector") == size)
     squares = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     largest = points.agg(F.max(squares)).first()[0] or 1.0
+    bucket = F.floor(F.log2(F.lit(largest) / F.greatest(squares, F.lit(1e-300))) / 2).cast("bigint")
+    points = points.withColumn("bucket", bucket)
+    # A few rows: lengths halve from bucket to bucket.
+    found = points.groupBy("bucket").agg(F.count("*").alias("n"), F.max(squares).alias("largest")).orderBy("bucket").collect()
+    buckets = {r["bucket"]: (r["n"], r["largest"]) for r in found}
 
     wanted = queries.select(F.col("vec_id").cast("bigint").alias("vec_id")).distinct().join(vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding"), "vec_id").distinct()
     wanted = materialise(wanted.join(points.select("point", F.col("vector").alias("embedding")), "embedding").select(F.col("vec_id").alias("query_id"), "point"), "queries")
     asked = wanted.select("point").distinct().withColumn("asked", F.lit(True))
 
     def keyed(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = _matrix(batch.column(1))
-        rest = np.sqrt(np.maximum(largest - (rows * rows).sum(axis=1), 0.0))
-        # A query's length doesn't change its order of candidates; its last component is 0.
-        longer = rows * np.sqrt(largest / (rows * rows).sum(axis=1))[:, None]
+        rows, ids, held = _matrix(batch.column(1)), np.asarray(batch.column(0)), np.asarray(batch.column(3))
+        lengths = (rows * rows).sum(axis=1)
         query = np.flatnonzero(np.asarray(batch.column(2).to_pylist(), dtype=bool))
-        sides = [_ordering_keys(np.column_stack([rows, rest]), np.sqrt(largest)), _ordering_keys(np.column_stack([longer[query], np.zeros(len(query))]), np.sqrt(largest))]
-        ids = np.asarray(batch.column(0))
-        return pa.RecordBatch.from_arrays([
-            pa.array(np.concatenate([np.tile(np.arange(ORDERINGS), len(s)) for s in sides])), pa.array(np.concatenate([s.ravel() for s in sides])),
-            pa.array(np.repeat([0, 1], [s.size for s in sides])), pa.array(np.concatenate([np.repeat(ids, ORDERINGS), np.repeat(ids[query], ORDERINGS)])),
-        ], names=["ordering", "key", "query", "point"])
-
-    marked = points.join(asked, "point", "left").select("point", "vector", F.coalesce("asked", F.lit(False)).alias("asked"))
+        # A query's length doesn't change its order of candidates; its last component is 0.
+        longer = rows[query] / np.sqrt(lengths[query])[:, None]
+        asking = _ordering_keys(np.column_stack([longer, np.zeros(len(query))]), 1.0)
+        parts = []
+        for b, (n, most) in buckets.items():
+            at, several = np.flatnonzero(held == b), orderings_of(n)
+            rest = np.sqrt(np.maximum(most - lengths[at], 0.0))
+            for kind, names, keys in ((0, ids[at], _ordering_keys(np.column_stack([rows[at], rest]), np.sqrt(most))), (1, ids[query], asking)):
+                parts.append((np.tile(b * ORDERINGS + np.arange(several), len(names)), keys[:, :several].ravel(),
+                              np.full(len(names) * several, kind), np.repeat(names, several)))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names=["ordering", "key", "query", "point"])
+
+    marked = points.join(asked, "point", "left").select("point", "vector", F.coalesce("asked", F.lit(False)).alias("asked"), "bucket")
     keys = materialise(arrow_map(marked, keyed, "ordering bigint, key bigint, query bigint, point bigint"), "keys")
-    places = materialise(ranked(keys), "places").withColumn("block", F.floor(F.col("place") / BLOCK))
+    sizes = F.create_map(*(F.lit(v) for b, (n, _) in (buckets or {0: (0, 1.0)}).items() for v in (b, block_size(n))))
+    places = materialise(ranked(keys), "places").withColumn("block", F.floor(F.col("place") / F.element_at(sizes, F.floor(F.col("ordering") / ORDERINGS))))
     shapes = points.select("point", "vector")
     indexed = places.filter("query = 0").select("ordering", "block", "point").join(shapes, "point")
     around = places.filter("query = 1").select("ordering", F.explode(F.sequence(F.col("block") - 1, F.col("block") + 1)).alias("block"), "point").join(shapes, "point")
@@ -152,8 +180,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST) -> DataFra
         names, of = np.asarray(block.column("point")), np.asarray(asking.column("point"))
         keep = min(k + 5, len(x))
         rows, found = [], []
-        for low in range(0, len(q), 2048):
-            best = np.argpartition(-(q[low: low + 2048] @ x.T), keep - 1, axis=1)[:, :keep]
+        step = max(1, SCORES // len(x))
+        for low in range(0, len(q), step):
+            best = np.argpartition(-(q[low: low + step] @ x.T), keep - 1, axis=1)[:, :keep]
             found.append(best.ravel())
             rows.append(np.repeat(np.arange(low, low + len(best)), keep))
         rows, found = np.concatenate(rows), np.concatenate(found)

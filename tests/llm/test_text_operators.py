@@ -192,6 +192,33 @@ def test_neighbours_reach_recall_and_copies(spark):
     assert not {r.query_id for r in out} & {700}
 
 
+def _recall(spark, x, asked):
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    out = hilbert.nearest(rows, rows.filter(F.col("vec_id").isin(asked)).select("vec_id")).collect()
+    found = {q: {r.vec_id for r in out if r.query_id == q} for q in asked}
+    hit = 0
+    for q in asked:
+        s = x.astype(float) @ x[q].astype(float)
+        s[q] = -np.inf
+        hit += len(found[q] & set(np.argsort(-s)[:20].tolist()))
+    return hit / (20 * len(asked))
+
+
+def test_neighbour_blocks_keep_their_share_of_the_points():
+    for n in (51_200, 200_000, 500_000, 10_000_000):
+        assert 3 * hilbert.block_size(n) * hilbert.SHARE >= 3 * n
+    assert hilbert.block_size(10) == hilbert.BLOCK
+
+
+def test_one_long_vector_does_not_flatten_the_grid(spark, monkeypatch):
+    prepare(spark)
+    monkeypatch.setattr(hilbert, "BLOCK", 64)
+    x = np.random.default_rng(5).normal(size=(4000, 16)).astype("float32")
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[3999] *= 1000
+    assert _recall(spark, x, list(range(0, 800, 20))) >= 0.9
+
+
 def test_quality_statistics_and_rules(docs, rows, nothing):
     got = quality.judge(docs, []).collect()
     want = []
