@@ -62,7 +62,7 @@ def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     ends = np.cumsum(counts)
     sums = np.zeros(len(words), dtype=np.uint64)
     for j, place in enumerate(_PLACES):
-        sums[: len(words) - j] += words[j:] * place
+        sums[: max(0, len(words) - j)] += words[j:] * place
     sums = mix(sums)
     sets, sizes = [], np.zeros(len(counts) + 1, dtype=np.int64)
     for row, (n, end) in enumerate(zip(counts.tolist(), ends.tolist())):

@@ -71,6 +71,13 @@ def test_near_duplicates_equal_brute_force(docs, rows, nothing):
     assert minhash.near_duplicates(nothing).count() == 0
 
 
+@pytest.mark.parametrize("n", range(5))
+def test_near_duplicates_of_one_short_text(spark, n):
+    prepare(spark)
+    df = spark.createDataFrame([(7, " ".join(WORDS[:n]))], "doc_id bigint, text string").coalesce(1)
+    assert [tuple(r) for r in minhash.near_duplicates(df).collect()] == [(7, min(n, 1), 7, True)]
+
+
 def test_line_dedup_equals_brute_force(spark, docs, nothing):
     rng = random.Random(3)
     line = lambda: "".join(rng.choice("abc ") for _ in range(rng.randrange(18, 30))).strip() + "z"
