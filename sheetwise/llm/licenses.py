@@ -1,7 +1,10 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with templates.
 
-A block is a line of a text, as the set of its words that occur in any template. A
-template is found in a block that holds at least CONTAINMENT of its distinct words.
+A block is a window of words of a text, across its line breaks, as the set of its words
+that occur in any template. For a template of L words windows are 2 L words wide and
+begin every L / 2 words, so any stretch of up to 1.5 L words lies whole in one and words
+scattered more widely than 2 L never count together. A template is found in a block
+that holds at least CONTAINMENT of its distinct words.
 Words are ordered by how many lines of all documents hold them, rarest first. A block
 that reaches the needed overlap holds one of a template's first |T| - needed + 1 words,
 so blocks meet templates on those words only; the length of the block and the position
@@ -49,8 +52,8 @@ _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = True
 _WORD[128:] = True
 
 
-def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all words, index of the first word of each row (and one behind), line of each word, first line of each row."""
+def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words, index of the first word of each row (and one behind), line of each word."""
     data, offsets = text_bytes(texts)
     starts, ends = word_spans(data, offsets, _WORD)
     breaks = np.flatnonzero(data == 10)
@@ -58,7 +61,6 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
         span_hashes(data, starts, ends), np.searchsorted(starts, offsets),
         # A line's number counts line breaks and row borders before it.
         np.searchsorted(breaks, starts) + np.searchsorted(offsets[1:], starts, side="right"),
-        np.searchsorted(breaks, offsets[:-1]) + np.arange(len(offsets) - 1),
     )
 
 
@@ -75,7 +77,7 @@ def word_frequencies(docs: DataFrame, templates: dict[str, str]) -> dict[int, in
     known = np.array(vocabulary(templates), dtype=np.int64)
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hashes, _, lines, _ = words_of(batch.column(0))
+        hashes, _, lines = words_of(batch.column(0))
         hits = np.flatnonzero(np.isin(hashes.view(np.int64), known))
         pairs = np.unique(np.stack([lines[hits], np.searchsorted(known, hashes[hits].view(np.int64))]), axis=1)
         n = np.bincount(pairs[1], minlength=len(known))
@@ -87,13 +89,13 @@ def word_frequencies(docs: DataFrame, templates: dict[str, str]) -> dict[int, in
 
 
 def template_prefixes(spark: SparkSession, templates: dict[str, str], frequency: dict[int, int], containment: float) -> DataFrame:
-    """(word, place, label, needed, size, words): a row for each word of a template's prefix. ``words`` are in global order."""
+    """(word, length, place, label, needed, size, words): a row for each word of a template's prefix. ``words`` are in global order."""
     rows = []
     for label, text in sorted(templates.items()):
         words = sorted({int(h) for h in hashed(text).view(np.int64)}, key=lambda w: (frequency[w], w))
         needed = ceil(containment * len(words) - 1e-9)
-        rows += [(w, i, label, needed, len(words), words) for i, w in enumerate(words[: len(words) - needed + 1])]
-    return spark.createDataFrame(rows, "word bigint, place int, label string, needed int, size int, words array<bigint>")
+        rows += [(w, len(hashed(text)), i, label, needed, len(words), words) for i, w in enumerate(words[: len(words) - needed + 1])]
+    return spark.createDataFrame(rows, "word bigint, length int, place int, label string, needed int, size int, words array<bigint>")
 
 
 def row_key() -> Column:
@@ -101,11 +103,11 @@ def row_key() -> Column:
 
 
 def template_blocks(docs: DataFrame, templates: dict[str, str] | None = None, containment: float = CONTAINMENT) -> DataFrame:
-    """(doc_id, text_key, line, label, overlap, containment): every line that holds enough of a template.
+    """(doc_id, text_key, at_word, label, overlap, containment): every window that holds enough of a template.
 
-    ``text_key`` is a hash of the row's text and tells rows with equal ids apart; lines
-    count from 0. Null and empty texts have no lines with words. Repeated rows give
-    repeated results.
+    ``text_key`` is a hash of the row's text and tells rows with equal ids apart;
+    ``at_word`` is the window's first word, from 0. Null and empty texts have no
+    windows. Repeated rows give repeated results, and so do overlapping windows.
     """
     templates = TEMPLATES if templates is None else templates
     spark = docs.sparkSession
@@ -114,38 +116,62 @@ def template_blocks(docs: DataFrame, templates: dict[str, str] | None = None, co
     rank = np.empty(len(known), dtype=np.int64)  # place of each known word in the global order
     rank[np.lexsort((known, np.array([frequency[int(w)] for w in known])))] = np.arange(len(known))
     prefixes = template_prefixes(spark, templates, frequency, containment)
-    openers = np.array(sorted({int(h) for label, text in templates.items() for h in _prefix(text, frequency, containment)}), dtype=np.int64)
+    # By length: (needed, words, prefix words) of its templates, as flags over the known words.
+    of_length: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
+    for text in templates.values():
+        words = hashed(text).view(np.int64)
+        needed = ceil(containment * len(np.unique(words)) - 1e-9)
+        of_length.setdefault(len(words), []).append((needed, np.isin(known, words), np.isin(known, _prefix(text, frequency, containment))))
 
     def blocks(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hashes, first, lines, first_line = words_of(batch.column(2))
+        hashes, first, _ = words_of(batch.column(2))
         values = hashes.view(np.int64)
-        hot = np.unique(lines[np.isin(values, openers)])
-        out: list[list] = [[], [], [], []]
-        for line in hot.tolist():
-            a, b = np.searchsorted(lines, [line, line + 1])
-            words = np.unique(values[a:b][np.isin(values[a:b], known)])
-            words = words[np.argsort(rank[np.searchsorted(known, words)])]
-            row = int(np.searchsorted(first, a, side="right")) - 1
-            for column, value in zip(out, (batch.column(0)[row].as_py(), batch.column(1)[row].as_py(), line - int(first_line[row]), words)):
-                column.append(value)
+        hits = np.flatnonzero(np.isin(values, known))
+        word = np.searchsorted(known, values[hits])
+        row = np.searchsorted(first, hits, side="right") - 1
+        inside = hits - first[row]
+        out: list[list] = [[], [], [], [], []]
+        for length, its in sorted(of_length.items()):
+            width, stride = 2 * length, (length + 1) // 2
+            base = np.concatenate([[0], np.cumsum(-(-np.diff(first) // stride))])
+            hot = np.zeros(base[-1], dtype=bool)
+            for needed, words, prefix in its:
+                own = np.flatnonzero(words[word])
+                counts, opened = np.zeros(len(hot), dtype=np.int64), np.zeros(len(hot), dtype=bool)
+                for back in range(-(-width // stride)):  # the windows that hold a word
+                    k = inside[own] // stride - back
+                    there = (k >= 0) & (inside[own] - k * stride < width)
+                    window = base[row[own]][there] + k[there]
+                    counts += np.bincount(window, minlength=len(hot))
+                    opened[window[prefix[word[own][there]]]] = True
+                hot |= opened & (counts >= needed)
+            for window in np.flatnonzero(hot).tolist():
+                r = int(np.searchsorted(base, window, side="right")) - 1
+                start = (window - int(base[r])) * stride
+                a, b = np.searchsorted(hits, [first[r] + start, min(first[r] + start + width, first[r + 1])])
+                held = np.unique(word[a:b])
+                held = known[held[np.argsort(rank[held])]]
+                for column, value in zip(out, (batch.column(0)[r].as_py(), batch.column(1)[r].as_py(), start, length, held)):
+                    column.append(value)
         return pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())))], names=["doc_id", "text_key", "line", "held"]
+            [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())))],
+            names=["doc_id", "text_key", "at_word", "length", "held"],
         )
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), row_key().alias("text_key"), F.col("text").cast("string").alias("text"))
-    found = arrow_map(texts, blocks, "doc_id bigint, text_key bigint, line bigint, held array<bigint>")
+    found = arrow_map(texts, blocks, "doc_id bigint, text_key bigint, at_word bigint, length int, held array<bigint>")
     opened = found.withColumn("nth", F.monotonically_increasing_id()).select("*", F.posexplode("held").alias("at", "word"))
     # The templates are the literal list above: a few hundred rows at most.
-    met = opened.join(F.broadcast(prefixes), "word")
+    met = opened.join(F.broadcast(prefixes), ["word", "length"])
     met = met.filter(
         (F.size("held") >= F.col("needed"))
         & (1 + F.least(F.col("size") - F.col("place") - 1, F.size("held") - F.col("at") - 1) + F.least("place", "at") >= F.col("needed"))
     )
     overlap = F.size(F.array_intersect("held", "words"))
-    # A line meets a template once for each common prefix word: the first one reports it.
+    # A window meets a template once for each common prefix word: the first one reports it.
     first_common = F.array_position("held", F.element_at(F.array_intersect("held", "words"), 1)) == F.col("at") + 1
     return met.filter(first_common & (overlap >= F.col("needed"))).select(
-        "doc_id", "text_key", "line", "label", overlap.alias("overlap"), (overlap / F.col("size")).alias("containment")
+        "doc_id", "text_key", "at_word", "label", overlap.alias("overlap"), (overlap / F.col("size")).alias("containment")
     )
 
 
@@ -160,7 +186,7 @@ def phrase_places(docs: DataFrame, phrases: dict[str, str] | None = None) -> Dat
     sequences = [(label, hashed(phrase)) for phrase, label in sorted(phrases.items())]
 
     def scan(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hashes, first, _, _ = words_of(batch.column(2))
+        hashes, first, _ = words_of(batch.column(2))
         rows = batch.num_rows
         n, low, high = np.zeros(rows, dtype=np.int64), np.full(rows, -1, dtype=np.int64), np.full(rows, -1, dtype=np.int64)
         labels: dict[int, set[str]] = {}
@@ -188,7 +214,7 @@ def phrase_places(docs: DataFrame, phrases: dict[str, str] | None = None) -> Dat
 def license_scan(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) for every row.
 
-    Phrases and template lines of a row's whole text; null text counts as empty.
+    Phrases and template windows of a row's whole text; null text counts as empty.
     Labels are distinct, sorted and joined with commas. score is 1 with a phrase, else
     the largest containment found, else 0. Repeated rows and ids get a row each; other
     columns are not read.

@@ -2,6 +2,7 @@
 
 import random
 import re
+import textwrap
 
 import numpy as np
 import pytest
@@ -290,3 +291,18 @@ def test_licenses_equal_brute_force(spark, docs, rows, nothing):
         assert (r.n_base, r.first_word, r.last_word) == (len(places), min(starts, default=None), max(starts, default=None))
         assert r.base_labels == ",".join(sorted({label for _, label in places})) and r.labels == ",".join(sorted(labels))
     assert licenses.license_scan(nothing).count() == 0
+
+
+def test_licenses_across_lines_and_in_long_lines(spark):
+    prepare(spark)
+    wrap = lambda t, mark: "\n".join(mark + line for line in textwrap.wrap(t, 72))
+    filler = lambda n: " ".join(WORDS[k % len(WORDS)] for k in range(n))
+    templates = list(licenses.TEMPLATES.items())
+    texts = [(k, f"{filler(k * 7)}\n{wrap(t, ' * ')}\n{filler(90)}") for k, (_, t) in enumerate(templates)]
+    texts += [(100 + k, f"{filler(1000 + k)} {t} {filler(1000)}") for k, (_, t) in enumerate(templates)]
+    texts += [(200 + k, "\n".join(f"rem {line}" for line in textwrap.wrap(t, 30))) for k, (_, t) in enumerate(templates)]
+    texts += [(300 + k, f" {filler(80)} ".join(re.findall("[A-Za-z0-9]+", t))) for k, (_, t) in enumerate(templates)]
+    labels = {r.doc_id: r.labels.split(",") for r in licenses.license_scan(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()}
+    for k, (label, _) in enumerate(templates):
+        assert all(label in labels[k + at] for at in (0, 100, 200))
+        assert labels[300 + k] == [""]
