@@ -253,11 +253,13 @@ def cascade(rows: DataFrame) -> DataFrame:
     ``rows``: eligible crops with stage_results columns and ``peel_possible``.
     Peel if possible, else B; an unstable B leads to C, an unstable C to D1; a peel
     without a valid digit leads to D2, a low-score digit conflict asks D2 to confirm.
+    A stage without readings (a null struct, as after a left join) has not run and
+    leads to no other stage.
     """
     peel = F.col("peel_possible")
-    unstable = lambda stage: ~F.coalesce(F.col(f"s_{stage}.stable"), F.lit(False))
+    unstable = lambda stage: _ran(stage) & ~F.coalesce(F.col(f"s_{stage}.stable"), F.lit(False))
     digit = to_digit(F.col("s_peel.picked.txt"))
-    weak = digit.isNull() | ~F.coalesce(F.col("s_peel.picked.score") >= 0.8, F.lit(False))
+    weak = _ran("peel") & (digit.isNull() | ~F.coalesce(F.col("s_peel.picked.score") >= 0.8, F.lit(False)))
     original = to_digit(F.col("txt"))
     conflict = F.coalesce(
         student_choices(F.col("txt")) != _accepted(F.col("s_peel.picked.txt"), F.col("s_peel.picked.score")),
@@ -274,6 +276,10 @@ def cascade(rows: DataFrame) -> DataFrame:
     )
 
 
+def _ran(stage: str) -> Column:
+    return F.col(f"s_{stage}").isNotNull()
+
+
 def apply_stage(rows: DataFrame, due: dict[str, Column], *, confirmation: bool = False) -> DataFrame:
     """One step of the chain over the current readings. ``due`` gives stages that
     exclude each other once stable (a stable one ends the chain): the stable one is
@@ -325,17 +331,18 @@ def apply_stage(rows: DataFrame, due: dict[str, Column], *, confirmation: bool =
 
 
 def run_cascade(rows: DataFrame) -> DataFrame:
-    """All stages in their fixed order; rows from cascade()."""
+    """All stages in their fixed order; rows from cascade(). Due stages without readings
+    have not run: they leave a crop and its trace as they are."""
     state = (
         rows.withColumn("conflict_old", F.lit(None).cast("int"))
         .withColumn("conflict_new", F.lit(None).cast("int"))
         .withColumn("trace", F.lit(""))
         .withColumn("original_txt", F.col("txt")).withColumn("original_score", F.col("score"))
     )
-    state = apply_stage(state, {"peel": F.col("due_peel")})
-    fixed = {s: F.col(f"due_{s}") for s in ("B", "C", "D1")}
-    state = apply_stage(state, {**fixed, "D2": F.col("due_D2") & ~F.col("confirm_D2")})
-    return apply_stage(state, {"D2": F.col("confirm_D2")}, confirmation=True)
+    state = apply_stage(state, {"peel": F.col("due_peel") & _ran("peel")})
+    fixed = {s: F.col(f"due_{s}") & _ran(s) for s in ("B", "C", "D1")}
+    state = apply_stage(state, {**fixed, "D2": F.col("due_D2") & ~F.col("confirm_D2") & _ran("D2")})
+    return apply_stage(state, {"D2": F.col("confirm_D2") & _ran("D2")}, confirmation=True)
 
 
 def numeric_readings(all_readings: DataFrame) -> DataFrame:

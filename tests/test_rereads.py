@@ -64,3 +64,16 @@ def test_history_counts_even_without_attempts(spark):
     rows = crops(spark, {}, {})
     traces = spark.createDataFrame([(2, 0)], "crop_id bigint, attempts int")
     assert [r.crop_id for r in rr.without_history(rows, traces).collect()] == [1]
+
+
+def test_crops_without_readings_pass_the_cascade_unchanged(spark):
+    rows = crops(spark, dict(txt="③", score=0.4), dict(txt="③", score=0.4), dict(txt="③", score=0.4), dict(txt="③", score=0.4))
+    read = [(1, "B", i, p, "2", 0.9) for i, p in enumerate((2.0, 2.5, 3.0), 1)] + [(4, "peel", 1, 0.0, "2", 0.9)]
+    read = spark.createDataFrame(read, "crop_id bigint, stage string, variant_no int, param double, txt string, score double")
+    due = rr.cascade(rows.selectExpr("*", "crop_id % 2 = 0 AS peel_possible").join(rr.stage_results(read), "crop_id", "left"))
+    assert sorted((r.crop_id, r.due_peel, r.due_B, r.due_C, r.due_D1, r.due_D2, r.confirm_D2) for r in due.collect()) == [
+        (1, False, True, False, False, False, False), (2, True, False, False, False, False, False),
+        (3, False, True, False, False, False, False), (4, True, False, False, False, True, True)]
+    done = {r.crop_id: (r.txt, r.score, r.conflict_old, r.conflict_new, r.trace) for r in rr.run_cascade(due).collect()}
+    assert done[2] == done[3] == ("③", 0.4, None, None, "")
+    assert done[1][4] == "B:adopted" and done[4] == ("③", 0.4, mask(3), mask(2), "peel:answer_conflict")
