@@ -8,7 +8,7 @@ signature is therefore listed under 16 words x 4 masks, and any pair within the
 distance meets under at least one key. A pair at similarity 0.75 differs in 16 symbols
 on average (deviation 3.5), so the distance lies 4.5 deviations out. What meets under a
 key is not counted again symbol by symbol: a second signature of single bits, with its
-own distance 4 deviations out, thins it out before the exact confirmation.
+own distance 5.8 deviations out, thins it out before the exact confirmation.
 
 Copies never become pairs of rows: equal shingle sets are one class from the start.
 Rounds of stars join each class with the closest of the centres under its keys, a
@@ -38,7 +38,7 @@ SYMBOLS = 64
 # It takes sixteen bit counts, so the comparison of two rows stays small compiled code.
 FINE_WORDS = 16
 FINE_BITS = 64 * FINE_WORDS
-FINE_DISTANCE = 170
+FINE_DISTANCE = 190
 STAR_ROUNDS = 2
 SHINGLE = 5
 PERCENT = 75

@@ -1,5 +1,6 @@
 """Text operators on small tables: brute force, round trips and odd rows."""
 
+import math
 import random
 import re
 import textwrap
@@ -79,6 +80,12 @@ def test_near_duplicates_of_one_short_text(spark, n):
     assert [tuple(r) for r in minhash.near_duplicates(df).collect()] == [(7, min(n, 1), 7, True)]
 
 
+def test_bit_signatures_lose_no_more_than_the_keys():
+    """Share of pairs at similarity 0.75 whose single bits lie beyond the distance."""
+    beyond = range(minhash.FINE_DISTANCE + 1, minhash.FINE_BITS + 1)
+    assert sum(math.comb(minhash.FINE_BITS, k) * 0.125**k * 0.875 ** (minhash.FINE_BITS - k) for k in beyond) < 1e-7
+
+
 def test_line_dedup_equals_brute_force(spark, docs, nothing):
     rng = random.Random(3)
     line = lambda: "".join(rng.choice("abc ") for _ in range(rng.randrange(18, 30))).strip() + "z"
