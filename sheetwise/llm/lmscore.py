@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheetwise.llm.common import SPACES, mix, word_hashes, word_table
@@ -63,6 +63,11 @@ def _texts(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes(rows.column("text").combine_chunks(), _WORD)
 
 
+def batch_of(batches: int) -> Column:
+    """Batch of a row, by its id and text: rows without id spread by their texts."""
+    return F.pmod(F.xxhash64("doc_id", "text", F.lit(5)), F.lit(batches))
+
+
 def lm_scores(docs: DataFrame, order: int = ORDER, batch_bytes: int = BATCH_BYTES, count_bytes: int = COUNT_BYTES) -> DataFrame:
     """(doc_id, n_words, log_score, mean_score) for every row.
 
@@ -78,7 +83,7 @@ def lm_scores(docs: DataFrame, order: int = ORDER, batch_bytes: int = BATCH_BYTE
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     batches, parts = int(total // batch_bytes) + 1, int(total // count_bytes) + 1
-    dealt = texts.withColumn("batch", F.pmod(F.xxhash64("doc_id", F.octet_length("text"), F.lit(5)), F.lit(batches)))
+    dealt = texts.withColumn("batch", batch_of(batches))
     dealt = dealt.repartition(batches, "batch")
 
     def ask(rows: pa.Table) -> pa.Table:

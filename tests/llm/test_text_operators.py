@@ -313,3 +313,8 @@ def test_licenses_across_lines_and_in_long_lines(spark):
     for k, (label, _) in enumerate(templates):
         assert all(label in labels[k + at] for at in (0, 100, 200))
         assert labels[300 + k] == [""]
+
+
+def test_rows_without_id_spread_over_batches(spark):
+    rows = spark.createDataFrame([(None, f"text {k:04d}") for k in range(400)], "doc_id bigint, text string")
+    assert rows.select(lmscore.batch_of(8).alias("batch")).distinct().count() == 8
