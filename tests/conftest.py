@@ -5,10 +5,9 @@ import pytest
 
 sys.path[:0] = [os.path.dirname(os.path.dirname(__file__)), os.path.dirname(__file__)]
 
+from harness import SF_DIR  # noqa: E402
 from sheetwise.session import local_session  # noqa: E402
 
-SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-
 
 @pytest.fixture(scope="session")
 def spark():

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+import os
 from collections import Counter
 
 import duckdb
 
+SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
     "pages benchmark labels conversations"

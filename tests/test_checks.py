@@ -5,8 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
-from conftest import SF_DIR
-from harness import connect, difference
+from harness import SF_DIR, connect, difference
 
 QUICK = (
     "student_choices key_answer required_count gate project_box page_boxes box_algebra question_review f08_pairs associate enclosing "
