@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sheetwise.llm import chat, hilbert, langid, licenses, linededup, lmscore, minhash, mixing, pieces, quality
+from sheetwise.llm import chat, hilbert, langid, licenses, linededup, lmscore, minhash, mixing, pieces, quality, toxicity, trie
 from sheetwise.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,14 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "removed", "text")
 
 
+def toxic_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all(" + _LOWER + r", '[^\x20\x09-\x0D]+')"
 
@@ -125,6 +133,31 @@ a AS (SELECT doc_id, sum(v) AS v FROM s GROUP BY 1)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, round(a.v, 4) AS log_score, round(a.v / len(w), 4) AS mean_score
 FROM d LEFT JOIN a ON a.doc_id = d.doc_id"""
 
+# crc32 of an ASCII text, bit by bit.
+_CRC32 = """xor(CAST(4294967295 AS UBIGINT), list_reduce(
+  flatten(list_transform(range(1, length({0}) + 1), lambda i: [CAST(ascii({0}[i]) AS UBIGINT), 0, 0, 0, 0, 0, 0, 0])),
+  lambda a, x: xor(xor(a, x) >> 1, CASE WHEN xor(a, x) & 1 = 1 THEN CAST(3988292384 AS UBIGINT) ELSE CAST(0 AS UBIGINT) END),
+  CAST(4294967295 AS UBIGINT)))"""
+
+TRIE_SQL = r"""
+WITH t AS (SELECT CAST(conv_id AS BIGINT) AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+e AS (SELECT c, turn, md5(CAST(strlen(role) AS VARCHAR) || ':' || role || text) AS id, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w FROM t),
+o AS (SELECT c, list({'id': id, 'w': w} ORDER BY turn NULLS FIRST, id) AS s, CAST(c AS VARCHAR) AS name FROM e GROUP BY c),
+g AS (SELECT c, s, CAST(""" + _CRC32.format("name") + r""" % 4 AS INTEGER) AS h FROM o),
+b AS (SELECT g.c, coalesce(x.s[1:g.h], []) || g.s[g.h + 1:] AS s FROM g LEFT JOIN g x ON x.c = g.c - g.c % 20),
+p AS MATERIALIZED (SELECT c, d, len(s) AS n, CASE WHEN d > 0 THEN s[d].w ELSE 0 END AS w, list_transform(s[1:d], lambda x: x.id) AS node,
+        CASE WHEN d > 0 THEN list_transform(s[1:d - 1], lambda x: x.id) END AS outer_node
+      FROM (SELECT c, s, unnest(range(0, len(s) + 1)) AS d FROM b)),
+k AS MATERIALIZED (SELECT node, any_value(outer_node) AS outer_node, any_value(d) AS d, any_value(w) AS w, min(c) AS c, count(*) AS n,
+        sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (n = d), '')) AS ends FROM p GROUP BY node),
+f AS (SELECT outer_node AS node, count(*) AS n FROM k WHERE outer_node IS NOT NULL GROUP BY 1),
+a AS (SELECT k.*, coalesce(f.n, 0) AS children FROM k LEFT JOIN f ON f.node = k.node),
+under AS (SELECT up.node, count(*) FILTER (a.children = 0) AS leaves, sum((a.n - 1) * a.w) AS saved
+          FROM (SELECT *, unnest(range(0, d + 1)) AS u FROM a) a JOIN k up ON up.node = a.node[1:a.u] GROUP BY up.node)
+SELECT a.c AS conv_id, a.d AS depth, k.c AS parent_conv_id, a.n AS n_convs, a.children AS n_children, under.leaves AS n_leaves,
+       CAST(under.saved AS BIGINT) AS saved_tokens, a.ends AS ends_sha256
+FROM a JOIN under ON under.node = a.node LEFT JOIN k ON k.node = a.outer_node"""
+
 ENTRIES: dict[str, tuple[Query, str | None]] = {
     "op1_near_dedup": (near_dedup, NEAR_DEDUP_SQL),
     "op2_language_id": (language_id, None),
@@ -136,5 +169,7 @@ ENTRIES: dict[str, tuple[Query, str | None]] = {
     "op8_stupid_backoff": (lm_scores, LM_SQL),
     "op9_license_scan": (license_scan, None),
     "op10_line_dedup": (line_dedup, None),
+    "op11_toxic_passages": (toxic_passages, None),
+    "op13_conversation_trie": (conversation_trie, TRIE_SQL),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
