@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sheetwise.llm import chat, hilbert, langid, licenses, linededup, lmscore, minhash, mixing, pieces, quality, toxicity, trie
+from sheetwise.llm import chat, collocations, hilbert, langid, licenses, linededup, lmscore, minhash, mixing, pieces, quality, toxicity, trie
 from sheetwise.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,10 @@ def toxic_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.conversation_trie(table(spark, sf_dir, "conversations"))
 
@@ -133,6 +137,26 @@ a AS (SELECT doc_id, sum(v) AS v FROM s GROUP BY 1)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, round(a.v, 4) AS log_score, round(a.v / len(w), 4) AS mean_score
 FROM d LEFT JOIN a ON a.doc_id = d.doc_id"""
 
+PHRASE_SQL = f"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM t),
+total AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+      FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM (SELECT *, unnest(range(1, 5)) AS k FROM w))),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+cut AS (SELECT *, unnest(range(1, len(w))) AS k FROM c),
+s AS (SELECT cut.lang, cut.phrase, cut.a, k, x.a AS l, y.a AS r, CAST(CAST(2000000 AS HUGEINT) * cut.a // (CAST(x.a AS HUGEINT) + y.a) AS BIGINT) AS score
+      FROM (SELECT *, array_to_string(w[:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS rest FROM cut) cut
+      JOIN f x ON x.lang = cut.lang AND x.phrase = head JOIN f y ON y.lang = cut.lang AND y.phrase = rest),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+part AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS a
+         FROM (SELECT *, unnest(range(1, len(w) - m + 2)) AS i FROM (SELECT *, unnest(range(2, len(w))) AS m FROM c)) GROUP BY 1, 2),
+kept AS (SELECT best.* FROM best LEFT JOIN part ON part.lang = best.lang AND part.phrase = best.phrase
+         WHERE part.a IS NULL OR 100 * CAST(part.a AS HUGEINT) < 80 * CAST(best.a AS HUGEINT)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT ranked.lang, rank, phrase, a, l, r, CAST(total.n AS BIGINT) AS n, score FROM ranked JOIN total ON total.lang = ranked.lang WHERE rank <= 2000"""
+
 # crc32 of an ASCII text, bit by bit.
 _CRC32 = """xor(CAST(4294967295 AS UBIGINT), list_reduce(
   flatten(list_transform(range(1, length({0}) + 1), lambda i: [CAST(ascii({0}[i]) AS UBIGINT), 0, 0, 0, 0, 0, 0, 0])),
@@ -170,6 +194,7 @@ ENTRIES: dict[str, tuple[Query, str | None]] = {
     "op9_license_scan": (license_scan, None),
     "op10_line_dedup": (line_dedup, None),
     "op11_toxic_passages": (toxic_passages, None),
+    "op12_collocations": (phrase_collocations, PHRASE_SQL),
     "op13_conversation_trie": (conversation_trie, TRIE_SQL),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
