@@ -74,7 +74,7 @@ def _shard(batch: pa.RecordBatch) -> Shard:
 
 
 class Index:
-    """Suffixes of a text of symbols in the order of their first LONGEST symbols.
+    """Suffixes of a text of symbols in the order of their first two or four symbols.
 
     Symbol 0 is a border. The text is read as a ring that begins with a border.
     ``begin[q]`` is the first symbol of suffix q and ``after[q]`` the place of the
@@ -82,10 +82,12 @@ class Index:
     stands before a suffix.
     """
 
-    def __init__(self, text: np.ndarray):
-        # Order of pairs, then of pairs of pairs.
-        _, pair = np.unique(text.astype(np.int64) * (int(text.max(initial=0)) + 1) + np.roll(text, -1), return_inverse=True)
-        suffixes = np.argsort(pair.astype(np.int64) * (int(pair.max(initial=0)) + 1) + np.roll(pair, -2), kind="stable")
+    def __init__(self, text: np.ndarray, depth: int = LONGEST):
+        key = text * (int(text.max(initial=0)) + 1) + np.roll(text, -1)
+        if depth > 2:  # order of pairs, then of pairs of pairs
+            _, pair = np.unique(key, return_inverse=True)
+            key = pair * (int(pair.max(initial=0)) + 1) + np.roll(pair, -2)
+        suffixes = np.argsort(key)
         place = np.empty(len(text), dtype=np.int64)
         place[suffixes] = np.arange(len(text))
         self.begin = text[suffixes]
@@ -195,10 +197,10 @@ def _runs(ids: np.ndarray, link: np.ndarray, least: int) -> tuple[np.ndarray, np
     return known, text
 
 
-def _emitted(known: np.ndarray, phrases: Phrases) -> pa.RecordBatch:
-    ids = known[phrases.symbols - 1].astype(np.int64)
+def _emitted(known: np.ndarray, symbols: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    ids = known[symbols - 1].astype(np.int64)
     gram = pa.ListArray.from_arrays(pa.array(np.arange(0, ids.size + 1, ids.shape[1]), pa.int32()), pa.array(ids.ravel(), pa.int64()))
-    return pa.RecordBatch.from_arrays([gram.cast(_GRAM), pa.array(phrases.size.astype(np.int64))], names=["gram", "n"])
+    return pa.RecordBatch.from_arrays([gram.cast(_GRAM), pa.array(n.astype(np.int64))], names=["gram", "n"])
 
 
 _GRAM = pa.list_(pa.int64())
@@ -231,8 +233,10 @@ def pair_counts(texts: DataFrame, words: np.ndarray) -> DataFrame:
         for batch in batches:
             shard = _shard(batch)
             known, text = _runs(shard.ids, _linked(shard, words, None), 2)
-            index, mirror = Index(text), Index(text[::-1])
-            yield _emitted(known, extend_left(index, _single(index, mirror)))
+            index = Index(text, 2)
+            symbol, low, size = index.words()
+            parent, before, _, n = index.before(low, size)
+            yield _emitted(known, np.stack([before, symbol[parent]], axis=1), n)
 
     return texts.mapInArrow(run, "gram array<bigint>, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
 
@@ -246,8 +250,9 @@ def long_counts(texts: DataFrame, words: np.ndarray, pairs: np.ndarray) -> DataF
             known, text = _runs(shard.ids, _linked(shard, words, pairs), 3)
             index, mirror = Index(text), Index(text[::-1])
             three = extend_left(index, extend_left(index, _single(index, mirror)))
-            yield _emitted(known, three)
-            yield _emitted(known, extend_right(mirror, three))
+            four = extend_right(mirror, three)
+            yield _emitted(known, three.symbols, three.size)
+            yield _emitted(known, four.symbols, four.size)
 
     return texts.mapInArrow(run, "gram array<bigint>, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
 

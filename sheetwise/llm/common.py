@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from sheetwise.session import materialise, shared_folder, tune
 
-# Rows an Arrow batch holds at most; with long texts a batch stays within tens of MB.
+# Rows and bytes an Arrow batch holds at most; a longer text is a batch of its own.
 BATCH_ROWS = 2000
+BATCH_BYTES = 4 << 20
 # Bytes of text hashed at a time.
-SLICE = 1 << 22
+SLICE = 1 << 18
 # Largest number of ids sent to every executor; above it the same join is shuffled.
 BROADCAST_IDS = 2_000_000
 
@@ -26,6 +27,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Runtime settings of the text operators; the shared folder becomes the checkpoint folder."""
     tune(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     shared_folder(spark)
     return spark
 

@@ -146,7 +146,7 @@ g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
 f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 30),
 c AS (SELECT lang, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
 cut AS (SELECT *, unnest(range(1, len(w))) AS k FROM c),
-s AS (SELECT cut.lang, cut.phrase, cut.a, k, x.a AS l, y.a AS r, CAST(CAST(2000000 AS HUGEINT) * cut.a // (CAST(x.a AS HUGEINT) + y.a) AS BIGINT) AS score
+s AS (SELECT cut.lang, cut.phrase, cut.a, cut.k, x.a AS l, y.a AS r, CAST(CAST(2000000 AS HUGEINT) * cut.a // (CAST(x.a AS HUGEINT) + y.a) AS BIGINT) AS score
       FROM (SELECT *, array_to_string(w[:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS rest FROM cut) cut
       JOIN f x ON x.lang = cut.lang AND x.phrase = head JOIN f y ON y.lang = cut.lang AND y.phrase = rest),
 best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
