@@ -14,8 +14,11 @@ Copies never become pairs of rows: equal shingle sets are one class from the sta
 Rounds of stars join each class with the closest of the centres under its keys, a
 centre being one member of a key's largest component; afterwards only classes in
 different components still meet, and of these only the ones outside the largest
-component of a key are probed against the rest. The last step tests every pair that is
-left, so the number of rounds changes cost only.
+component of a key are probed against the rest. A class outside holds few shingles
+that the centre lacks; unless sizes let the shared part alone suffice, a similar class
+must hold one of those too, so such pairs meet under rare shingles and not under the
+crowded keys. The last step tests every pair that is left, so the number of rounds and
+the choice of centres change cost only.
 """
 
 from __future__ import annotations
@@ -115,16 +118,61 @@ def _sign(batch: pa.RecordBatch) -> pa.RecordBatch:
         hashes[0, full] = np.add.reduceat(values, starts)
         hashes[1, full] = np.add.reduceat(mix(values + np.uint64(1)), starts)
     return pa.RecordBatch.from_arrays(
-        [batch.column(0), pa.array(sizes), *(pa.array(h.view(np.int64)) for h in hashes), *(pa.array(w) for w in np.ascontiguousarray(words.T))],
-        names=["doc_id", "n_shingles", "h1", "h2", *SIG],
+        [batch.column(0), batch.column(2), pa.array(sizes), *(pa.array(h.view(np.int64)) for h in hashes), *(pa.array(w) for w in np.ascontiguousarray(words.T))],
+        names=["doc_id", "text_key", "n_shingles", "h1", "h2", *SIG],
     )
 
 
 def _set_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-    values, offsets = shingle_sets(batch.column(1))
+    """Each text's shingle set with the numbers that name its class."""
+    values, offsets = shingle_sets(batch.column(0))
+    full = np.flatnonzero(np.diff(offsets))
+    hashes = np.zeros((2, len(offsets) - 1), dtype=np.uint64)
+    if len(full):
+        hashes[0, full] = np.add.reduceat(values, offsets[:-1][full])
+        hashes[1, full] = np.add.reduceat(mix(values + np.uint64(1)), offsets[:-1][full])
     raw = values.tobytes()
     sets = [raw[8 * a: 8 * b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-    return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
+    return pa.RecordBatch.from_arrays(
+        [*(pa.array(h.view(np.int64)) for h in hashes), pa.array(np.diff(offsets)), pa.array(sets, pa.binary())], names=["h1", "h2", "n", "shingles"]
+    )
+
+
+def _novel(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Of each class (a, its set, its pivot's set): the overlap, and shingles outside the
+    pivot of which any similar set holds at least one.
+
+    A set similar to a holds three quarters of a, so all but a quarter of a; of the
+    shingles outside the pivot any quarter and one more (or all, if fewer) will do. Where
+    the overlap alone would be enough for a set of some size, pairs of such sizes are
+    left to the other join.
+    """
+    ids, overlaps, shingles = [], [], []
+    for i in range(batch.num_rows):
+        a, p = (np.frombuffer(batch.column(c)[i].as_buffer(), dtype=np.uint64) for c in (1, 2))
+        outside = a[~np.isin(a, p, assume_unique=True)]
+        overlap = len(a) - len(outside)
+        outside = outside[: len(a) - (PERCENT * len(a) + 99) // 100 + 1]
+        ids.append(np.full(len(outside), batch.column(0)[i].as_py(), dtype=np.int64))
+        overlaps.append(np.full(len(outside), overlap, dtype=np.int64))
+        shingles.append(outside)
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (ids, overlaps, shingles)], names=["a", "overlap", "s"])
+
+
+def _overlaps(batch: pa.RecordBatch) -> pa.RecordBatch:
+    common = [
+        int(np.isin(*(np.frombuffer(batch.column(c)[i].as_buffer(), dtype=np.uint64) for c in (1, 2)), assume_unique=True).sum()) for i in range(batch.num_rows)
+    ]
+    return pa.RecordBatch.from_arrays([batch.column(0), pa.array(common, pa.int64())], names=["id", "overlap"])
+
+
+def _spread(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """A row for each shingle of each set."""
+    sets = [np.frombuffer(x.as_buffer(), dtype=np.int64) for x in batch.column(1)]
+    sizes = [len(x) for x in sets]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.repeat(np.asarray(batch.column(0)), sizes)), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(sets))], names=["b", "n_b", "s"]
+    )
 
 
 def _confirm(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -163,12 +211,20 @@ def first_meeting(a: str, b: str) -> Column:
     return first
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the similarity."""
+def shingle_rows(ids: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, shingles) of the classes ``ids``, each from the text of its first document."""
+    wanted = materialise(classes.select("id", "doc", "h1", "h2", "n").join(ids, "id", "left_semi"), "wanted")
+    docs = materialise(wanted.select(F.col("doc").alias("doc_id")).distinct(), "ids")
+    sets = arrow_map(restrict(texts, docs, "doc_id").select("text"), _set_rows, "h1 bigint, h2 bigint, n bigint, shingles binary")
+    # Rows that repeat an id and a text give the same set again.
+    return materialise(sets.join(wanted.drop("doc"), ["h1", "h2", "n"]).select("id", "shingles").dropDuplicates(["id"]), "sets")
+
+
+def confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+    """The pairs (a, b) of classes whose full shingle sets reach the similarity."""
     pairs = materialise(pairs.select("a", "b").distinct(), "pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = arrow_map(restrict(texts, materialise(ids, "ids"), "doc_id"), _set_rows, "id bigint, shingles binary")
-    sets = materialise(sets, "sets")
+    if sets is None:
+        sets = shingle_rows(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), classes, texts)
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
@@ -182,25 +238,22 @@ def _named(df: DataFrame, side: str, *more: str) -> DataFrame:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, h1, h2, signature words) of every row."""
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return arrow_map(texts, _sign, ", ".join(f"{c} bigint" for c in ("doc_id", "n_shingles", "h1", "h2", *SIG)))
+    """(doc_id, text_key, n_shingles, h1, h2, signature words) of every row."""
+    text = F.col("text").cast("string")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
+    return arrow_map(texts, _sign, ", ".join(f"{c} bigint" for c in ("doc_id", "text_key", "n_shingles", "h1", "h2", *SIG)))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text, ...).
-
-    A document's set holds its distinct 5-word shingles; a shorter text is one
-    shingle; null or empty text is an empty set, linked with nothing. component_id is
-    the smallest doc_id reachable over links of similarity 0.75 or more. Rows that
-    repeat a doc_id are judged each by its own text. A row without doc_id is kept and
-    has no component. An empty table gives an empty result; other columns are not read.
-    """
+def _judged(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, n_shingles, comp, component_id) of every row; comp names the
+    component of the row's text, null without id or shingles."""
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = materialise(signed(docs), "signatures")
+    # A class of equal sets is named by a number of its own, not by an id: rows that repeat
+    # an id with another text are another class.
     classes = materialise(
         rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", F.col("n_shingles").alias("n"))
-        .agg(F.min("doc_id").alias("id"), *(F.any_value(c).alias(c) for c in SIG)), "classes",
+        .agg(F.min("doc_id").alias("doc"), *(F.any_value(c).alias(c) for c in SIG)).withColumn("id", F.monotonically_increasing_id()), "classes",
     )
     keys = classes.select("id", F.posexplode(F.array(*(
         F.xxhash64(F.lit(4 * c + e), F.col(SIG[c]).bitwiseAND(F.lit(_MASKS[e]))) for c in range(WORDS) for e in range(4)
@@ -218,6 +271,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         sizes = sizes.filter("several > 1").select("key", F.col("most.comp").alias("main"))
         return materialise(at.join(sizes, "key"), "mixed")
 
+    def nearest(at: DataFrame, turn: int) -> DataFrame:
+        """(id, pivot, n_a, n_b, distance): for each class outside a main component the nearest of
+        the centres under its keys. Another member of each main component is its centre each turn."""
+        draw = F.struct(F.xxhash64("id", F.lit(turn)).alias("draw"), F.col("id").alias("pivot"))
+        pivots = at.filter("comp = main").groupBy("key").agg(F.min(draw).alias("d")).select("key", "d.pivot")
+        stars = at.filter("comp <> main").join(pivots, "key").select("id", "pivot").distinct()
+        return (
+            stars.join(_named(classes.drop(*COARSE), "b").withColumnRenamed("b", "id"), "id")
+            .join(_named(classes.drop(*COARSE), "a").withColumnRenamed("a", "pivot"), "pivot")
+            .groupBy("id").agg(F.min(F.struct(apart("a", "b").alias("distance"), "pivot", "n_a", "n_b")).alias("best")).select("id", "best.*")
+        )
+
     def absorb(found: DataFrame) -> DataFrame:
         """Components after the links found; the components so far are the nodes."""
         ends = found
@@ -229,49 +294,81 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         return materialise(known.select("id", F.coalesce("to", "comp").alias("comp")), "comps")
 
     for turn in range(STAR_ROUNDS):
-        at = mixed()
-        # Another member of each main component is its star's centre in each round.
-        draw = F.struct(F.xxhash64("id", F.lit(turn)).alias("draw"), F.col("id").alias("pivot"))
-        pivots = at.filter("comp = main").groupBy("key").agg(F.min(draw).alias("d")).select("key", "d.pivot")
-        stars = at.filter("comp <> main").join(pivots, "key").select("id", "pivot").distinct()
-        scored = (
-            stars.join(_named(classes.drop(*COARSE), "b").withColumnRenamed("b", "id"), "id")
-            .join(_named(classes.drop(*COARSE), "a").withColumnRenamed("a", "pivot"), "pivot")
-            .filter(close("a", "b")).withColumn("distance", apart("a", "b"))
-            .groupBy("id").agg(F.min(F.struct("distance", "pivot")).alias("best"))
+        best = nearest(mixed(), turn).filter(
+            (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")) & (F.col("distance") <= FINE_DISTANCE)
         )
-        comps = absorb(confirmed(scored.select(F.col("best.pivot").alias("a"), F.col("id").alias("b")), texts))
-
-    full = mixed().join(classes.select("id", "n", *SIG), "id").withColumn("own", F.get(F.array(*COARSE), F.floor(F.col("j") / 4).cast("int")))
-    full = materialise(full, "full")
-    outside = _named(full.filter("comp <> main"), "a", "comp", "key").withColumnRenamed("key_a", "key")
+        comps = absorb(confirmed(best.select(F.col("pivot").alias("a"), F.col("id").alias("b")), classes, texts))
+
+    at = mixed()
+    sets = shingle_rows(at.select("id").distinct(), classes, texts)
+    centred = materialise(nearest(at, STAR_ROUNDS).select("id", "pivot"), "centred")
+    beside = centred.join(sets, "id").join(sets.select(F.col("id").alias("pivot"), F.col("shingles").alias("centre")), "pivot").select("id", "shingles", "centre")
+    overlaps = materialise(arrow_map(beside, _overlaps, "id bigint, overlap bigint"), "overlaps")
+
+    # Pairs too large for the overlap with the centre must share a shingle outside it.
+    outer = arrow_map(beside, _novel, "a bigint, overlap bigint, s bigint").join(classes.select(F.col("id").alias("a"), F.col("n").alias("n_a")), "a")
+    inner = arrow_map(sets, _spread, "b bigint, n_b bigint, s bigint")
+    sizes_fit = 100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
+    needed = PERCENT * (F.col("n_a") + F.col("n_b"))
+    met = outer.join(inner, "s").filter((F.col("a") != F.col("b")) & sizes_fit & (needed > (100 + PERCENT) * F.col("overlap")))
+    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    for side in ("a", "b"):
+        met = met.join(comps.select(F.col("id").alias(side), F.col("comp").alias(f"comp_{side}")), side)
+    met = met.filter("comp_a <> comp_b").select("a", "b")
+
+    # The other pairs meet under their keys.
+    full = at.join(classes.select("id", "n", *SIG), "id").withColumn("own", F.get(F.array(*COARSE), F.floor(F.col("j") / 4).cast("int")))
+    full = materialise(full.join(overlaps, "id", "left"), "full")
+    outside = _named(full.filter("comp <> main"), "a", "comp", "key", "overlap").withColumnRenamed("key_a", "key")
     everyone = _named(full, "b", "comp", "main", "key").withColumnRenamed("key_b", "key")
     # A pair is reported in one direction, under the first key that it shares. Classes in
-    # different components keep every key that they share, so the first one is there.
+    # different components keep every key that they share, so the first one is there. The
+    # overlap of the class outside decides; of two outside either one's may.
     rest = outside.join(everyone, "key").filter(
-        (F.col("comp_a") != F.col("comp_b")) & ((F.col("comp_b") == F.col("main_b")) | (F.col("a") < F.col("b"))) & close("a", "b") & first_meeting("a", "b")
+        (F.col("comp_a") != F.col("comp_b")) & (needed <= (100 + PERCENT) * F.col("overlap_a")) & close("a", "b") & first_meeting("a", "b")
     )
-    comps = absorb(confirmed(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), texts))
+    found = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(met)
+    comps = absorb(confirmed(found, classes, texts, sets))
 
-    ids = classes.select("h1", "h2", F.col("n").alias("n_shingles"), "id").join(comps, "id").select("h1", "h2", "n_shingles", "comp")
+    named = classes.select("h1", "h2", F.col("n").alias("n_shingles"), "id", "doc").join(comps, "id")
+    first = named.groupBy("comp").agg(F.min("doc").alias("first"))
+    ids = named.join(first, "comp").select("h1", "h2", "n_shingles", "comp", "first")
     out = rows.drop(*SIG).join(ids, ["h1", "h2", "n_shingles"], "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
-    return out.select(
-        "doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept")
-    )
+    known = F.col("doc_id").isNotNull()
+    return out.select("doc_id", "text_key", "n_shingles", F.when(known, F.col("comp")).alias("comp"), F.when(known, F.coalesce("first", "doc_id")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text, ...).
+
+    A document's set holds its distinct 5-word shingles; a shorter text is one
+    shingle; null or empty text is an empty set, linked with nothing. component_id is
+    the smallest doc_id reachable over links of similarity 0.75 or more. Rows that
+    repeat a doc_id are judged each by its own text: a row belongs to the component of
+    its text, and texts are not linked because they share an id. A row without doc_id
+    is kept and has no component. An empty table gives an empty result; other columns
+    are not read.
+    """
+    return _judged(docs).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """Rows of docs, all columns unchanged: one document of each group of near copies,
-    the one with the smallest id, and every row without id. Of rows that repeat an id
-    one stays, the first by text; the decision is carried to the texts by id."""
-    verdicts = materialise(near_duplicates(docs).filter("doc_id IS NOT NULL"), "verdicts")
-    ids = verdicts.groupBy("doc_id").agg(F.max(F.col("kept").cast("int")).alias("kept"), F.count("*").alias("n"))
-    gone = materialise(ids.filter("kept = 0").select(F.col("doc_id").alias("_gone_id_")), "gone")
-    left = docs.join(gone, docs["doc_id"].cast("bigint") == F.col("_gone_id_"), "left_anti")
-    repeated = materialise(ids.filter("kept = 1 AND n > 1").select(F.col("doc_id").alias("_again_id_")), "repeated")
-    if repeated.isEmpty():
+    """Rows of docs, all columns unchanged: one row of each group of near copies, the
+    one with the smallest id (ties: by a hash of the text), and every row without id or
+    without words. Rows that repeat an id with texts of different groups all stay; of
+    rows equal in id and text one stays."""
+    verdicts = materialise(_judged(docs).filter("comp IS NOT NULL").select("doc_id", "text_key", "comp"), "verdicts")
+    first = verdicts.groupBy("comp").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
+    judged = verdicts.groupBy("doc_id", "text_key", "comp").agg(F.count("*").alias("n")).join(first, "comp")
+    judged = materialise(judged.select("doc_id", "text_key", "n", (F.struct("doc_id", "text_key") == F.col("first")).alias("stays")), "judged")
+
+    def these(rows: DataFrame, which: str, how: str) -> DataFrame:
+        named = judged.filter(which).select(F.col("doc_id").alias("_of_id_"), F.col("text_key").alias("_of_key_"))
+        return rows.join(named, (F.col("doc_id").cast("bigint") == F.col("_of_id_")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_of_key_")), how)
+
+    left = these(docs, "NOT stays", "left_anti")
+    if judged.filter("stays AND n > 1").isEmpty():
         return left
-    again = F.col("doc_id").cast("bigint") == F.col("_again_id_")
-    first = left.join(repeated, again, "left_semi").withColumn("_nth_", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
-    return left.join(repeated, again, "left_anti").unionByName(first.filter("_nth_ = 1").drop("_nth_"))
+    nth = F.row_number().over(Window.partitionBy(F.col("doc_id"), F.xxhash64(F.col("text").cast("string"))).orderBy("doc_id"))
+    one = these(left, "stays AND n > 1", "left_semi").withColumn("_nth_", nth).filter("_nth_ = 1").drop("_nth_")
+    return these(left, "stays AND n > 1", "left_anti").unionByName(one)

@@ -318,3 +318,34 @@ def test_licenses_across_lines_and_in_long_lines(spark):
 def test_rows_without_id_spread_over_batches(spark):
     rows = spark.createDataFrame([(None, f"text {k:04d}") for k in range(400)], "doc_id bigint, text string")
     assert rows.select(lmscore.batch_of(8).alias("batch")).distinct().count() == 8
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    prepare(spark)
+    a, b, c = (" ".join(WORDS[i: i + 9]) for i in (0, 7, 11))
+    df = spark.createDataFrame([(5, a), (5, b), (6, a), (7, b), (9, c), (9, c), (3, ""), (3, None)], "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect())
+    assert got == [(3, 3, True), (3, 3, True), (5, 5, True), (5, 5, True), (6, 5, False), (7, 5, False), (9, 9, True), (9, 9, True)]
+    kept = sorted((r.doc_id, r.text or "") for r in minhash.keep_one_of_each(df).collect())
+    assert kept == [(3, ""), (3, ""), (5, a), (5, b), (9, c)]
+
+
+def test_near_duplicates_of_a_crowd_round_one_text(spark):
+    """Copies of one text with more and more words changed: most pairs lie just under the threshold."""
+    rng = random.Random(31)
+    prepare(spark)
+    base = [rng.choice(WORDS) + str(i) for i in range(60)]
+    texts = []
+    for i in range(150):
+        parts = list(base[rng.randrange(3):])
+        for _ in range(rng.randrange(8)):
+            parts[rng.randrange(len(parts))] = f"new{rng.randrange(4)}"
+        texts.append((i, " ".join(parts)))
+    sets = {i: {tuple(t.split()[k: k + 5]) for k in range(len(t.split()) - 4)} for i, t in texts}
+    comp = {i: i for i in sets}
+    linked = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    for _ in sets:
+        for a, b in linked:
+            comp[a] = comp[b] = min(comp[a], comp[b])
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()}
+    assert got == comp and len(set(comp.values())) > 10
