@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheetwise.llm.common import mix, span_hashes, text_bytes, word_spans, word_table
+from sheetwise.llm.common import bit_table, is_set, mix, span_hashes, text_bytes, word_spans, word_table
 from sheetwise.session import materialise
 
 LEAST = 30
@@ -34,8 +34,6 @@ COVERED = 80
 TOP = 2000
 # Bits of the tables of frequent words and pairs that go to every executor (2 MB each).
 FILTER_BITS = 1 << 24
-# Spark's bitmap functions build blocks of this many bits.
-BITMAP_BLOCK = 1 << 15
 
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 _WORD = word_table(b" \t" + BREAKS)
@@ -152,10 +150,6 @@ def extend_right(mirror: Index, phrases: Phrases) -> Phrases:
     return Phrases(np.concatenate([phrases.symbols[parent], symbol[:, None]], axis=1), other, low, n)
 
 
-def _bits(table: np.ndarray, slots: np.ndarray) -> np.ndarray:
-    return (table[slots >> np.uint64(3)] >> (slots & np.uint64(7)).astype(np.uint8)) & 1 == 1
-
-
 def _word_slots(ids: np.ndarray) -> np.ndarray:
     return ids & np.uint64(FILTER_BITS - 1)
 
@@ -164,23 +158,12 @@ def _pair_slots(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return (left ^ (right >> np.uint64(7))) & np.uint64(FILTER_BITS - 1)
 
 
-def _filter(slots: DataFrame) -> np.ndarray:
-    """Bit table of the column ``slot``: FILTER_BITS bits, whatever the data."""
-    counted = slots.select((F.col("slot") + 1).alias("slot"))  # Spark's bitmaps number from 1
-    blocks = counted.groupBy(F.bitmap_bucket_number("slot").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
-    table = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-    for block, bits in blocks.collect():
-        at = (block - 1) * BITMAP_BLOCK // 8
-        table[at: at + len(bits)] = np.frombuffer(bits, dtype=np.uint8)[: len(table) - at]
-    return table
-
-
 def _linked(shard: Shard, words: np.ndarray, pairs: np.ndarray | None) -> np.ndarray:
     """Whether a word and the next stand in one piece and may form a frequent pair."""
-    frequent = _bits(words, _word_slots(shard.ids))
+    frequent = is_set(words, _word_slots(shard.ids))
     link = shard.follows[1:] & frequent[1:] & frequent[:-1]
     if pairs is not None:
-        link &= _bits(pairs, _pair_slots(shard.ids[:-1], shard.ids[1:]))
+        link &= is_set(pairs, _pair_slots(shard.ids[:-1], shard.ids[1:]))
     return link
 
 
@@ -268,10 +251,10 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, Da
     words = materialise(word_counts(texts), "words")
     totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
     single = words.filter(F.col("n") >= least)
-    word_bits = _filter(single.select(F.col("id").bitwiseAND(FILTER_BITS - 1).alias("slot")))
+    word_bits = bit_table(single.select(F.col("id").bitwiseAND(FILTER_BITS - 1).alias("slot")), FILTER_BITS)
     pairs = materialise(pair_counts(texts, word_bits).filter(F.col("n") >= least), "pairs")
     slot = pairs["gram"][0].bitwiseXOR(F.shiftright(pairs["gram"][1], 7)).bitwiseAND(FILTER_BITS - 1)
-    pair_bits = _filter(pairs.select(slot.alias("slot")))
+    pair_bits = bit_table(pairs.select(slot.alias("slot")), FILTER_BITS)
     longer = materialise(long_counts(texts, word_bits, pair_bits).filter(F.col("n") >= least), "phrases")
     return words, single.select(F.array("id").alias("gram"), "n").unionByName(pairs).unionByName(longer), totals
 

@@ -48,6 +48,25 @@ def restrict(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return rows.join(F.broadcast(ids) if few else ids, key, "left_semi")
 
 
+# Spark's bitmap functions build blocks of this many bits, numbered from 1.
+_BITMAP_BLOCK = 1 << 15
+
+
+def bit_table(slots: DataFrame, bits: int) -> np.ndarray:
+    """Table of ``bits`` bits, set where the column ``slot`` (0 to bits - 1) says; its size does not depend on the data."""
+    counted = slots.select((F.col("slot") + 1).alias("slot"))
+    blocks = counted.groupBy(F.bitmap_bucket_number("slot").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    table = np.zeros(bits // 8, dtype=np.uint8)
+    for block, part in blocks.collect():
+        at = (block - 1) * _BITMAP_BLOCK // 8
+        table[at: at + len(part)] = np.frombuffer(part, dtype=np.uint8)[: len(table) - at]
+    return table
+
+
+def is_set(table: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return (table[slots >> np.uint64(3)] >> (slots & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
 def word_table(separators: bytes) -> np.ndarray:
     table = np.ones(256, dtype=bool)
     table[list(separators)] = False

@@ -14,11 +14,11 @@ Copies never become pairs of rows: equal shingle sets are one class from the sta
 Rounds of stars join each class with the closest of the centres under its keys, a
 centre being one member of a key's largest component; afterwards only classes in
 different components still meet, and of these only the ones outside the largest
-component of a key are probed against the rest. A class outside holds few shingles
-that the centre lacks; unless sizes let the shared part alone suffice, a similar class
-must hold one of those too, so such pairs meet under rare shingles and not under the
-crowded keys. The last step tests every pair that is left, so the number of rounds and
-the choice of centres change cost only.
+component of a key are probed against the rest. Under a crowded key they do so only if
+shingles that many classes hold make up enough of both for a link; other pairs must
+share a rarer shingle and meet under that, where few classes are. The last step tests
+every pair that is left, so the number of rounds and what counts as a crowd change
+cost only.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sheetwise.llm.common import SPACES, arrow_map, components, mix, restrict, word_hashes, word_table
+from sheetwise.llm.common import SPACES, arrow_map, bit_table, components, is_set, mix, restrict, word_hashes, word_table
 from sheetwise.session import materialise
 
 WORDS = 16
@@ -43,6 +43,11 @@ FINE_WORDS = 16
 FINE_BITS = 64 * FINE_WORDS
 FINE_DISTANCE = 190
 STAR_ROUNDS = 2
+# Classes under a key up to which they simply meet there, and bits of the tables of common
+# and shared shingles that go to every executor (8 MB each). Where these fill up, more pairs
+# meet under their keys; none is lost.
+CROWD = 64
+CROWD_BITS = 1 << 26
 SHINGLE = 5
 PERCENT = 75
 # A word with one of its symbols masked out, as signed 64-bit values.
@@ -138,41 +143,27 @@ def _set_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
     )
 
 
-def _novel(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Of each class (a, its set, its pivot's set): the overlap, and shingles outside the
-    pivot of which any similar set holds at least one.
-
-    A set similar to a holds three quarters of a, so all but a quarter of a; of the
-    shingles outside the pivot any quarter and one more (or all, if fewer) will do. Where
-    the overlap alone would be enough for a set of some size, pairs of such sizes are
-    left to the other join.
-    """
-    ids, overlaps, shingles = [], [], []
-    for i in range(batch.num_rows):
-        a, p = (np.frombuffer(batch.column(c)[i].as_buffer(), dtype=np.uint64) for c in (1, 2))
-        outside = a[~np.isin(a, p, assume_unique=True)]
-        overlap = len(a) - len(outside)
-        outside = outside[: len(a) - (PERCENT * len(a) + 99) // 100 + 1]
-        ids.append(np.full(len(outside), batch.column(0)[i].as_py(), dtype=np.int64))
-        overlaps.append(np.full(len(outside), overlap, dtype=np.int64))
-        shingles.append(outside)
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (ids, overlaps, shingles)], names=["a", "overlap", "s"])
-
-
-def _overlaps(batch: pa.RecordBatch) -> pa.RecordBatch:
-    common = [
-        int(np.isin(*(np.frombuffer(batch.column(c)[i].as_buffer(), dtype=np.uint64) for c in (1, 2)), assume_unique=True).sum()) for i in range(batch.num_rows)
-    ]
-    return pa.RecordBatch.from_arrays([batch.column(0), pa.array(common, pa.int64())], names=["id", "overlap"])
+def _slots(values: np.ndarray) -> np.ndarray:
+    return values.view(np.uint64) & np.uint64(CROWD_BITS - 1)
 
 
 def _spread(batch: pa.RecordBatch) -> pa.RecordBatch:
     """A row for each shingle of each set."""
     sets = [np.frombuffer(x.as_buffer(), dtype=np.int64) for x in batch.column(1)]
-    sizes = [len(x) for x in sets]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.repeat(np.asarray(batch.column(0)), sizes)), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(sets))], names=["b", "n_b", "s"]
-    )
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets))], names=["s"])
+
+
+def _scarce(batch: pa.RecordBatch, common: np.ndarray, single: np.ndarray) -> pa.RecordBatch:
+    """Rows of the shingles that few classes hold, but more than one; with each row the number of its set's common shingles."""
+    sets = [np.frombuffer(x.as_buffer(), dtype=np.int64) for x in batch.column(3)]
+    wide = [is_set(common, _slots(x)) for x in sets]
+    few = [x[~w & is_set(single, _slots(x))] for x, w in zip(sets, wide)]
+    # A set without such shingles still tells its overlap, in a row without shingle.
+    sizes = np.array([max(1, len(x)) for x in few])
+    row = pa.array(np.repeat(np.arange(len(sets)), sizes))
+    shingles = pa.chunked_array([pa.array(x) if len(x) else pa.nulls(1, pa.int64()) for x in few], pa.int64()).combine_chunks()
+    counts = (pa.array(np.array([f(x, w) for x, w in zip(sets, wide)], dtype=np.int64)).take(row) for f in (lambda x, w: len(x), lambda x, w: w.sum()))
+    return pa.RecordBatch.from_arrays([*(batch.column(c).take(row) for c in range(3)), *counts, shingles], names=["id", "comp", "out", "n", "overlap", "s"])
 
 
 def _confirm(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -220,11 +211,10 @@ def shingle_rows(ids: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFr
     return materialise(sets.join(wanted.drop("doc"), ["h1", "h2", "n"]).select("id", "shingles").dropDuplicates(["id"]), "sets")
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+def confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes whose full shingle sets reach the similarity."""
     pairs = materialise(pairs.select("a", "b").distinct(), "pairs")
-    if sets is None:
-        sets = shingle_rows(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), classes, texts)
+    sets = shingle_rows(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), classes, texts)
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
@@ -264,11 +254,11 @@ def _judged(docs: DataFrame) -> DataFrame:
     comps = materialise(classes.select("id", F.col("id").alias("comp")), "comps")
 
     def mixed() -> DataFrame:
-        """(key, j, id, comp, main) under keys that still hold several components;
-        main is the component with most members there (ties: the larger name)."""
+        """(key, j, id, comp, main, crowd) under keys that still hold several components; main is
+        the component with most members there (ties: the larger name)."""
         at = members.join(comps, "id")
-        sizes = at.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp")).alias("most"), F.count("*").alias("several"))
-        sizes = sizes.filter("several > 1").select("key", F.col("most.comp").alias("main"))
+        sizes = at.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp")).alias("most"), F.count("*").alias("several"), F.sum("n").alias("all"))
+        sizes = sizes.filter("several > 1").select("key", F.col("most.comp").alias("main"), (F.col("all") > CROWD).alias("crowd"))
         return materialise(at.join(sizes, "key"), "mixed")
 
     def nearest(at: DataFrame, turn: int) -> DataFrame:
@@ -300,35 +290,39 @@ def _judged(docs: DataFrame) -> DataFrame:
         comps = absorb(confirmed(best.select(F.col("pivot").alias("a"), F.col("id").alias("b")), classes, texts))
 
     at = mixed()
-    sets = shingle_rows(at.select("id").distinct(), classes, texts)
-    centred = materialise(nearest(at, STAR_ROUNDS).select("id", "pivot"), "centred")
-    beside = centred.join(sets, "id").join(sets.select(F.col("id").alias("pivot"), F.col("shingles").alias("centre")), "pivot").select("id", "shingles", "centre")
-    overlaps = materialise(arrow_map(beside, _overlaps, "id bigint, overlap bigint"), "overlaps")
-
-    # Pairs too large for the overlap with the centre must share a shingle outside it.
-    outer = arrow_map(beside, _novel, "a bigint, overlap bigint, s bigint").join(classes.select(F.col("id").alias("a"), F.col("n").alias("n_a")), "a")
-    inner = arrow_map(sets, _spread, "b bigint, n_b bigint, s bigint")
-    sizes_fit = 100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
+    crowds = at.filter("crowd").groupBy("id").agg(F.max("comp").alias("comp"), F.max(F.col("comp") != F.col("main")).alias("out"))
+    crowds = materialise(crowds, "crowds")
+    sets = shingle_rows(crowds.select("id"), classes, texts)
+    held = materialise(arrow_map(sets, _spread, "s bigint").groupBy("s").count().filter("count > 1"), "held")
+    slot = F.col("s").bitwiseAND(F.lit(CROWD_BITS - 1)).alias("slot")
+    common, single = bit_table(held.filter(F.col("count") > CROWD).select(slot), CROWD_BITS), bit_table(held.select(slot), CROWD_BITS)
+    # How much of a set common shingles make up; if a link needs more, its ends share a rarer one.
+    # A bit set by another shingle makes one count as common, everywhere alike.
+    rare = arrow_map(
+        crowds.join(sets, "id").select("id", "comp", "out", "shingles"), lambda batch: _scarce(batch, common, single),
+        "id bigint, comp bigint, out boolean, n bigint, overlap bigint, s bigint",
+    )
+    rare = materialise(rare, "rare")
+    overlaps = rare.groupBy("id").agg(F.max("overlap").alias("overlap"))
     needed = PERCENT * (F.col("n_a") + F.col("n_b"))
-    met = outer.join(inner, "s").filter((F.col("a") != F.col("b")) & sizes_fit & (needed > (100 + PERCENT) * F.col("overlap")))
-    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    for side in ("a", "b"):
-        met = met.join(comps.select(F.col("id").alias(side), F.col("comp").alias(f"comp_{side}")), side)
-    met = met.filter("comp_a <> comp_b").select("a", "b")
+    here, there = (rare.select("s", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "comp", "out", "n", "overlap"))) for side in ("a", "b"))
+    met = here.filter("out_a").join(there, "s").filter(
+        (F.col("comp_a") != F.col("comp_b")) & (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
+        & (needed > (100 + PERCENT) * F.least("overlap_a", "overlap_b"))
+    ).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
 
-    # The other pairs meet under their keys.
+    # All other pairs meet under their keys.
     full = at.join(classes.select("id", "n", *SIG), "id").withColumn("own", F.get(F.array(*COARSE), F.floor(F.col("j") / 4).cast("int")))
-    full = materialise(full.join(overlaps, "id", "left"), "full")
-    outside = _named(full.filter("comp <> main"), "a", "comp", "key", "overlap").withColumnRenamed("key_a", "key")
-    everyone = _named(full, "b", "comp", "main", "key").withColumnRenamed("key_b", "key")
+    full = materialise(full.join(overlaps, "id", "left").fillna(0, ["overlap"]), "full")
+    outside = _named(full.filter("comp <> main"), "a", "comp", "key", "overlap", "crowd").withColumnRenamed("key_a", "key")
+    everyone = _named(full, "b", "comp", "key", "overlap").withColumnRenamed("key_b", "key")
     # A pair is reported in one direction, under the first key that it shares. Classes in
-    # different components keep every key that they share, so the first one is there. The
-    # overlap of the class outside decides; of two outside either one's may.
+    # different components keep every key that they share, so the first one is there.
     rest = outside.join(everyone, "key").filter(
-        (F.col("comp_a") != F.col("comp_b")) & (needed <= (100 + PERCENT) * F.col("overlap_a")) & close("a", "b") & first_meeting("a", "b")
+        (F.col("comp_a") != F.col("comp_b")) & (~F.col("crowd_a") | (needed <= (100 + PERCENT) * F.least("overlap_a", "overlap_b"))) & close("a", "b") & first_meeting("a", "b")
     )
     found = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(met)
-    comps = absorb(confirmed(found, classes, texts, sets))
+    comps = absorb(confirmed(found, classes, texts))
 
     named = classes.select("h1", "h2", F.col("n").alias("n_shingles"), "id", "doc").join(comps, "id")
     first = named.groupBy("comp").agg(F.min("doc").alias("first"))
