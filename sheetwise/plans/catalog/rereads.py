@@ -40,12 +40,12 @@ WHERE route = 'student_candidate' AND NOT is_empty AND NOT answer_excluded AND N
     "old_valid": "SELECT crop_id, digits, CASE WHEN txt = '③' THEN '3' WHEN txt = '①④' THEN '1,4' END AS before FROM parsed",
     "path": """SELECT e.crop_id, e.txt, e.score, e.open, e.low_digit, e.peel_possible, o.before, p.ptxt AS peel_txt, p.pscore AS peel_score, b.stable AS b_ok, b.ptxt AS b_txt, b.pscore AS b_score,
  c.stable AS c_ok, c.ptxt AS c_txt, c.pscore AS c_score, d1.stable AS d1_ok, d1.ptxt AS d1_txt, d1.pscore AS d1_score, d2.stable AS d2_ok, d2.ptxt AS d2_txt, d2.pscore AS d2_score,
- e.peel_possible AND p.pscore >= CAST(0.8 AS DOUBLE) AND e.open AND e.low_digit AND o.before IS NOT NULL AND o.before <> p.ptxt AS confirm
-FROM elig e JOIN old_valid o ON o.crop_id = e.crop_id JOIN st_peel p ON p.crop_id = e.crop_id JOIN st_b b ON b.crop_id = e.crop_id JOIN st_c c ON c.crop_id = e.crop_id JOIN st_d1 d1 ON d1.crop_id = e.crop_id JOIN st_d2 d2 ON d2.crop_id = e.crop_id""",
-    "due": """SELECT *, peel_possible AS due_peel, NOT peel_possible AS due_b, NOT peel_possible AND NOT b_ok AS due_c, NOT peel_possible AND NOT b_ok AND NOT c_ok AS due_d1,
- peel_possible AND (confirm OR peel_score < CAST(0.8 AS DOUBLE)) AS due_d2 FROM path""",
+ coalesce(e.peel_possible AND p.pscore >= CAST(0.8 AS DOUBLE) AND e.open AND e.low_digit AND o.before IS NOT NULL AND o.before <> p.ptxt, false) AS confirm, p.crop_id IS NOT NULL AS has_reads
+FROM elig e JOIN old_valid o ON o.crop_id = e.crop_id LEFT JOIN st_peel p ON p.crop_id = e.crop_id LEFT JOIN st_b b ON b.crop_id = e.crop_id LEFT JOIN st_c c ON c.crop_id = e.crop_id LEFT JOIN st_d1 d1 ON d1.crop_id = e.crop_id LEFT JOIN st_d2 d2 ON d2.crop_id = e.crop_id""",
+    "due": """SELECT *, peel_possible AS due_peel, NOT peel_possible AS due_b, coalesce(NOT peel_possible AND NOT b_ok, false) AS due_c, coalesce(NOT peel_possible AND NOT b_ok AND NOT c_ok, false) AS due_d1,
+ coalesce(peel_possible AND (confirm OR peel_score < CAST(0.8 AS DOUBLE)), false) AS due_d2 FROM path""",
     # A crop is reconciled at most once with a stable fixed-parameter result, plus the peel before it.
-    "last_step": """SELECT *, CASE WHEN due_b AND b_ok THEN 'B' WHEN due_c AND c_ok THEN 'C' WHEN due_d1 AND d1_ok THEN 'D1' WHEN due_d2 AND NOT confirm AND d2_ok THEN 'D2' WHEN due_peel AND NOT due_d2 THEN 'peel' WHEN confirm THEN 'confirm' ELSE 'none' END AS step,
+    "last_step": """SELECT *, CASE WHEN NOT has_reads THEN 'none' WHEN due_b AND b_ok THEN 'B' WHEN due_c AND c_ok THEN 'C' WHEN due_d1 AND d1_ok THEN 'D1' WHEN due_d2 AND NOT confirm AND d2_ok THEN 'D2' WHEN due_peel AND NOT due_d2 THEN 'peel' WHEN confirm THEN 'confirm' ELSE 'none' END AS step,
  CASE WHEN due_b AND b_ok THEN b_txt WHEN due_c AND c_ok THEN c_txt WHEN due_d1 AND d1_ok THEN d1_txt WHEN due_d2 AND NOT confirm AND d2_ok THEN d2_txt ELSE peel_txt END AS new_txt,
  CASE WHEN due_b AND b_ok THEN b_score WHEN due_c AND c_ok THEN c_score WHEN due_d1 AND d1_ok THEN d1_score WHEN due_d2 AND NOT confirm AND d2_ok THEN d2_score ELSE peel_score END AS new_score FROM due""",
     "outcome": """SELECT *, CASE WHEN step = 'none' THEN 'kept' WHEN NOT open THEN 'still_unreadable' WHEN before IS NULL OR before = new_txt THEN 'adopted' WHEN step = 'peel' THEN 'answer_conflict'
@@ -68,7 +68,7 @@ def _consensus_sizes(t):
 
 def cascade_rows(t):
     eligible = rr.eligible_strip(protected(t.fx_crops)).withColumn("peel_possible", c("crop_id") % 2 == 0)
-    return rr.cascade(eligible.join(rr.stage_results(t.fx_readings), "crop_id"))
+    return rr.cascade(eligible.join(rr.stage_results(t.fx_readings), "crop_id", "left"))
 
 
 def _cascade(t):
@@ -214,7 +214,7 @@ UNION ALL SELECT crop_id, 'D2', ptxt, pscore FROM st_d2 WHERE stable""", X),
         _apply_stage,
         check("""SELECT crop_id, CASE WHEN status = 'adopted' THEN new_txt ELSE txt END AS txt, CASE WHEN status = 'adopted' THEN new_score ELSE score END AS score,
  CASE WHEN status = 'answer_conflict' THEN before ELSE '' END AS conflict_old, CASE WHEN status = 'answer_conflict' THEN new_txt ELSE '' END AS conflict_new,
- CASE WHEN due_b THEN CASE WHEN step = 'B' THEN 'B:' || status WHEN step = 'C' THEN 'B:fixed_consensus_failed>C:' || status WHEN step = 'D1' THEN 'B:fixed_consensus_failed>C:fixed_consensus_failed>D1:' || status
+ CASE WHEN NOT has_reads THEN '' WHEN due_b THEN CASE WHEN step = 'B' THEN 'B:' || status WHEN step = 'C' THEN 'B:fixed_consensus_failed>C:' || status WHEN step = 'D1' THEN 'B:fixed_consensus_failed>C:fixed_consensus_failed>D1:' || status
    ELSE 'B:fixed_consensus_failed>C:fixed_consensus_failed>D1:fixed_consensus_failed' END
   WHEN step = 'peel' THEN 'peel:' || status WHEN confirm THEN 'peel:answer_conflict>D2+:' || status WHEN d2_ok THEN 'peel:still_unreadable>D2:' || status ELSE 'peel:still_unreadable>D2:fixed_consensus_failed' END AS trace
 FROM outcome""", X),
