@@ -25,6 +25,7 @@ SELECT question_id, page, CAST(CASE WHEN question_id % 61 = 7 THEN question_id -
  CASE question_id % 13 WHEN 0 THEN '../up.png' WHEN 1 THEN 'a/b.gif' WHEN 2 THEN 'a//b.png' ELSE 'evidence/x.png' END AS path, CASE WHEN question_id % 31 = 0 THEN 'e1' ELSE 'e2' END AS second_id FROM fx_questions"""
 X = {
     "doc_q": DOC_Q,
+    "latest_valid": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY updated_at DESC, edit_id DESC) AS rn FROM fx_corrections WHERE judgement <> '???') q WHERE rn = 1",
     "latest": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY updated_at DESC, edit_id DESC) AS rn FROM fx_corrections) q WHERE rn = 1",
 }
 
@@ -92,7 +93,7 @@ def _overlay(t):
     from sheetwise.functions.answers import answer_string
 
     results = reviews.select("question_id", answer_string(c("proposed")).alias("read_answer"), c("status").alias("judgement"))
-    edits = rs.latest_correction(t.fx_corrections).filter(c("judgement").isin(*rs.JUDGEMENTS))
+    edits = rs.latest_correction(t.fx_corrections.filter(c("judgement").isin(*rs.JUDGEMENTS)))
     return rs.overlay_corrections(results, edits).withColumn("effective_answer", F.coalesce("effective_answer", F.lit("null")))
 
 
@@ -196,7 +197,7 @@ UNION ALL SELECT CAST(question_id // 8 AS VARCHAR), CAST(question_id AS VARCHAR)
         _overlay,
         check("""SELECT coalesce(r.question_id, e.question_id) AS question_id, coalesce(CASE WHEN e.question_id IS NOT NULL THEN e.read_answer ELSE r.proposed END, 'null') AS effective_answer, coalesce(e.judgement, r.status) AS effective_judgement,
  r.question_id IS NOT NULL AND e.question_id IS NOT NULL AND (e.read_answer IS DISTINCT FROM r.proposed OR e.judgement <> r.status) AS differs, r.question_id IS NULL AS orphan
-FROM (SELECT * FROM reviews WHERE policy = 'duplicate') r FULL JOIN (SELECT * FROM latest WHERE judgement <> '???') e ON e.question_id = r.question_id""", X),
+FROM (SELECT * FROM reviews WHERE policy = 'duplicate') r FULL JOIN latest_valid e ON e.question_id = r.question_id""", X),
     ),
     "write_guard": (
         _write_guard,

@@ -96,12 +96,13 @@ def _stream_corrections(t):
         edits.filter(part).write.mode("append").parquet(source)
         stream = t.spark.readStream.schema(edits.schema).parquet(source)
         flows.stream_corrections(stream, results, out, offsets).awaitTermination()
-    rows = t.spark.read.schema(flows.SAVED + ", batch int").parquet(out)
-    return rows.select("batch", "question_id", "edit_id", "revision", "accepted", F.coalesce("problem", F.lit("")).alias("problem"))
+    rows = t.spark.read.schema(flows.SAVED).option("recursiveFileLookup", "true").parquet(out)
+    return rows.select("question_id", "edit_id", "revision", "accepted", F.coalesce("problem", F.lit("")).alias("problem"))
 
 
+# Saves see revision 0 or 1, so a chain is the first good save that sees 0 and the first later one that sees 1.
 SAVED_SQL = """SELECT *, CASE WHEN judgement = '???' THEN 'judgement' WHEN question_id NOT IN (SELECT question_id FROM fx_questions) THEN 'question_gone' WHEN edit_id % 17 = 0 THEN 'stale_result' ELSE '' END AS basic FROM (
-SELECT *, CASE WHEN edit_id % 5 < 3 THEN 0 ELSE 1 END AS batch, row_number() OVER (PARTITION BY question_id, edit_id % 5 < 3 ORDER BY updated_at DESC, edit_id DESC) AS rn FROM fx_corrections) q WHERE rn = 1"""
+SELECT *, CASE WHEN edit_id % 5 < 3 THEN 0 ELSE edit_id % 2 END AS seen, row_number() OVER (PARTITION BY question_id ORDER BY edit_id % 5 >= 3, updated_at, edit_id) AS n FROM fx_corrections) q"""
 
 ENTRIES = {
     "score_archive": (
@@ -145,9 +146,9 @@ SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id
     ),
     "stream_corrections": (
         _stream_corrections,
-        check("""SELECT s.batch, s.question_id, s.edit_id, CASE WHEN s.basic <> '' OR (s.batch = 1 AND f.question_id IS NOT NULL AND s.edit_id % 2 = 0) OR (s.batch = 1 AND f.question_id IS NULL AND s.edit_id % 2 = 1) THEN CASE WHEN s.batch = 1 AND f.question_id IS NOT NULL THEN 1 ELSE 0 END
- WHEN s.batch = 1 AND f.question_id IS NOT NULL THEN 2 ELSE 1 END AS revision, s.basic = '' AND (s.batch = 0 OR (s.edit_id % 2 = 1) = (f.question_id IS NOT NULL)) AS accepted,
- CASE WHEN s.basic <> '' THEN s.basic WHEN s.batch = 1 AND (s.edit_id % 2 = 1) <> (f.question_id IS NOT NULL) THEN 'stale_revision' ELSE '' END AS problem
-FROM saved s LEFT JOIN saved f ON f.question_id = s.question_id AND f.batch = 0 AND f.basic = '' AND s.batch = 1""", {"saved": SAVED_SQL}),
+        check("""SELECT s.question_id, s.edit_id, CAST(coalesce(s.n >= f.n, false) AS INT) + CAST(coalesce(s.n >= g.n, false) AS INT) AS revision, coalesce(s.n = f.n OR s.n = g.n, false) AS accepted,
+ CASE WHEN s.basic <> '' THEN s.basic WHEN NOT coalesce(s.n = f.n OR s.n = g.n, false) THEN 'stale_revision' ELSE '' END AS problem
+FROM saved s LEFT JOIN (SELECT question_id, min(n) AS n FROM saved WHERE basic = '' AND seen = 0 GROUP BY question_id) f ON f.question_id = s.question_id
+ LEFT JOIN (SELECT a.question_id, min(a.n) AS n FROM saved a JOIN saved b ON b.question_id = a.question_id AND b.basic = '' AND b.seen = 0 AND b.n < a.n WHERE a.basic = '' AND a.seen = 1 GROUP BY a.question_id) g ON g.question_id = s.question_id""", {"saved": SAVED_SQL}),
     ),
 }

@@ -6,11 +6,17 @@ run again after a failure replaces its own output.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from sheetwise.operators.review import classify_crops
-from sheetwise.sources.results import JUDGEMENTS, latest_correction
+from sheetwise.session import materialise
+from sheetwise.sources.results import JUDGEMENTS
 
 PROGRESS_TYPE = "struct<stage:string,event:string,done:bigint,total:bigint,message:string>"
 
@@ -51,56 +57,105 @@ def latest_rows(changes: DataFrame, keys: list[str]) -> DataFrame:
     return changes.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v")).select(*keys, "v.*")
 
 
-SAVED = "question_id bigint, edit_id bigint, read_answer string, judgement string, revision int, accepted boolean, problem string"
+SAVED = (
+    "question_id bigint, edit_id bigint, read_answer string, judgement string, note string, updated_at timestamp, "
+    "based_on_result_id string, based_on_rules_version string, extra string, revision int, accepted boolean, problem string"
+)
+STATE = "revision int, extra string"
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def saved_corrections(spark: SparkSession, path: str) -> DataFrame:
     """Current correction per question: the accepted save with the highest revision."""
-    rows = spark.read.schema(SAVED + ", batch int").parquet(path).filter("accepted")
-    return rows.groupBy("question_id").agg(
-        F.max_by(F.struct("edit_id", "read_answer", "judgement", "revision"), "revision").alias("v")
-    ).select("question_id", "v.*")
+    rows = spark.read.schema(SAVED).option("recursiveFileLookup", "true").parquet(path).filter("accepted")
+    values = [f.split()[0] for f in SAVED.split(", ") if f.split()[0] not in ("question_id", "accepted", "problem")]
+    return rows.groupBy("question_id").agg(F.max_by(F.struct(*values), "revision").alias("v")).select("question_id", "v.*")
+
+
+class SaveChain(StatefulProcessor):
+    """The chain of revisions of one question: every save is judged against the state
+    that the saves before it left. State: revision, and the unknown members of the last
+    accepted save, which a later save without such members keeps."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._state = handle.getValueState("current", STATE)
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        self._state.update((int(initialState["revision"].iloc[0]), initialState["extra"].iloc[0]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        saves = pd.concat(list(rows)).sort_values(["updated_at", "edit_id"], kind="stable")
+        revision, extra = self._state.get() if self._state.exists() else (0, None)
+        judged = []
+        for seen, basic, more in zip(saves["seen_revision"], saves["problem"], saves["extra"]):
+            problem = basic if isinstance(basic, str) else None if seen == revision else "stale_revision"
+            if problem is None:
+                revision += 1
+                extra = more if isinstance(more, str) else extra
+            judged.append((revision, problem is None, problem, extra if problem is None else more))
+        self._state.update((revision, extra))
+        out = saves.drop(columns=["seen_revision", "problem", "extra"])
+        out["revision"], out["accepted"], out["problem"], out["extra"] = zip(*judged)
+        yield out[[f.split()[0] for f in SAVED.split(", ")]]
+
+    def close(self) -> None:
+        pass
 
 
-def apply_corrections(edits: DataFrame, results: DataFrame, stored: DataFrame | None) -> DataFrame:
-    """Saves of one batch: the last edit per question, refused when its result or
-    its revision is stale, the question is gone or the values are not valid.
+def prepare_saves(edits: DataFrame, results: DataFrame) -> DataFrame:
+    """Saves with what can be said about them without their question's history.
 
     ``edits``: question_id, edit_id, updated_at, read_answer, judgement, result_id,
-    seen_revision; ``results``: question_id, result_id.
+    seen_revision, and where known note, rules_version and extra (the text of unknown
+    members); ``results``: question_id, result_id of the current results, one row each.
     """
-    last = latest_correction(edits).withColumnRenamed("result_id", "based_on")
-    rows = last.join(results.select("question_id", "result_id"), "question_id", "left")
-    if stored is None:
-        rows = rows.withColumn("current", F.lit(0))
-    else:
-        rows = rows.join(stored.select("question_id", F.col("revision").alias("current")), "question_id", "left").na.fill(0, ["current"])
+    optional = {"note": "string", "rules_version": "string", "extra": "string"}
+    known = edits.select(*edits.columns, *(F.lit(None).cast(kind).alias(name) for name, kind in optional.items() if name not in edits.columns))
+    current = results.select("question_id", F.col("result_id").alias("current_result"))
     problem = (
-        F.when(~F.col("judgement").isin(*JUDGEMENTS), F.lit("judgement"))
-        .when(F.col("result_id").isNull(), F.lit("question_gone"))
-        .when(F.col("result_id") != F.col("based_on"), F.lit("stale_result"))
-        .when(F.col("current") != F.col("seen_revision"), F.lit("stale_revision"))
+        F.when(F.col("question_id").isNull() | F.col("seen_revision").isNull() | ~F.coalesce(F.col("judgement").isin(*JUDGEMENTS), F.lit(False)),
+               F.when(F.coalesce(F.col("judgement").isin(*JUDGEMENTS), F.lit(False)), F.lit("incomplete")).otherwise(F.lit("judgement")))
+        .when(F.col("current_result").isNull(), F.lit("question_gone"))
+        .when(~F.col("current_result").eqNullSafe(F.col("result_id")), F.lit("stale_result"))
     )
-    rows = rows.withColumn("problem", problem).withColumn("accepted", F.col("problem").isNull())
-    return rows.select(
-        "question_id", "edit_id", F.trim("read_answer").alias("read_answer"), "judgement",
-        F.when(F.col("accepted"), F.col("current") + 1).otherwise(F.col("current")).alias("revision"), "accepted", "problem",
+    return known.join(current, "question_id", "left").select(
+        "question_id", F.col("edit_id").cast("bigint").alias("edit_id"), F.trim("read_answer").alias("read_answer"), "judgement", "note",
+        F.col("updated_at").cast("timestamp").alias("updated_at"), F.col("result_id").alias("based_on_result_id"),
+        F.col("rules_version").alias("based_on_rules_version"), "extra", F.coalesce("seen_revision", F.lit(-1)).cast("int").alias("seen_revision"), problem.alias("problem"),
     )
 
 
 def stream_corrections(edits: DataFrame, results: DataFrame, path: str, checkpoint: str):
-    """Optimistic saves from a stream of edits into the table at ``path``."""
+    """Optimistic saves from a stream of edits into the table at ``path``: a row per save,
+    accepted or refused with its problem.
+
+    Saves of a question are judged one after the other, in the order of their time within
+    a batch, so it does not matter where batches end. A run without earlier state (a
+    fresh checkpoint) starts from what ``path`` holds, and writes to a folder of its own.
+    The saves of one question in one batch are held by one task.
+    """
     spark = edits.sparkSession
+    spark.conf.set(*STATE_STORE)
+    try:
+        stored = saved_corrections(spark, path).select("question_id", "revision", "extra")
+        stored = materialise(stored, "revisions")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        stored = spark.createDataFrame([], "question_id bigint, revision int, extra string")
+    judged = prepare_saves(edits, results).groupBy("question_id").transformWithStateInPandas(
+        SaveChain(), SAVED, "Append", "None", initialState=stored.groupBy("question_id")
+    )
+    run: list[str] = []
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        # Only earlier batches are read, so running a batch again gives the same.
-        earlier = spark.read.schema(SAVED + ", batch int").option("basePath", path).parquet(path) if batch_id else None
-        stored = None
-        if earlier is not None:
-            done = earlier.filter(F.col("accepted") & (F.col("batch") < batch_id))
-            stored = done.groupBy("question_id").agg(F.max("revision").alias("revision"))
-        apply_corrections(batch, results, stored).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        # The id of a query lives in its checkpoint: a batch that is run again replaces
+        # its own rows, another checkpoint never those of an earlier one.
+        batch.write.mode("overwrite").parquet(f"{path}/{run_of(batch)}-{batch_id}")
 
-    return (
-        edits.writeStream.option("checkpointLocation", checkpoint).foreachBatch(save).trigger(availableNow=True).start()
-    )
+    def run_of(batch: DataFrame) -> str:
+        if not run:
+            run.append(batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId"))
+        return run[0]
+
+    return judged.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(save).trigger(availableNow=True).start()
