@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -149,10 +152,33 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return out
 
 
+# What operators keep in a worker between tasks, by module, and how to drop it.
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def keep_in_worker(owner: str, drop: Callable[[], None]) -> None:
+    """Note that module ``owner`` keeps something in this worker, which may go when another operator uses the worker."""
+    _KEPT[owner] = drop
+
+
+def enter(owner: str) -> None:
+    """Drop what other operators left in this worker and hand free memory back to the system."""
+    others = [name for name in _KEPT if name != owner]
+    for name in others:
+        _KEPT.pop(name)()
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError):  # only some C libraries have it
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """``fn`` over Arrow batches of the rows."""
+    owner = getattr(fn, "__module__", "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter(owner)
         for batch in batches:
             out = fn(batch)
             if out is not None and out.num_rows:

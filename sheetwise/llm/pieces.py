@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheetwise.llm.common import arrow_map
+from sheetwise.llm.common import arrow_map, keep_in_worker
 from sheetwise.session import materialise
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -131,7 +131,7 @@ class Pieces:
             return True
         found = self._apart.get((left, right))
         if found is None:
-            if len(self._apart) > 4 * CACHED_WORDS:
+            if len(self._apart) > CACHED_WORDS // 2:
                 self._apart.clear()
             found = self._apart[left, right] = self.merge(left + right) == [left, right]
         return found
@@ -331,8 +331,10 @@ class Pieces:
         return np.concatenate([self.numbers(self.path(text[start:first], left)), self.encode(text[first:last]), self.numbers(self.path(text[last:end]))])
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def pieces(path: str) -> Pieces:
+    """The vocabulary with its caches, kept in a worker until another operator uses the worker."""
+    keep_in_worker(__name__, pieces.cache_clear)
     return Pieces(path)
 
 
