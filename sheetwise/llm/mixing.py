@@ -69,7 +69,8 @@ def replicate(docs: DataFrame, weights: Mapping[str, float] | None = None, seed:
     repeat an id get the same count each. An empty table or all weights 0 give an
     empty result. Columns of docs keep their values; columns of the three names added
     here are replaced. A source with a third of all rows needs no care: rates are few
-    rows, and rows are dealt out by hash of document and copy.
+    rows, and rows are dealt out by hash of id, text and copy, so rows without id spread
+    by their texts.
     """
     known = materialise(rates(docs, weights, power), "rates")
     added = ("copy", "n_copies", "shuffle_key")
@@ -83,7 +84,7 @@ def replicate(docs: DataFrame, weights: Mapping[str, float] | None = None, seed:
     count = F.aggregate(F.sequence(F.lit(1), F.col("_parts_")), F.lit(0), lambda n, part: n + drawn(part))
     rows = rows.join(table, "_source_key_").withColumn("n_copies", count).drop("_source_key_", "_parts_", "_cdf_")
     rows = rows.filter("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
-    rows = rows.withColumn("shuffle_key", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("copy"), F.length("text")))
+    rows = rows.withColumn("shuffle_key", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("copy"), F.col("text")))
     return rows.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
 

@@ -349,3 +349,9 @@ def test_near_duplicates_of_a_crowd_round_one_text(spark):
             comp[a] = comp[b] = min(comp[a], comp[b])
     got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()}
     assert got == comp and len(set(comp.values())) > 10
+
+
+def test_mix_spreads_rows_without_id(spark):
+    prepare(spark)
+    df = spark.createDataFrame([(None, f"text {i:04d}", "s") for i in range(500)], "doc_id bigint, text string, source string")
+    assert mixing.replicate(df).select("text", "copy", "shuffle_key").distinct().groupBy("shuffle_key").count().filter("count > 1").count() == 0
