@@ -82,8 +82,8 @@ def _stream_progress(t):
     line = F.when(c("event_id") % 10 == 0, F.lit("EVENT {bad")).when(c("event_id") % 10 == 1, F.lit("plain output")).otherwise(F.concat(F.lit("EVENT "), body))
     t.events.select(c("user_id").alias("run_id"), c("event_id").alias("seq"), line.alias("line")).write.parquet(source)
     lines = t.spark.readStream.schema("run_id bigint, seq bigint, line string").option("maxFilesPerTrigger", "4").parquet(source)
-    flows.write_changes(flows.stream_progress(lines, "EVENT "), out, scratch_path(t.spark, "offsets")).awaitTermination()
-    return flows.latest_rows(t.spark.read.parquet(out), ["run_id", "stage"])
+    flows.write_progress(flows.stream_progress(lines, "EVENT "), out, scratch_path(t.spark, "offsets")).awaitTermination()
+    return flows.read_progress(t.spark, out)
 
 
 def _stream_corrections(t):

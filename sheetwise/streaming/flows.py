@@ -1,7 +1,7 @@
 """Readings, progress and corrections as streams.
 
-Results go to tables in a shared folder, one folder per batch, so a batch that is
-run again after a failure replaces its own output.
+Results go to tables in a shared folder. A batch that is run again after a failure
+replaces its own output (saves) or changes nothing (progress).
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from sheetwise.operators.review import classify_crops
 from sheetwise.session import materialise
 from sheetwise.sources.results import JUDGEMENTS
+from sheetwise.streaming.store import current_rows, merge_rows
 
 PROGRESS_TYPE = "struct<stage:string,event:string,done:bigint,total:bigint,message:string>"
 
@@ -40,11 +41,16 @@ def stream_progress(lines: DataFrame, prefix: str) -> DataFrame:
     ).select("run_id", "stage", "seq", "last.*", F.coalesce("ends_run", F.lit(False)).alias("ends_run"))
 
 
-def write_changes(updates: DataFrame, path: str, checkpoint: str):
-    """Append every batch of changed rows; `latest_rows` reads the current state."""
+PROGRESS_KEYS = ("run_id", "stage")
+
+
+def write_progress(updates: DataFrame, path: str, checkpoint: str):
+    """Merge every batch of stream_progress into the table at ``path``, which
+    read_progress reads. The line number decides, so redelivered lines, batches that run
+    again and a lost checkpoint change nothing."""
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        merge_rows(batch, path, PROGRESS_KEYS, "seq")
 
     return (
         updates.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
@@ -52,9 +58,8 @@ def write_changes(updates: DataFrame, path: str, checkpoint: str):
     )
 
 
-def latest_rows(changes: DataFrame, keys: list[str]) -> DataFrame:
-    values = [name for name in changes.columns if name not in (*keys, "batch")]
-    return changes.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v")).select(*keys, "v.*")
+def read_progress(spark: SparkSession, path: str) -> DataFrame:
+    return current_rows(spark, path, PROGRESS_KEYS, "seq")
 
 
 SAVED = (

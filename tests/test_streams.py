@@ -44,3 +44,36 @@ def test_every_save_is_judged_in_turn(spark, parts, restart):
         11: (False, "incomplete", 0), 12: (False, "incomplete", 0),
     }
     assert saved == {1: (None, 3, "last", '{"by":"x"}', 5), 2: ("2", 1, "n", None, 7), 4: ("1", 1, "n", None, 10)}
+
+
+def progress(spark, lines):
+    rows = [(run, seq, f'EVENT {{"stage": "{stage}", "done": {done}, "total": 9}}') for run, seq, stage, done in lines]
+    return spark.createDataFrame([*rows, (1, 0, "plain"), (1, 0, "EVENT {bad")], "run_id bigint, seq bigint, line string")
+
+
+def test_progress_survives_lost_checkpoints(spark):
+    out = scratch_path(spark, "latest")
+    runs = [[(1, 1, "a", 1), (1, 2, "a", 2), (2, 1, "a", 5)], [(1, 3, "b", 1), (1, 1, "a", 1)], [(2, 7, "a", 9)]]
+    for lines in runs:  # every run has a checkpoint and a source of its own
+        source = scratch_path(spark, "progress")
+        progress(spark, lines).write.parquet(source)
+        stream = spark.readStream.schema("run_id bigint, seq bigint, line string").parquet(source)
+        flows.write_progress(flows.stream_progress(stream, "EVENT "), out, scratch_path(spark, "offsets")).awaitTermination()
+    got = {(r.run_id, r.stage): (r.seq, r.done) for r in flows.read_progress(spark, out).collect()}
+    assert got == {(1, "a"): (2, 2), (1, "b"): (3, 1), (2, "a"): (7, 9)}
+
+
+def test_store_reads_two_folders_and_refuses_a_second_writer(spark):
+    from sheetwise.streaming import store
+
+    path = scratch_path(spark, "store")
+    store.merge_rows(spark.range(100).selectExpr("id AS k", "0 AS seq", "'first' AS v"), path, ["k"], "seq")
+    for i in range(1, 13):
+        store.merge_rows(spark.range(3 * i, 3 * i + 3).selectExpr("id AS k", f"{i} AS seq", f"'later {i}' AS v"), path, ["k"], "seq")
+        store.merge_rows(spark.range(5).selectExpr("id AS k", "-1 AS seq", "'stale' AS v"), path, ["k"], "seq")
+    rows = store.current_rows(spark, path, ["k"], "seq")
+    assert {r.k: r.v for r in rows.collect()} == {k: f"later {k // 3}" if 3 <= k < 39 else "first" for k in range(100)}
+    assert len({f.rsplit("/", 2)[1] for f in rows.inputFiles()}) <= 2
+    number, content = store._last_commit(spark, path)
+    with pytest.raises(store.CommitRefused):
+        store._commit(spark, path, number, content)
