@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sheetwise.operators.review import reason_array, reason_crops
+from sheetwise.operators.review import reason_array, reason_crops, reasons_long
 from sheetwise.operators.selection import coverage
 from sheetwise.functions.gates import safe_image_path
 from sheetwise.functions.messages import reason_message
 from sheetwise.plans.checks import check
 from sheetwise.plans.grading import Graded
 from sheetwise.session import scratch_path
+from sheetwise.sources import documents
 from sheetwise.sources import manifests as mf
 from sheetwise.sources import results as rs
 
@@ -164,7 +165,32 @@ def _documents(t):
     ).groupBy("assessment_id", "version").agg(F.sum("n").cast("bigint").alias("questions"))
 
 
+def _written_documents(t):
+    """Documents in the file contract, written, read back and judged."""
+    reviews, evidence = export_tables(t)
+    named = lambda df: df.withColumn("assessment_id", F.concat(F.lit("A"), F.floor(c("question_id") / 800)))
+    questions = named(rs.result_rows(reviews, reason_array(), "rules-1").drop("reasons"))
+    results = questions.select("assessment_id").distinct().select(
+        "assessment_id", F.concat(F.lit("R-"), "assessment_id").alias("result_id"), F.lit("2026-09-27T10:00:00+09:00").alias("generated_at"), F.lit("T").alias("title"))
+    path = scratch_path(t.spark, "documents")
+    documents.write_documents(results, questions, named(reasons_long(reviews)), named(evidence), path)
+    parsed = rs.parse_results(rs.read_documents(t.spark, f"{path}/*/*.txt"))
+    bad = rs.validate_result(parsed).groupBy("doc_id").agg(F.count(F.lit(1)).alias("violations"))
+    rows = rs.result_questions(parsed).select("doc_id", "assessment_id", "result_id", "q.*")
+    return rows.groupBy("doc_id", "assessment_id", "result_id").agg(
+        F.count(F.lit(1)).alias("questions"), F.count("read_answer").alias("answers"), F.sum(F.size("reasons")).alias("reasons"),
+        F.min(F.size("evidence_images")).alias("least_images"), F.count(F.when(c("judgement") == "보류", 1)).alias("held"),
+    ).join(bad, "doc_id", "left").select(
+        "assessment_id", "result_id", "questions", "answers", "reasons", (c("least_images") > 0).alias("has_images"), "held", F.coalesce("violations", F.lit(0)).alias("violations"))
+
+
 ENTRIES = {
+    "written_documents": (
+        _written_documents,
+        check("""SELECT 'A' || r.question_id // 800 AS assessment_id, 'R-A' || r.question_id // 800 AS result_id, count(*) AS questions, count(r.proposed) AS answers,
+ CAST(sum(coalesce(s.n, 0)) AS BIGINT) AS reasons, true AS has_images, count(*) FILTER (WHERE r.status = '보류') AS held, CAST(0 AS BIGINT) AS violations
+FROM reviews r LEFT JOIN (SELECT question_id, count(*) AS n FROM reasons WHERE policy = 'duplicate' GROUP BY 1) s ON s.question_id = r.question_id WHERE r.policy = 'duplicate' GROUP BY 1, 2""", X),
+    ),
     "result_questions": (
         _result_questions,
         check("""SELECT 'A' || page AS doc_id, id, judgement, coalesce(read_answer, 'null') AS read_answer, coalesce(review_stage, 0) AS review_stage, CASE WHEN has_reason THEN 1 ELSE 0 END AS n_reasons, 2 AS n_images FROM doc_q""", X),
