@@ -1,13 +1,16 @@
 """Line dedup: lines that equal or nearly equal an earlier line are removed.
 
-Lines of MIN_CHARS or more characters are compared after trimming. Equal lines form a
-class named after its first place (lowest doc_id, then line). Classes within EDITS
-edits are found by a segment-partition join: a line is cut into EDITS + 1 even
-segments, one of which any line within EDITS edits must hold unchanged, at a place
-that the lengths bound. A line lists its own segments and, for each length up to EDITS
-shorter, the substrings that may equal a segment there. Only keys under which two
-classes meet go on; their lines are verified with the banded edit distance. A class
-within reach of an earlier one is removed whole. DataFrame functions only.
+Lines are compared after trimming. Equal lines form a class named after its first
+place (lowest doc_id, then line, then text; rows without id come last). Every line
+that holds a letter or digit takes part in this exact step, as does any line of
+MIN_CHARS or more characters. Among lines of at least MIN_CHARS characters, classes
+within EDITS edits are found by a segment-partition join: EDITS + 1 pieces of a line
+that don't overlap, one of which any line within EDITS edits must hold unchanged,
+near the same distance from its start or its end. Lines of similar length have pieces
+of one size, so a line lists its own pieces and, mostly, few substrings more. Only
+keys under which two classes meet go on; their lines are verified with the banded
+edit distance. A class within reach of an earlier one is removed whole. DataFrame
+functions only.
 """
 
 from __future__ import annotations
@@ -15,63 +18,83 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheetwise.llm.common import restrict
 from sheetwise.session import materialise
 
 EDITS = 2
 MIN_CHARS = 20
+# Rows without id come behind all others.
+LAST_ID = (1 << 63) - 1
+CLASS = ["h", "g", "length"]
+PLACE = ["place_id", "line_no", "text_key"]
 
 
-def probes(edits: int) -> Column:
-    """Literal array of (gap, number, shift, listed): which substrings of a line may equal
-    segment ``number`` of a line shorter by ``gap``, as shifts from the segment's place.
+def piece_size(length: str, edits: int) -> str:
+    """Characters of a piece of a line, as SQL: its share of the line, in steps of four
+    characters where that is 16 or more. The steps are longer than ``edits``
+    lines of growing length, so a line and the lines up to ``edits`` shorter have at most two sizes."""
+    n = edits + 1
+    return f"CAST(IF({length} < {16 * n}, {length} div {n}, 4 * ({length} div {4 * n})) AS INT)"
 
-    A shift d is needed only if the edits left of the segment (at least |d|) and right
-    of it (at least |gap - d|) leave room: at most number before, edits - number behind.
-    ``listed`` marks the line's own segments.
+
+def probes(edits: int) -> Column:
+    """Literal array of (smaller, number, back, shift, listed): the substrings of a line
+    that may equal piece ``number`` of a line at most ``edits`` characters shorter.
+
+    Take the first piece i before whose end at most i edits lie: it is unchanged, with i
+    edits at most before and edits - i behind it. So its distance from the start moves by
+    at most i and that from the end by at most edits - i; a piece is measured from the end
+    (``back``) where that allows fewer shifts. ``smaller``: for lines with the next smaller
+    size of pieces, which are shorter by at least one. ``listed`` marks the line's own pieces.
     """
-    return F.array(*(
-        F.struct(F.lit(gap).alias("gap"), F.lit(i).alias("number"), F.lit(shift).alias("shift"), F.lit(gap == 0 and shift == 0).alias("listed"))
-        for gap in range(edits + 1) for i in range(edits + 1) for shift in range(-edits, edits + 1)
-        if abs(shift) <= i and abs(gap - shift) <= edits - i
-    ))
+    rows = []
+    for smaller in (False, True):
+        gaps = range(int(smaller), edits + 1)
+        for i in range(edits + 1):
+            back = i > edits - i
+            reach = edits - i if back else i
+            for shift in range(-reach, reach + 1):
+                before = [gap + shift if back else shift for gap in gaps]
+                if any(abs(d) <= i and abs(gap - d) <= edits - i for gap, d in zip(gaps, before)):
+                    rows.append((smaller, i, back, shift, not smaller and shift == 0))
+    names = ("smaller", "number", "back", "shift", "listed")
+    return F.array(*(F.struct(*(F.lit(value).alias(name) for name, value in zip(names, row))) for row in rows))
 
 
 def keyed_lines(lines: DataFrame, edits: int) -> DataFrame:
-    """(h, g, length, line, key, listed): a row per probe of each line. A line of n
-    characters has edits + 1 segments of n div (edits + 1) characters, the last ones
-    one longer. One small expression per row, however many probes there are."""
+    """(h, g, length, key, listed): a row per probe of each line. One small expression
+    per row, however many probes there are."""
     n = edits + 1
-    rows = lines.select(*CLASS, "line", F.explode(probes(edits)).alias("p")).select(*CLASS, "line", "p.*").filter(F.col("length") - F.col("gap") >= n)
-    of = "(length - gap)"
-    start = f"(CAST({of} div {n} AS INT) * number + greatest(0, number - {n} + {of} % {n}) + shift)"
-    size = f"(CAST({of} div {n} AS INT) + CAST(number >= {n} - {of} % {n} AS INT))"
-    rows = rows.filter(F.expr(f"{start} >= 0 AND {start} + {size} <= length"))
-    key = F.expr(f"xxhash64(number, {of}, substring(line, {start} + 1, {size}))")
-    return rows.select(*CLASS, "line", key.alias("key"), "listed")
+    sized = lines.selectExpr(*CLASS, "line", f"{piece_size('length', edits)} AS own", f"{piece_size(f'(length - {edits})', edits)} AS less")
+    rows = sized.select("*", F.explode(probes(edits)).alias("p")).select(*CLASS, "line", "own", "less", "p.*").filter("NOT smaller OR (less < own AND less > 0)")
+    rows = rows.withColumn("size", F.expr("IF(smaller, less, own)"))
+    rows = rows.withColumn("start", F.expr(f"IF(back, length - ({n} - number) * size, number * size) + shift"))
+    rows = rows.filter("start >= 0 AND start + size <= length")
+    return rows.select(*CLASS, F.expr("xxhash64(number, size, substring(line, start + 1, size))").alias("key"), "listed")
 
 
 def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(doc_id, text_key, line_no, line, length, h, g) of the lines that take part; a class is (h, g, length)."""
+    """(doc_id, place_id, text_key, line_no, line, length, h, g) of the lines that take part; a class is (h, g, length)."""
     # Trimmed lines and lengths leave the explode as values, so what is built on them
     # does not trim or count again.
     trimmed = F.transform(F.transform(F.split("text", "\n"), F.trim), lambda x: F.struct(x.alias("line"), F.length(x).cast("int").alias("length")))
-    rows = docs.filter("doc_id IS NOT NULL").select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.posexplode(trimmed).alias("line_no", "of")
-    ).select("doc_id", "text_key", "line_no", "of.line", "of.length").filter(F.col("length") >= min_chars)
+    ids = F.col("doc_id").cast("bigint")
+    rows = docs.select(ids.alias("doc_id"), F.coalesce(ids, F.lit(LAST_ID)).alias("place_id"), F.xxhash64("text").alias("text_key"), F.posexplode(trimmed).alias("line_no", "of"))
+    rows = rows.select("doc_id", "place_id", "text_key", "line_no", "of.line", "of.length").filter((F.col("length") >= min_chars) | F.col("line").rlike(r"[\p{L}\p{N}]"))
     return rows.withColumn("h", F.xxhash64("line")).withColumn("g", F.hash("line"))
 
 
-CLASS = ["h", "g", "length"]
-
-
 def near_classes(lines: DataFrame, firsts: DataFrame, edits: int) -> DataFrame:
-    """Classes (h, g, length) within ``edits`` edits of a class with an earlier first place."""
+    """Classes (h, g, length) within ``edits`` edits of a class with an earlier first place.
+
+    The keys travel without their lines; texts join the few classes that meet others.
+    """
     keyed = keyed_lines(lines, edits)
-    shared = keyed.select("h", "key").groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
-    shared = materialise(shared.filter("lo < hi").select("key"), "shared_keys")
-    entries = restrict(keyed, shared, "key").groupBy(*CLASS, "key", "listed").agg(F.min("line").alias("line"))
-    entries = materialise(entries.join(firsts, CLASS), "entries")
+    shared = keyed.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.max("listed").alias("listed"))
+    shared = materialise(shared.filter("lo < hi AND listed").select("key"), "shared_keys")
+    entries = materialise(keyed.join(shared, "key", "left_semi").distinct(), "meeting_keys")
+    chosen = firsts.join(entries.select(*CLASS).distinct(), CLASS, "left_semi").select(*CLASS, "first", *(F.col("first")[name].alias(name) for name in PLACE))
+    texts = lines.join(chosen, [*CLASS, *PLACE]).select(*CLASS, "line", "first")
+    entries = materialise(entries.join(texts, CLASS), "entries")
 
     def met(later: DataFrame, earlier: DataFrame) -> DataFrame:
         other = earlier.select("key", F.col("line").alias("other"), F.col("length").alias("other_length"), F.col("first").alias("other_first"))
@@ -87,29 +110,31 @@ def near_classes(lines: DataFrame, firsts: DataFrame, edits: int) -> DataFrame:
 def removed_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, text_key, line_no, near, first): lines to remove; ``first`` is the first place of the equal lines."""
     lines = lines_of(docs, min_chars)
-    firsts = materialise(lines.groupBy(*CLASS).agg(F.min(F.struct("doc_id", "line_no")).alias("first")), "first_lines")
-    near = near_classes(lines, firsts, edits).withColumn("near", F.lit(True))
-    classes = firsts.join(near, CLASS, "left")
-    return lines.drop("line").join(classes, CLASS).filter(
-        F.coalesce("near", F.lit(False)) | (F.struct("doc_id", "line_no") != F.col("first"))
-    ).select("doc_id", "text_key", "line_no", F.coalesce("near", F.lit(False)).alias("near"), "first")
+    firsts = lines.groupBy(*CLASS).agg(F.min(F.struct(*PLACE)).alias("first"), F.count(F.lit(1)).alias("n"))
+    firsts = materialise(firsts, "first_lines")
+    long = F.col("length") >= max(min_chars, edits + 1)
+    near = near_classes(lines.filter(long), firsts.filter(long), edits).withColumn("near", F.lit(True))
+    classes = firsts.join(near, CLASS, "left").select(*CLASS, "first", "n", F.coalesce("near", F.lit(False)).alias("near")).filter("near OR n > 1")
+    return lines.drop("line").join(classes, CLASS).filter(F.col("near") | (F.struct(*PLACE) != F.col("first"))).select("doc_id", "text_key", "line_no", "near", "first")
 
 
 def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with ``text`` less its removed lines, and n_lines, n_removed, removed (line numbers from 0).
 
     Null text stays null with no lines; a text whose lines all go becomes empty and
-    its row stays. Of lines at the same place in rows that repeat an id, all stay.
-    Rows without id are left as they are. Lines under ``min_chars`` characters are
-    never removed. Other columns pass through; columns named like the added ones are
-    replaced.
+    its row stays. Rows that repeat an id with another text are judged each by its own
+    text; rows without id take part behind all others. Rows equal in id and text share
+    their places, so the lines of the first stay in all of them: whole copies under one
+    id are near-dedup's work. Of lines under ``min_chars`` characters only exact copies
+    go, and blank ones or short ones without letter or digit always stay. Other columns
+    pass through; columns named like the added ones are replaced.
     """
     added = ("n_lines", "n_removed", "removed", "_text_key_", "_of_id_", "_of_key_")
     gone = removed_lines(docs, edits, min_chars).groupBy(F.col("doc_id").alias("_of_id_"), F.col("text_key").alias("_of_key_")).agg(
         F.array_sort(F.collect_set("line_no")).alias("removed")
     )
     rows = docs.drop(*added).withColumn("_text_key_", F.xxhash64("text"))
-    rows = rows.join(gone, (F.col("doc_id") == F.col("_of_id_")) & (F.col("_text_key_") == F.col("_of_key_")), "left")
+    rows = rows.join(gone, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_of_id_")) & (F.col("_text_key_") == F.col("_of_key_")), "left")
     lines = F.split("text", "\n")
     kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "removed"), lambda i: F.get(lines, i)), "\n")
     rows = rows.withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))

@@ -118,17 +118,38 @@ def test_line_dedup_equals_brute_force(spark, docs, nothing):
             first.setdefault(text.strip(" "), (i, k))
     long = [x for x in first if len(x) >= 20]
     near = {x for x in long if any(first[y] < first[x] and distance(x, y) <= 2 for y in long)}
-    want = {(i, k) for i, t in texts for k, x in enumerate(t.split("\n")) if len(x.strip(" ")) >= 20 and (x.strip(" ") in near or first[x.strip(" ")] != (i, k))}
+    want = {(i, k) for i, t in texts for k, x in enumerate(t.split("\n")) if x.strip(" ") in near or first[x.strip(" ")] != (i, k)}
     got = {(r.doc_id, r.line_no) for r in linededup.removed_lines(df).collect()}
     assert got == want and near
     clean = {r.doc_id: r.text for r in linededup.dedup_lines(df).collect()}
     assert clean == {i: "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in want) for i, t in texts}
+    # Without words too: lines of every length from the minimum on, edited at both ends and in the middle.
+    texts = []
+    for n in [*range(20, 75), 107, 108, 109, 200, 350]:
+        text = "".join(rng.choice("abcdefgh") for _ in range(n))
+        texts += [text] + [edited(edited(text)) for _ in range(4)] + [text[2:], text[:-2], "x" + text + "y", text[1:-1], text[: n // 2] + "xy" + text[n // 2:]]
+    pairs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    ids = {text: i for i, text in reversed(list(enumerate(texts)))}
+    close = {b for a, b in ((a, b) for a in ids for b in ids if abs(len(a) - len(b)) <= 2 and ids[a] < ids[b] and min(len(a), len(b)) >= 20) if distance(a, b) <= 2}
+    assert {r.doc_id for r in linededup.removed_lines(pairs).collect()} == {i for i, text in enumerate(texts) if text in close or ids[text] != i}
     odd = linededup.keep_first_lines(docs)
     assert odd.columns == docs.columns and odd.count() == docs.count()
     assert odd.filter("doc_id = 40").first().text is None
     assert linededup.dedup_lines(nothing).count() == 0
 
 
+def test_line_dedup_of_short_lines_repeated_ids_and_rows_without_id(spark):
+    menu, own = "Home | About us", "a line of its own, number "
+    texts = [(i, f"{menu}\n{own * 2}{i * 7919}\n\n---") for i in range(50)] + [(60, f"{menu}\nfirst text"), (60, f"{menu}\nsecond text"), (None, f"{menu}\nno id"), (None, "no id\nat all")]
+    texts += [(70, "word " * 40000 + "end\nno id")]
+    df = spark.createDataFrame([(*row, "x", "y") for row in texts], "doc_id bigint, text string, removed string, line_no string")
+    got = linededup.dedup_lines(df, edits=0).collect()
+    assert len(got) == len(texts)
+    clean = sorted(r.text for r in got)
+    assert sum(menu in t for t in clean) == 1 and {"first text", "second text", "at all"} < set(clean)
+    assert sum(t.endswith("\n\n---") for t in clean) == 50 and sum("no id" in t for t in clean) == 1 and {r.line_no for r in got} == {"y"}
+
+
 def test_pieces_are_the_librarys_and_come_back(spark, docs, rows, nothing):
     from sentencepiece import SentencePieceProcessor
 
