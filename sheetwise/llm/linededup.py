@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sheetwise.llm.common import let
 from sheetwise.session import materialise
 
 EDITS = 2
@@ -36,17 +37,17 @@ def piece_size(length: str, edits: int) -> str:
     return f"CAST(IF({length} < {16 * n}, {length} div {n}, 4 * ({length} div {4 * n})) AS INT)"
 
 
-def probes(edits: int) -> Column:
-    """Literal array of (smaller, number, back, shift, listed): the substrings of a line
-    that may equal piece ``number`` of a line at most ``edits`` characters shorter.
+def probes(edits: int) -> list[tuple[bool, int, bool, int]]:
+    """(smaller, number, back, shift): the substrings of a line that may equal piece
+    ``number`` of a line at most ``edits`` characters shorter; the line's own pieces first.
 
     Take the first piece i before whose end at most i edits lie: it is unchanged, with i
     edits at most before and edits - i behind it. So its distance from the start moves by
     at most i and that from the end by at most edits - i; a piece is measured from the end
     (``back``) where that allows fewer shifts. ``smaller``: for lines with the next smaller
-    size of pieces, which are shorter by at least one. ``listed`` marks the line's own pieces.
+    size of pieces, which are shorter by at least one.
     """
-    rows = []
+    found = []
     for smaller in (False, True):
         gaps = range(int(smaller), edits + 1)
         for i in range(edits + 1):
@@ -55,21 +56,28 @@ def probes(edits: int) -> Column:
             for shift in range(-reach, reach + 1):
                 before = [gap + shift if back else shift for gap in gaps]
                 if any(abs(d) <= i and abs(gap - d) <= edits - i for gap, d in zip(gaps, before)):
-                    rows.append((smaller, i, back, shift, not smaller and shift == 0))
-    names = ("smaller", "number", "back", "shift", "listed")
-    return F.array(*(F.struct(*(F.lit(value).alias(name) for name, value in zip(names, row))) for row in rows))
+                    found.append((smaller, i, back, shift))
+    return sorted(found, key=lambda probe: (probe[0], probe[3] != 0, probe[1]))
 
 
-def keyed_lines(lines: DataFrame, edits: int) -> DataFrame:
-    """(h, g, length, key, listed): a row per probe of each line. One small expression
-    per row, however many probes there are."""
+def line_keys(edits: int) -> Column:
+    """Keys of all probes of a line, its edits + 1 own pieces first; null where a probe
+    does not apply to the line."""
     n = edits + 1
-    sized = lines.selectExpr(*CLASS, "line", f"{piece_size('length', edits)} AS own", f"{piece_size(f'(length - {edits})', edits)} AS less")
-    rows = sized.select("*", F.explode(probes(edits)).alias("p")).select(*CLASS, "line", "own", "less", "p.*").filter("NOT smaller OR (less < own AND less > 0)")
-    rows = rows.withColumn("size", F.expr("IF(smaller, less, own)"))
-    rows = rows.withColumn("start", F.expr(f"IF(back, length - ({n} - number) * size, number * size) + shift"))
-    rows = rows.filter("start >= 0 AND start + size <= length")
-    return rows.select(*CLASS, F.expr("xxhash64(number, size, substring(line, start + 1, size))").alias("key"), "listed")
+    own, less = piece_size("length", edits), piece_size(f"(length - {edits})", edits)
+    keys = []
+    for smaller, number, back, shift in probes(edits):
+        size = less if smaller else own
+        start = f"(length - {n - number} * {size} + {shift})" if back else f"({number} * {size} + {shift})"
+        fits = f"{start} >= 0 AND {start} + {size} <= length" + (f" AND {less} < {own} AND {less} > 0" if smaller else "")
+        keys.append(F.expr(f"IF({fits}, xxhash64({number}, {size}, substring(line, {start} + 1, {size})), NULL)"))
+    return F.array(*keys)
+
+
+def class_keys(classes: DataFrame, edits: int) -> DataFrame:
+    """(h, g, length, key, listed): a row per key of each class; ``listed`` marks its own pieces."""
+    rows = classes.select(*CLASS, F.posexplode("keys").alias("pos", "key")).filter("key IS NOT NULL")
+    return rows.select(*CLASS, "key", (F.col("pos") <= edits).alias("listed"))
 
 
 def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -83,17 +91,19 @@ def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
     return rows.withColumn("h", F.xxhash64("line")).withColumn("g", F.hash("line"))
 
 
-def near_classes(lines: DataFrame, firsts: DataFrame, edits: int) -> DataFrame:
+def near_classes(lines: DataFrame, classes: DataFrame, edits: int) -> DataFrame:
     """Classes (h, g, length) within ``edits`` edits of a class with an earlier first place.
 
-    The keys travel without their lines; texts join the few classes that meet others.
+    The keys travel without their lines; the texts of the classes that meet others are
+    taken from their first places.
     """
-    keyed = keyed_lines(lines, edits)
+    keyed = class_keys(classes, edits)
     shared = keyed.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.max("listed").alias("listed"))
     shared = materialise(shared.filter("lo < hi AND listed").select("key"), "shared_keys")
-    entries = materialise(keyed.join(shared, "key", "left_semi").distinct(), "meeting_keys")
-    chosen = firsts.join(entries.select(*CLASS).distinct(), CLASS, "left_semi").select(*CLASS, "first", *(F.col("first")[name].alias(name) for name in PLACE))
-    texts = lines.join(chosen, [*CLASS, *PLACE]).select(*CLASS, "line", "first")
+    # One row per key: hashed in memory a partition at a time, so that the many keys need no sort.
+    entries = materialise(keyed.join(shared.hint("shuffle_hash"), "key", "left_semi"), "meeting_keys")
+    chosen = classes.join(entries.select(*CLASS).distinct(), CLASS, "left_semi").select("first.*")
+    texts = lines.join(materialise(chosen, "meeting_places"), PLACE).select(*CLASS, "line", F.struct(*PLACE).alias("first"))
     entries = materialise(entries.join(texts, CLASS), "entries")
 
     def met(later: DataFrame, earlier: DataFrame) -> DataFrame:
@@ -103,19 +113,20 @@ def near_classes(lines: DataFrame, firsts: DataFrame, edits: int) -> DataFrame:
             other, (later["key"] == other["key"]) & (F.col("other_first") < F.col("first")) & (F.abs(F.col("length") - F.col("other_length")) <= edits) & (within >= 0), "left_semi"
         ).select(*CLASS)
 
-    listed = entries.filter("listed")
-    return met(entries, listed).union(met(listed, entries)).distinct()
+    listed, probing = entries.filter("listed"), entries.filter("NOT listed")
+    return met(entries, listed).union(met(listed, probing)).distinct()
 
 
 def removed_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, text_key, line_no, near, first): lines to remove; ``first`` is the first place of the equal lines."""
     lines = lines_of(docs, min_chars)
-    firsts = lines.groupBy(*CLASS).agg(F.min(F.struct(*PLACE)).alias("first"), F.count(F.lit(1)).alias("n"))
-    firsts = materialise(firsts, "first_lines")
     long = F.col("length") >= max(min_chars, edits + 1)
-    near = near_classes(lines.filter(long), firsts.filter(long), edits).withColumn("near", F.lit(True))
-    classes = firsts.join(near, CLASS, "left").select(*CLASS, "first", "n", F.coalesce("near", F.lit(False)).alias("near")).filter("near OR n > 1")
-    return lines.drop("line").join(classes, CLASS).filter(F.col("near") | (F.struct(*PLACE) != F.col("first"))).select("doc_id", "text_key", "line_no", "near", "first")
+    # Equal lines have equal keys, so the smallest struct is the first place with the keys of the class.
+    classes = lines.withColumn("keys", F.when(long, line_keys(edits))).groupBy(*CLASS).agg(F.min(F.struct(*PLACE, "keys")).alias("of"), F.count(F.lit(1)).alias("n"))
+    classes = materialise(classes.select(*CLASS, F.struct(*(F.col("of")[name].alias(name) for name in PLACE)).alias("first"), "of.keys", "n"), "line_classes")
+    near = near_classes(lines.filter(long), classes.filter(long), edits).withColumn("near", F.lit(True))
+    found = classes.join(near, CLASS, "left").select(*CLASS, "first", "n", F.coalesce("near", F.lit(False)).alias("near")).filter("near OR n > 1")
+    return lines.drop("line").join(found, CLASS).filter(F.col("near") | (F.struct(*PLACE) != F.col("first"))).select("doc_id", "text_key", "line_no", "near", "first")
 
 
 def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -136,7 +147,8 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
     rows = docs.drop(*added).withColumn("_text_key_", F.xxhash64("text"))
     rows = rows.join(gone, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_of_id_")) & (F.col("_text_key_") == F.col("_of_key_")), "left")
     lines = F.split("text", "\n")
-    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "removed"), lambda i: F.get(lines, i)), "\n")
+    stay = lambda of: F.transform(F.array_except(F.sequence(F.lit(0), F.size(of) - 1), "removed"), lambda i: F.get(of, i))
+    kept = F.array_join(let(lines, stay), "\n")
     rows = rows.withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
     rows = rows.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("bigint"))
     rows = rows.withColumn("n_removed", F.size("removed").cast("bigint"))
