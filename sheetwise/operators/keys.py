@@ -85,9 +85,11 @@ def key_sections(pages: DataFrame, scope: Sequence[str] = ("set_id",), bucket: i
     )
 
 
-def key_audit(entries: DataFrame, expected: DataFrame, scope: Sequence[str] = ("set_id",)) -> DataFrame:
+def key_audit(entries: DataFrame, expected: DataFrame, scope: Sequence[str] = ("set_id",), pages: DataFrame | None = None) -> DataFrame:
     """Issues (set, kind, id): missing, extra, duplicate and invalid entries, and
-    sections whose numbers are not 1..n in order. No row means the key is fine."""
+    sections whose numbers are not 1..n in order. With ``pages`` also sets without any
+    section heading (``no_heading``) or any text (``no_text``), whose id is null.
+    No row means the key is fine."""
     key = list(scope)
     counted = (
         entries.select(*key, "id", F.lit(1).alias("found"), F.lit(0).alias("wanted"), F.col("answer").isNull().cast("int").alias("bad"))
@@ -103,7 +105,13 @@ def key_audit(entries: DataFrame, expected: DataFrame, scope: Sequence[str] = ("
     per_id = counted.select(*key, F.explode(kinds).alias("kind"), "id")
     placed = ordinal(entries, [*key, "section"], ["page"], ["s", "h"], "place")
     order = placed.groupBy(*key, "section").agg(F.bool_and(F.col("number") == F.col("place")).alias("ok")).filter("NOT ok")
-    return per_id.unionByName(order.select(*key, F.lit("sequence").alias("kind"), F.col("section").alias("id")))
+    issues = per_id.unionByName(order.select(*key, F.lit("sequence").alias("kind"), F.col("section").alias("id")))
+    if pages is None:
+        return issues
+    text = F.coalesce("text", F.lit(""))
+    read = pages.groupBy(*key).agg(F.bool_or(text.rlike(f"(?U){HEADING}")).alias("headed"), F.bool_or(strip(text) != "").alias("filled"))
+    kind = F.when(F.col("filled"), F.lit("no_heading")).otherwise(F.lit("no_text"))
+    return issues.unionByName(read.filter("NOT headed").select(*key, kind.alias("kind"), F.lit(None).cast("string").alias("id")))
 
 
 def numbered_key(pages: DataFrame, layout: str, footer: str = "", scope: Sequence[str] = ("set_id",)) -> DataFrame:

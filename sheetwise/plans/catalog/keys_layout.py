@@ -79,7 +79,10 @@ def _sections(t):
 def _audit(t):
     part = F.concat(F.lit("-p"), 1 + c("part_no") % 2, F.lit("-s"), "part_no", F.lit("-q"), "n")
     expected = entry_rows(t).filter("question_id % 83 <> 0").select("set_id", F.concat("set_id", part).alias("id"))
-    return ks.key_audit(ks.key_sections(key_pages(t)), expected)
+    # Beside each key, the same one without its headings and a scan without text.
+    pages, plain = key_pages(t), key_pages(t, headings=False)
+    pages = pages.union(plain.withColumn("set_id", F.concat("set_id", F.lit("-plain")))).union(plain.select(F.concat("set_id", F.lit("-scan")), "page", F.lit(" \n")))
+    return ks.key_audit(ks.key_sections(pages), expected, pages=pages).withColumn("id", F.coalesce("id", F.lit("")))
 
 
 EXPLAINED = "CASE question_id % 6 WHEN 0 THEN '② 설명' WHEN 1 THEN '①, ③ 해설' WHEN 2 THEN '①, ?' WHEN 3 THEN '2,5 해설' WHEN 4 THEN '④' ELSE '② → ③' END"
@@ -156,7 +159,8 @@ ENTRIES = {
 UNION ALL SELECT DISTINCT set_id, 'extra', id FROM key_rows WHERE id NOT IN (SELECT id FROM wanted)
 UNION ALL SELECT set_id, 'duplicate', id FROM key_rows GROUP BY set_id, id HAVING count(*) > 1
 UNION ALL SELECT DISTINCT set_id, 'invalid', id FROM key_rows WHERE key_text IS NULL
-UNION ALL SELECT DISTINCT set_id, 'sequence', section FROM (SELECT *, row_number() OVER (PARTITION BY set_id, section ORDER BY page, slot, copy) AS place FROM key_rows) p WHERE place <> number""",
+UNION ALL SELECT DISTINCT set_id, 'sequence', section FROM (SELECT *, row_number() OVER (PARTITION BY set_id, section ORDER BY page, slot, copy) AS place FROM key_rows) p WHERE place <> number
+UNION ALL SELECT DISTINCT set_id || '-plain', 'no_heading', '' FROM copies UNION ALL SELECT DISTINCT set_id || '-scan', 'no_text', '' FROM copies""",
               {**X, "wanted": "SELECT set_id, set_id || '-p' || (1 + part_no % 2) || '-s' || part_no || '-q' || n AS id FROM entry WHERE question_id % 83 <> 0"}),
     ),
     "numbered_key": (

@@ -140,3 +140,12 @@ def test_keys_run_over_pages(spark):
     rows = ks.key_sections(spark.createDataFrame(pages, "set_id string, page int, text string")).collect()
     got = {r.id: (r.page, r.raw) for r in rows}
     assert got == {"S-p1-s0-q1": (1, "①"), "S-p1-s0-q2": (1, "②\n : 해설\n이어짐\n끝"), "S-p1-s0-q3": (3, "③"), "S-p2-s4-q1": (3, "④ ⑤")}
+
+
+def test_key_audit_of_sets_without_heading_or_text(spark):
+    pages = [("a", 1, "Pattern 1\n1) ①\n2) ②"), ("a", 2, ""), ("b", 1, "1) ①\n2) ②"), ("b", 2, None), ("c", 1, " \u3000\n"), ("c", 2, None)]
+    pages = spark.createDataFrame(pages, "set_id string, page int, text string")
+    wanted = spark.createDataFrame([("a", "a-p1-s0-q1"), ("a", "a-p1-s0-q2")], "set_id string, id string")
+    found = ks.key_audit(ks.key_sections(pages), wanted, pages=pages).collect()
+    assert {tuple(r) for r in found} == {("b", "no_heading", None), ("c", "no_text", None)} and len(found) == 2
+    assert ks.key_audit(ks.key_sections(pages), wanted).count() == 0
