@@ -11,20 +11,23 @@ from sheetwise.functions.answers import single_mask
 from sheetwise.functions.gates import finite
 
 
+def _evaluated(reviews: DataFrame, recommended: DataFrame, labels: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Reviews with ``given`` (has a recommendation), ``usable`` (its label is confirmed) and ``same``."""
+    rows = reviews.join(recommended, ["policy", *keys], "left").join(
+        labels.select(*keys, "expected", "confirmed_by_user", "needs_review"), list(keys), "left"
+    )
+    usable = F.coalesce(F.col("confirmed_by_user") & ~F.col("needs_review") & F.col("expected").isNotNull(), F.lit(False))
+    same = single_mask(F.col("number")) == F.col("expected")
+    return rows.withColumns({"given": F.col("number").isNotNull(), "usable": usable, "same": same})
+
+
 def recommendation_audit(
     reviews: DataFrame, recommended: DataFrame, labels: DataFrame, scope: Sequence[str] = ()
 ) -> DataFrame:
     """Per policy: automatic, held, recommended, matched, wrong and unverified;
     recommendations are shown from 90 % matched on. Labels only evaluate."""
-    keys = [*scope, "question_id"]
-    rows = reviews.join(recommended, ["policy", *keys], "left").join(
-        labels.select(*keys, "expected", "confirmed_by_user", "needs_review"), keys, "left"
-    )
-    given = F.col("number").isNotNull()
-    usable = F.coalesce(
-        F.col("confirmed_by_user") & ~F.col("needs_review") & F.col("expected").isNotNull(), F.lit(False)
-    )
-    same = single_mask(F.col("number")) == F.col("expected")
+    rows = _evaluated(reviews, recommended, labels, [*scope, "question_id"])
+    given, usable, same = F.col("given"), F.col("usable"), F.col("same")
     return rows.groupBy("policy").agg(
         F.count(F.lit(1)).alias("questions"),
         F.count_if(F.col("status") != "보류").alias("automatic"),
@@ -36,6 +39,25 @@ def recommendation_audit(
     ).withColumn("show", (F.col("recommended") > 0) & (F.col("matched") >= 0.9 * F.col("recommended")))
 
 
+def recommendation_views(
+    reviews: DataFrame, recommended: DataFrame, labels: DataFrame, decided: DataFrame, shown: DataFrame, scope: Sequence[str] = ()
+) -> DataFrame:
+    """Per policy and question, which filters of the recommendation report keep it:
+    held, recommended, wrong (against a confirmed label), agreement (newly confirmed by
+    two kinds of evidence). ``decided`` has the decision on held questions, ``shown`` a
+    ``show`` per policy: policies not to be shown keep no recommendation. A question
+    that was confirmed is no longer held and loses its recommendation."""
+    keys = [*scope, "question_id"]
+    confirmed = decided.filter(F.col("decision") == "confirmed").select("policy", *keys, F.col("mark").isNotNull().alias("agreement"))
+    rows = _evaluated(reviews, recommended, labels, keys).join(confirmed, ["policy", *keys], "left").join(shown.select("policy", "show"), "policy", "left")
+    held = (F.col("status") == "보류") & F.col("agreement").isNull()
+    listed = F.col("given") & held & F.coalesce("show", F.lit(False))
+    return rows.select(
+        "policy", *keys, held.alias("held"), listed.alias("recommended"),
+        F.coalesce(listed & F.col("usable") & ~F.col("same"), F.lit(False)).alias("wrong"), F.coalesce("agreement", F.lit(False)).alias("agreement"),
+    )
+
+
 def timing_summary(gated: DataFrame, group: Sequence[str] = ()) -> DataFrame:
     """Regions, executed, skipped and excluded crops of a recognition run."""
     return gated.groupBy(*group).agg(

@@ -110,6 +110,15 @@ def _rec_audit(t):
     return sm.recommendation_audit(reviews, ev.recommend(reviews, t.fx_marks), labels).withColumn("show", F.coalesce("show", F.lit(False)))
 
 
+def _rec_views(t):
+    """Every policy is shown here, so that the filters have rows."""
+    g = Graded(t)
+    labels = g.labels.withColumn("confirmed_by_user", c("question_id") % 5 != 0).withColumn("needs_review", c("question_id") % 7 == 0)
+    reviews = g.reviews(*POL)
+    shown = reviews.select("policy").distinct().withColumn("show", F.lit(True))
+    return sm.recommendation_views(reviews, ev.recommend(reviews, t.fx_marks), labels, agreement_tables(t).result, shown)
+
+
 def _run_summary(t):
     reviews = Graded(t).reviews(*POL)
     return pol.run_summary(reviews, ev.recommend(reviews, t.fx_marks), 3600.0).withColumn(
@@ -154,6 +163,14 @@ UNION ALL SELECT policy, question_id, 'choice-mark-recommendation', '추천 ' ||
  count(*) FILTER (WHERE m.number IS NOT NULL AND NOT ok) AS unverified, coalesce(count(*) FILTER (WHERE m.number IS NOT NULL AND ok AND m.number = label_answer) >= 0.9 * nullif(count(m.number), 0), false) AS show
 FROM reviews r JOIN (SELECT *, label_answer IS NOT NULL AND question_id % 5 <> 0 AND question_id % 7 <> 0 AS ok FROM fx_questions) q ON q.question_id = r.question_id
 LEFT JOIN recs m ON m.policy = r.policy AND m.question_id = r.question_id WHERE r.policy <> 'none' GROUP BY r.policy""", X),
+    ),
+    "rec_views": (
+        _rec_views,
+        check("""SELECT r.policy, r.question_id, r.held, m.number IS NOT NULL AND r.held AS recommended, coalesce(m.number IS NOT NULL AND r.held AND ok AND m.number <> label_answer, false) AS wrong, agreement
+FROM (SELECT r.policy, r.question_id, r.status = '보류' AND coalesce(d.decision, '') <> 'confirmed' AS held, coalesce(d.decision = 'confirmed' AND d.mark IS NOT NULL, false) AS agreement
+ FROM reviews r LEFT JOIN decided d ON d.policy = r.policy AND d.question_id = r.question_id WHERE r.policy <> 'none') r
+JOIN (SELECT *, label_answer IS NOT NULL AND question_id % 5 <> 0 AND question_id % 7 <> 0 AS ok FROM fx_questions) q ON q.question_id = r.question_id
+LEFT JOIN recs m ON m.policy = r.policy AND m.question_id = r.question_id""", X),
     ),
     "run_summary": (
         _run_summary,

@@ -9,7 +9,7 @@ from harness import SF_DIR, connect, difference
 
 QUICK = (
     "student_choices key_answer required_count gate project_box page_boxes box_algebra question_review f08_pairs associate enclosing "
-    "annotate cascade consensus_sizes reconcile_shape recommend decide number_regions zone_bottoms row_groups key_audit grid_summary "
+    "annotate cascade consensus_sizes reconcile_shape recommend decide rec_views number_regions zone_bottoms row_groups key_audit grid_summary "
     "grading_groups validate_corrections overlay scan_range score_archive line_match stream_progress stream_corrections"
 ).split()
 NAMES = list(entry.oracle_sql()) if os.environ.get("CHECK_ALL") else QUICK
