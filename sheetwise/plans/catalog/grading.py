@@ -95,9 +95,9 @@ def _view_filters(t):
     reviews, base = g.reviews("broad"), g.reviews("none")
     parts = [
         pol.view_filter(reviews, base, view).select(F.lit(view).alias("view"), "question_id")
-        for view in ("held", "changed", "count")
+        for view in ("held", "changed", "count", "all")
     ]
-    return parts[0].union(parts[1]).union(parts[2])
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
 
 
 def _no_read(t):
@@ -209,6 +209,7 @@ WHERE policy = 'duplicate' AND (question_id % 211 = 5 OR (question_id % 101 = 0
         _view_filters,
         check("""SELECT 'held' AS view, question_id FROM reviews WHERE policy = 'broad' AND status = '보류'
 UNION ALL SELECT 'count', question_id FROM reviews WHERE policy = 'broad' AND expected_count IS NOT NULL
+UNION ALL SELECT 'all', question_id FROM reviews WHERE policy = 'broad'
 UNION ALL SELECT 'changed', a.question_id FROM reviews a JOIN reviews b ON a.question_id = b.question_id AND a.policy = 'broad' AND b.policy = 'none' WHERE a.codes <> b.codes"""),
     ),
     "no_read": (
