@@ -55,23 +55,46 @@ def longest_run(columns: DataFrame, group: Sequence[str], width: int = 200) -> D
     return lengths.groupBy(*group).agg(F.max("n").alias("span")).withColumn("cancelled", F.col("span") >= width)
 
 
+def _around(points: DataFrame, cell: Sequence[str] = ("_cx", "_cy")) -> DataFrame:
+    """Each row once for its own cell and each of the eight around it."""
+    steps = F.array(*(F.lit(d) for d in (-1, 0, 1)))
+    x, y = cell
+    return (
+        points.withColumn("_dx", F.explode(steps)).withColumn("_dy", F.explode(steps))
+        .withColumn(x, F.col(x) + F.col("_dx")).withColumn(y, F.col(y) + F.col("_dy")).drop("_dx", "_dy")
+    )
+
+
 def suppress_near(points: DataFrame, group: Sequence[str], distance: int = 18) -> DataFrame:
     """Greedy selection by (score, label, x, y) descending: a point within 18 px in
     both axes of a kept one is dropped.
 
-    Equal positions are reduced to their best point first (the others fall with it
-    or with whatever drops it), so a group is bounded by the pixels of its image.
+    Rounds instead of a fold: of the open points the best of each cell is kept if no
+    better open point is near it, and what is near a kept point falls. The best open
+    point of a group is always kept, so rounds end, and each meets a point with at
+    most nine others. Points without a position are near nothing and stay; of equal
+    positions only the best counts.
     """
-    best = points.groupBy(*group, "x", "y").agg(F.max(F.struct("score", "label")).alias("top"))
-    ranked = best.groupBy(*group).agg(
-        F.sort_array(F.collect_list(F.struct(F.col("top.score").alias("score"), F.col("top.label").alias("label"), "x", "y")), asc=False).alias("points")
-    )
-    near = lambda p, kept: F.exists(kept, lambda k: (F.abs(p.x - k.x) <= distance) & (F.abs(p.y - k.y) <= distance))
-    kept = F.aggregate(
-        "points", F.slice("points", 1, 0),
-        lambda acc, p: F.when(near(p, acc), acc).otherwise(F.concat(acc, F.array(p))),
+    columns = [*group, "score", "label", "x", "y"]
+    nowhere = F.col("x").isNull() | F.col("y").isNull()
+    best = points.filter(~nowhere).groupBy(*group, "x", "y").agg(F.max(F.struct("score", "label")).alias("top"))
+    cell = lambda name: F.floor(F.col(name) / (distance + 1))
+    kept = points.filter(nowhere).groupBy(*group, "x", "y").agg(F.max(F.struct("score", "label")).alias("top")).select(
+        *group, "top.score", "top.label", "x", "y"
     )
-    return ranked.select(*group, F.inline(kept))
+    left = materialise(best.select(
+        F.struct(*group).alias("_g"), cell("x").alias("_cx"), cell("y").alias("_cy"), F.struct("top.score", "top.label", "x", "y").alias("_p")
+    ), "open")
+    place = ["_g", "_cx", "_cy"]
+    near = (F.abs(F.col("_p.x") - F.col("_c.x")) <= distance) & (F.abs(F.col("_p.y") - F.col("_c.y")) <= distance)
+    while not left.isEmpty():
+        first = left.groupBy(*place).agg(F.max("_p").alias("_c"))
+        blocked = _around(first).join(left, place).filter(near & (F.col("_p") > F.col("_c"))).select("_g", "_c")
+        chosen = materialise(first.join(blocked, ["_g", "_c"], "left_anti"), "chosen")
+        kept = kept.unionByName(chosen.select("_g.*", "_c.score", "_c.label", "_c.x", "_c.y").select(*columns))
+        fallen = _around(chosen).join(left, place).filter(near).select("_g", "_p")
+        left = materialise(left.join(fallen, ["_g", "_p"], "left_anti"), "open")
+    return kept.select(*columns)
 
 
 def number_regions(regions: DataFrame, scope: Sequence[str] = ()) -> DataFrame:

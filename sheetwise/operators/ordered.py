@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sheetwise.session import materialise
+
 
 def carry_forward(
     df: DataFrame, group: Sequence[str], bucket: Column, order: Sequence[str], value: str, out: str
@@ -62,24 +64,43 @@ def runs(df: DataFrame, group: Sequence[str], position: str, gap: int) -> DataFr
 
 
 def exact_median(df: DataFrame, group: Sequence[str], value: str, buckets: int = 4096) -> DataFrame:
-    """Median per group of a value in 0..1. Ranks are counted per value range
-    first; only the ranges that hold the middle ranks are looked at value by value."""
-    group = list(group)
-    rows = df.filter(F.col(value).isNotNull()).withColumn("_range", F.floor(F.col(value) * buckets))
-    counts = rows.groupBy(*group, "_range").agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.partitionBy(*group).orderBy("_range")
-    total = F.sum("_n").over(Window.partitionBy(*group))
-    ends = counts.withColumn("_end", F.sum("_n").over(upto)).withColumn("_total", total)
-    low, high = F.floor((F.col("_total") + 1) / 2), F.floor((F.col("_total") + 2) / 2)
-    middle = ends.withColumn("_start", F.col("_end") - F.col("_n")).filter(
-        (F.col("_end") >= low) & (F.col("_start") < high)
-    )
-    values = rows.join(middle.select(*group, "_range", "_start", "_total"), [*group, "_range"]).groupBy(
-        *group, "_range", value, "_start", "_total"
-    ).agg(F.count(F.lit(1)).alias("_n"))
-    within = Window.partitionBy(*group, "_range").orderBy(value)
-    ranked = values.withColumn("_last", F.col("_start") + F.sum("_n").over(within)).withColumn(
-        "_first", F.col("_last") - F.col("_n") + 1
-    )
-    covers = lambda rank: F.max(F.when((F.col("_first") <= rank) & (F.col("_last") >= rank), F.col(value)))
-    return ranked.groupBy(*group).agg(((covers(low) + covers(high)) / 2).alias("median"))
+    """Median per group of finite values, nulls apart.
+
+    Selection by counting: a round cuts the range that holds the middle ranks, from its
+    lowest to its highest value, into ``buckets`` steps and counts the values of each;
+    the step that holds the ranks is the next range. Rounding keeps the order of values,
+    so counts are exact, and both ends lie in different steps, so a range always shrinks.
+    A group is settled when its range holds one value or the two middle ranks lie in two
+    steps. Values are counted, never sorted or moved, and a window sees at most
+    ``buckets`` + 1 counts of a group.
+    """
+    rows = materialise(df.filter(F.col(value).isNotNull()).select(F.struct(*group).alias("_g"), F.col(value).cast("double").alias("_v")), "values")
+    ends = [F.min("_v").alias("_min"), F.max("_v").alias("_max")]
+    total = F.count(F.lit(1))
+    ranges = rows.groupBy("_g").agg(*ends, F.floor((total + 1) / 2).alias("_low"), F.floor((total + 2) / 2).alias("_high"))
+    apart, step = F.lit(False), F.floor((F.col("_v") - F.col("_from")) / (F.col("_to") - F.col("_from")) * buckets)
+    done = None
+    while True:
+        ranges = materialise(ranges.withColumn("_apart", apart), "ranges")
+        settled = F.col("_apart") | (F.col("_min") == F.col("_max"))
+        found = ranges.filter(settled).select("_g", F.when(F.col("_apart"), (F.col("_min") + F.col("_max")) / 2).otherwise(F.col("_min")).alias("median"))
+        done = found if done is None else done.unionByName(found)
+        open_ranges = ranges.filter(~settled).select("_g", F.col("_min").alias("_from"), F.col("_max").alias("_to"), "_low", "_high")
+        if open_ranges.isEmpty():
+            return done.select("_g.*", "median")
+        counts = rows.join(open_ranges, "_g").filter("_v BETWEEN _from AND _to").groupBy("_g", "_low", "_high", step.alias("_step")).agg(total.alias("_n"), *ends)
+        upto = F.sum("_n").over(Window.partitionBy("_g").orderBy("_step"))
+        placed = counts.withColumn("_end", upto).withColumn("_start", F.col("_end") - F.col("_n"))
+        holds = lambda rank: (F.col("_start") < F.col(rank)) & (F.col(rank) <= F.col("_end"))
+        of = lambda rank, name: F.max(F.when(holds(rank), F.col(name)))
+        middle = placed.filter(holds("_low") | holds("_high")).groupBy("_g").agg(
+            of("_low", "_step").alias("_at"), of("_high", "_step").alias("_next"), of("_low", "_start").alias("_start"), of("_low", "_min").alias("_first"),
+            of("_low", "_max").alias("_last"), of("_high", "_min").alias("_beyond"), F.max("_low").alias("_low"), F.max("_high").alias("_high"),
+        )
+        # Ranks in two steps are neighbours: the last value of one step and the first of the other.
+        apart = F.col("_two")
+        two = F.col("_at") != F.col("_next")
+        ranges = middle.select(
+            "_g", F.when(two, F.col("_last")).otherwise(F.col("_first")).alias("_min"), F.when(two, F.col("_beyond")).otherwise(F.col("_last")).alias("_max"),
+            (F.col("_low") - F.col("_start")).alias("_low"), (F.col("_high") - F.col("_start")).alias("_high"), two.alias("_two"),
+        )

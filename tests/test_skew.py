@@ -2,6 +2,7 @@
 that replace plain windows and folds, against brute force."""
 
 import random
+import statistics
 from collections import defaultdict
 
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from sheetwise.operators import layout as lo
 from sheetwise.operators.ordered import carry_forward, exact_median, ordinal
 from sheetwise.operators.review import classify_crops, f08_blockers
 from sheetwise.operators.spatial import overlap_join
+from sheetwise.sources.manifests import _stems, select_scan_range
 
 
 def hot_crops(spark, n=900):
@@ -78,6 +80,58 @@ def test_exact_median(spark):
         assert abs(got[g] - (values[(n - 1) // 2] + values[n // 2]) / 2) < 1e-12
 
 
+def test_median_of_crowded_values(spark):
+    """Values that share many leading digits, values below any fixed scale, one value
+    only, and as many distinct values as rows in one narrow range."""
+    rng = random.Random(23)
+    rows = [("near one", 0.999 + rng.random() / 1e3) for _ in range(3001)] + [("tiny", rng.random() * 1e-300) for _ in range(40)]
+    rows += [("apart", v) for v in (0.0, 1.0)] + [("ends", v) for v in (0.0, 5e-324, 5e-324, 1.0)] + [("one", 0.25)] * 5 + [("gone", None), (None, 0.5)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: r.median for r in exact_median(df, ["g"], "v").collect()}
+    by_group = defaultdict(list)
+    for g, v in rows:
+        if v is not None:
+            by_group[g].append(v)
+    assert got == {g: statistics.median(values) for g, values in by_group.items()}
+    wide = spark.range(300_000).select(F.lit(1).alias("g"), (0.999 + F.col("id") * 1e-9).alias("v"))
+    ordered = sorted(r.v for r in wide.collect())
+    assert exact_median(wide, ["g"], "v").first().median == (ordered[149_999] + ordered[150_000]) / 2
+    assert exact_median(df.filter("v > 2"), ["g"], "v").count() == 0
+
+
+def test_scan_range_of_crowded_folders(spark):
+    rng = random.Random(29)
+    stems = ["", "scan", "scan-b", "old0", "book", "b"]
+    files = [(f, rng.choice(stems) + f"{rng.randrange(1, 12):04d}" + rng.choice([".jpg", ".JPG", ".png"])) for f in range(40) for _ in range(rng.randrange(60))]
+    files += [(f, f"{s}{n:04d}.jpg") for f, s in ((1, "scan"), (2, "book"), (3, "old0")) for n in range(20, 31)] + [(50, "notes.txt"), (51, None)]
+    mappings = [("A", "scan", 20, 30, None), ("B", "book", 20, 30, 2), ("C", "book", 20, 24, 9), ("D", "zz", 1, 2, 4), ("E", "zz", 1, 3, 4),
+                ("F", "", 1, 3, None), ("G", "old00", 20, 30, None), ("H", "b", 5, 5, None), ("I", None, 1, 2, None)]
+    want = {}
+    for folder in {f for f, _ in files}:
+        known = [m for m in mappings if m[4] == folder]
+        fits, repeated = [], False
+        for name, stem, first, last, only in mappings:
+            if (known and only != folder) or stem is None:
+                continue
+            numbers = [int(n[-8:-4]) for f, n in files if f == folder and n and n.startswith(stem) and n.lower().endswith(".jpg")]
+            numbers = [n for n in numbers if first <= n <= last]
+            repeated |= len(numbers) > len(set(numbers))
+            if len(numbers) == len(set(numbers)) == last - first + 1:
+                fits.append(name)
+        problem = "two_known_mappings" if len(known) > 1 else "repeated_number" if repeated else "no_single_fit" if len(fits) != 1 else None
+        want[folder] = (None if problem else fits[0], problem)
+    maps = spark.createDataFrame(mappings, "mapping_id string, prefix string, first int, last int, known_folder bigint")
+    rows = select_scan_range(spark.createDataFrame(files, "folder bigint, name string"), maps).collect()
+    assert {r.folder: (r.mapping_id, r.problem) for r in rows} == want and len(rows) == len(want)
+    assert len({p for _, p in want.values()}) > 2
+    # One folder of very many files, each number once under its own stem and twice under no stem.
+    many = spark.range(200_000).select(F.lit(7).alias("folder"), F.format_string("r%02d-%04d.jpg", (F.col("id") / 10_000).cast("int"), F.col("id") % 10_000).alias("name"))
+    maps = spark.createDataFrame([("X", "r07-", 0, 9999, None), ("Y", "r99", 0, 1, None)], "mapping_id string, prefix string, first int, last int, known_folder int")
+    assert [tuple(r) for r in select_scan_range(many, maps).collect()] == [(7, "X", None)]
+    stems = _stems(many, maps)
+    assert stems.count() == 1 and stems.first().runs == [(0, 9999, False)]
+
+
 def test_long_sequences_by_doubling(spark):
     rng = random.Random(11)
     rows = [(g, pos, rng.choice([pos // 8 + 1, pos // 8 + 1, pos // 8, 1])) for g in (1, 2) for pos in range(120)]
@@ -135,6 +189,29 @@ def test_suppress_near(spark):
     assert sorted((r.label, r.x, r.y) for r in lo.suppress_near(df, ["q"]).collect()) == sorted(kept)
 
 
+def test_suppress_near_of_a_crowded_page(spark):
+    """A third of all points on one page, long chains in which each point waits for the
+    one before it, copies, points without score, position or page, negative places."""
+    rng = random.Random(31)
+    rows = [(1 if i % 3 == 0 else 2 + i % 4, rng.randrange(3), rng.randrange(-200, 200), rng.randrange(-60, 60), rng.choice([None, 0.1, 0.5, 0.9])) for i in range(1500)]
+    rows += [(9, 1, 12 * i, 0, 1.0 - i / 100) for i in range(16)] + [(None, 1, 0, 0, 0.5), (None, 2, 10, 10, 0.6), (1, 1, None, 4, 0.9), (1, 1, None, 4, 0.8)]
+    low = lambda v: (v is not None, v or 0)
+    want = []
+    for q in {r[0] for r in rows}:
+        kept, lost = [], set()
+        for label, x, y, score in sorted({r[1:] for r in rows if r[0] == q}, key=lambda r: (low(r[3]), r[0], low(r[1]), r[2]), reverse=True):
+            if (x, y) in lost:
+                continue
+            lost.add((x, y))
+            if x is None or all(a is None or abs(x - a) > 18 or abs(y - b) > 18 for a, b in kept):
+                kept.append((x, y))
+                want.append((q, score, label, x, y))
+    df = spark.createDataFrame(rows, "q int, label int, x int, y int, score double")
+    got = [tuple(r) for r in lo.suppress_near(df, ["q"]).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and len(want) > 100
+    assert lo.suppress_near(df.filter("q > 90"), ["q"]).count() == 0
+
+
 def test_keys_run_over_pages(spark):
     pages = [("S", 1, "intro\nPattern 1\n1) ①\n2) ②\n : 해설"), ("S", 2, "이어짐"), ("S", 3, "끝 3) ③\nPattern 2 Part 4\n1) ④ ⑤")]
     rows = ks.key_sections(spark.createDataFrame(pages, "set_id string, page int, text string")).collect()
