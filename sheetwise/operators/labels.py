@@ -125,11 +125,15 @@ def roi_buckets(
     return rows.select(*keys, bucket.alias("bucket"), F.coalesce("n_cross", F.lit(0)).alias("n_cross"))
 
 
-def stage_summary(classified: DataFrame, compared: DataFrame, policy: str) -> DataFrame:
-    """Counts (kind, name, n) over crops and questions, in one pass over each.
+def stage_summary(
+    classified: DataFrame, compared: DataFrame, policy: str, buckets: DataFrame | None = None, scope: Sequence[str] = ()
+) -> DataFrame:
+    """Counts (scope, kind, name, n) over crops and questions, in one pass over each.
 
-    ``classified`` needs ``mixed_print``; ``compared`` comes from compare_label.
+    ``classified`` needs ``mixed_print``; ``compared`` comes from compare_label and
+    ``buckets``, whose cases are counted too, from roi_buckets.
     """
+    keys = [*scope, "question_id"]
     count = F.count(F.lit(1)).alias("n")
 
     def tag_array(*pairs):
@@ -142,14 +146,14 @@ def stage_summary(classified: DataFrame, compared: DataFrame, policy: str) -> Da
         return F.explode(tag_array(*pairs)).alias("tag")
 
     yes = F.lit(True)
-    crops = classified.select(tagged(
+    crops = classified.select(*scope, tagged(
         ("region", F.col("reason"), yes),
         ("region_stage", F.col("stage"), yes),
         ("total", F.lit("recognised_on_stage1"), (F.col("stage") == 1) & F.col("ocr_executed")),
     ))
-    mixed = classified.filter((F.col("stage") == 0) & F.col("mixed_print")).select("question_id").distinct()
+    mixed = classified.filter((F.col("stage") == 0) & F.col("mixed_print")).select(*keys).distinct()
     rows = compared.filter(F.col("policy") == policy).join(
-        mixed.withColumn("mixed", F.lit(True)), "question_id", "left"
+        mixed.withColumn("mixed", F.lit(True)), keys, "left"
     ).na.fill(False, ["mixed"])
     wrong = F.col("comparison").isin(MISMATCH, UNLABELLED)
     own = tag_array(
@@ -166,7 +170,9 @@ def stage_summary(classified: DataFrame, compared: DataFrame, policy: str) -> Da
         F.array_distinct(F.transform(reasons, lambda r: F.struct(F.lit(kind).alias("kind"), r[kind_field].alias("name"))))
         for kind, kind_field in (("reason", "code"), ("rule", "rule"))
     ]
-    questions = rows.select(F.explode(F.concat(own, *named)).alias("tag"))
-    return crops.unionByName(questions).groupBy(
-        "tag.kind", "tag.name"
-    ).agg(count)
+    counted = crops.unionByName(rows.select(*scope, F.explode(F.concat(own, *named)).alias("tag")))
+    if buckets is not None:
+        counted = counted.unionByName(buckets.select(*scope, tagged(
+            ("bucket", F.col("bucket"), yes), ("total", F.lit("crossed_question_cases"), F.col("n_cross") > 0),
+        )))
+    return counted.groupBy(*scope, "tag.kind", "tag.name").agg(count)

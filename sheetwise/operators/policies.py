@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from sheetwise.functions.messages import reason_message
@@ -62,15 +62,16 @@ def diff_policies(
 
 
 def top_hold_reasons(reviews: DataFrame, n: int = 5, scope: Sequence[str] = ()) -> DataFrame:
-    """The n most frequent reason codes per policy; a question counts once per code."""
+    """The n most frequent reason codes per policy (and scope); a question counts once per code."""
     masks: dict[str, int] = {}
     for i, (_, code, _) in enumerate(RULES):
         masks[code] = masks.get(code, 0) | 1 << i
-    counted = reviews.groupBy("policy").agg(
+    keys = [*scope, "policy"]
+    counted = reviews.groupBy(*keys).agg(
         *(F.count_if(F.col("fired").bitwiseAND(mask) != 0).alias(code) for code, mask in masks.items())
     )
-    counts = counted.unpivot("policy", list(masks), "code", "questions").filter("questions > 0")
-    order = Window.partitionBy("policy").orderBy(F.desc("questions"), "code")
+    counts = counted.unpivot(keys, list(masks), "code", "questions").filter("questions > 0")
+    order = Window.partitionBy(*keys).orderBy(F.desc("questions"), "code")
     return (
         counts.withColumn("place", F.row_number().over(order))
         .filter(F.col("place") <= n)
@@ -78,42 +79,66 @@ def top_hold_reasons(reviews: DataFrame, n: int = 5, scope: Sequence[str] = ())
     )
 
 
-def status_by_page(reviews: DataFrame, baseline: str = "none") -> DataFrame:
-    """Status counts per page and in total (page null), beside the baseline policy."""
+def status_by_page(reviews: DataFrame, baseline: str = "none", scope: Sequence[str] = ()) -> DataFrame:
+    """Status counts per page and in total (page null), beside the baseline policy;
+    with a scope, pages and totals of each of its values."""
     wide = (
-        reviews.groupBy("page", "policy")
+        reviews.groupBy(*scope, "page", "policy")
         .pivot("status", ["정답", "오답", "보류"])
         .agg(F.count(F.lit(1)))
         .select(
-            "page", "policy", F.coalesce("정답", F.lit(0)).alias("right_answers"),
+            *scope, "page", "policy", F.coalesce("정답", F.lit(0)).alias("right_answers"),
             F.coalesce("오답", F.lit(0)).alias("wrong_answers"), F.coalesce("보류", F.lit(0)).alias("held"),
         )
     )
     sums = [F.sum(c).alias(c) for c in ("right_answers", "wrong_answers", "held")]
     # Pages are already counted, so the total rolls up counts, not questions.
-    rolled = wide.rollup("policy", "page").agg(*sums).filter("policy IS NOT NULL")
+    rolled = wide.rollup(*scope, "policy", "page").agg(*sums).filter("policy IS NOT NULL")
+    keys = [*scope, "page"]
     base = rolled.filter(F.col("policy") == baseline).select(
-        F.col("page").alias("base_page"), F.col("right_answers").alias("base_right"), F.col("held").alias("base_held")
+        *(F.col(k).alias(f"base_{k}") for k in keys), F.col("right_answers").alias("base_right"), F.col("held").alias("base_held")
     )
-    return rolled.join(base, F.col("page").eqNullSafe(F.col("base_page"))).drop("base_page")
+    same = [F.col(k).eqNullSafe(F.col(f"base_{k}")) for k in keys]
+    return rolled.join(base, same).drop(*(f"base_{k}" for k in keys))
 
 
-def run_summary(reviews: DataFrame, recommended: DataFrame, seconds: float) -> DataFrame:
-    """Per policy: automatic, held, recommended, seconds per page."""
-    marked = recommended.groupBy("policy").agg(F.count(F.lit(1)).alias("recommendations"))
-    counts = reviews.groupBy("policy").agg(
+def run_summary(reviews: DataFrame, recommended: DataFrame, seconds: float, scope: Sequence[str] = ()) -> DataFrame:
+    """Per policy (and scope): automatic, held, recommended, seconds per page."""
+    keys = [*scope, "policy"]
+    marked = recommended.groupBy(*keys).agg(F.count(F.lit(1)).alias("recommendations"))
+    counts = reviews.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("questions"),
         F.count_if(F.col("status") != "보류").alias("automatic"),
         F.count_if(F.col("status") == "보류").alias("held"),
         F.count_distinct("page").alias("pages"),
     )
-    return counts.join(marked, "policy", "left").select(
-        "policy", "questions", "automatic", "held", "pages",
+    return counts.join(marked, keys, "left").select(
+        *keys, "questions", "automatic", "held", "pages",
         F.coalesce("recommendations", F.lit(0)).alias("recommendations"),
         (F.lit(seconds) / F.col("pages")).alias("seconds_per_page"),
     )
 
 
+def write_reviews(reviews: DataFrame, path: str) -> dict[str, int]:
+    """Store reviews as Parquet and return their totals, which the writing action
+    itself counts, so they cost no second scan: questions, right, wrong, held, reasons.
+
+    Every question is right, wrong or held, and a held one has a reason; a table that
+    breaks this is refused with an error that names the totals, after it was written.
+    """
+    status = lambda name: F.count_if(F.col("status") == name)
+    reasoned = F.coalesce(F.col("fired"), F.lit(0)) != 0
+    seen = Observation("reviews")
+    reviews.observe(
+        seen, F.count(F.lit(1)).alias("questions"), status("정답").alias("right"), status("오답").alias("wrong"), status("보류").alias("held"),
+        F.count_if(reasoned).alias("with_reason"), F.count_if((F.col("status") == "보류") & ~reasoned).alias("held_without_reason"),
+    ).write.parquet(path)
+    totals = dict(seen.get)
+    if totals["right"] + totals["wrong"] + totals["held"] != totals["questions"] or totals["held_without_reason"]:
+        raise ValueError(f"Reviews in {path} do not add up: {totals}")
+    return totals
+
+
 def held_messages(reviews: DataFrame, n: int = 5) -> DataFrame:
     """Most frequent reason texts per policy, shown only where nothing was confirmed."""
     automatic = reviews.groupBy("policy").agg(F.count_if(F.col("status") != "보류").alias("automatic"))

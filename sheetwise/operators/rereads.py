@@ -353,14 +353,14 @@ def numeric_readings(all_readings: DataFrame) -> DataFrame:
     )
 
 
-def all_readings(crops: DataFrame, readings: DataFrame) -> DataFrame:
+def all_readings(crops: DataFrame, readings: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """Current readings (read_no 0) and stored variants as one long table, in the
     order they were made."""
     current = crops.select(
-        "crop_id", "question_id", F.lit("current").alias("stage"), F.lit(0).alias("read_no"), "txt", "score"
+        *scope, "crop_id", "question_id", F.lit("current").alias("stage"), F.lit(0).alias("read_no"), "txt", "score"
     )
     variants = readings.select(
-        "crop_id", "question_id", "stage", (F.col("stage_no") * 10 + F.col("variant_no")).alias("read_no"), "txt", "score"
+        *scope, "crop_id", "question_id", "stage", (F.col("stage_no") * 10 + F.col("variant_no")).alias("read_no"), "txt", "score"
     )
     return current.unionByName(variants)
 

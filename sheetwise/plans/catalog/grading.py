@@ -56,7 +56,7 @@ def _stage_summary(t):
     classified = g.classified.join(stats, "crop_id").withColumn(
         "mixed_print", mixed_print(c("protected_choice"), c("answer_excluded"), c("print_overlap"), c("largest_residual"))
     )
-    return lab.stage_summary(classified, rows, "duplicate")
+    return lab.stage_summary(classified, rows, "duplicate", _roi_buckets(t))
 
 
 def _roi_review(t):
@@ -118,6 +118,16 @@ def _top(t):
     return pol.top_hold_reasons(Graded(t).reviews("broad", "duplicate"))
 
 
+BUCKETS = """SELECT q.question_id, CAST(coalesce(n.n_cross, 0) AS BIGINT) AS n_cross, CASE WHEN q.question_id % 37 = 0 THEN '사용자 확인 특수 표시'
+ WHEN EXISTS (SELECT 1 FROM reasons r WHERE r.question_id = q.question_id AND r.rule = 'F06') THEN '4단계 · 사유10 답 후보 충돌'
+ WHEN p.comparison = '전사 일치' THEN '기존 채택 · 전사 일치' WHEN p.comparison = '전사 불일치' THEN '기존 채택 · 전사 불일치'
+ WHEN n.roi_question IS NULL THEN '답 위치의 조각 없음 · 추출 확인' WHEN n.n_passed > 0 THEN '답 위치 후보 있음 · 소속/통합 확인'
+ WHEN n.n_stages = 1 THEN n.one_stage || '단계에서 답 위치 조각 전부 중단' ELSE '답 위치 조각이 여러 단계에서 중단' END AS bucket
+FROM fx_questions q JOIN compared p ON p.question_id = q.question_id AND p.policy = 'duplicate'
+LEFT JOIN (SELECT roi_question, count(*) FILTER (WHERE question_id <> roi_question) AS n_cross, count(*) FILTER (WHERE stage = 0) AS n_passed,
+ count(DISTINCT stage) FILTER (WHERE stage > 0) AS n_stages, min(stage) FILTER (WHERE stage > 0) AS one_stage FROM near GROUP BY roi_question) n ON n.roi_question = q.question_id"""
+
+
 ENTRIES = {
     "question_review": (
         lambda t: review_view(Graded(t).reviews("none")),
@@ -175,7 +185,8 @@ FROM (SELECT *, CASE WHEN CAST(label_answer AS VARCHAR) = key_text THEN 'right'
     "stage_summary": (
         _stage_summary,
         check("""SELECT kind, name, count(*) AS n FROM (
-SELECT 'region' AS kind, reason AS name FROM classified UNION ALL SELECT 'region_stage', CAST(stage AS VARCHAR) FROM classified
+SELECT 'bucket' AS kind, bucket AS name FROM buckets UNION ALL SELECT 'total', 'crossed_question_cases' FROM buckets WHERE n_cross > 0
+UNION ALL SELECT 'region', reason FROM classified UNION ALL SELECT 'region_stage', CAST(stage AS VARCHAR) FROM classified
 UNION ALL SELECT 'total', 'recognised_on_stage1' FROM classified WHERE stage = 1 AND ocr_executed
 UNION ALL SELECT 'review', status FROM compared WHERE policy = 'duplicate'
 UNION ALL SELECT 'review_stage', coalesce(CAST(stage AS VARCHAR), 'None') FROM compared WHERE policy = 'duplicate'
@@ -187,7 +198,7 @@ UNION ALL SELECT 'rule', rule FROM (SELECT DISTINCT question_id, rule FROM reaso
 UNION ALL SELECT 'total', 'mixed_candidate_questions' FROM mixed
 UNION ALL SELECT 'total', 'mixed_candidate_errors' FROM mixed m JOIN compared r ON r.question_id = m.question_id WHERE r.policy = 'duplicate' AND r.comparison IN ('전사 불일치', '미확정 답 자동 확정 오류')) u
 GROUP BY kind, name""", {**X, "mixed": """SELECT DISTINCT c.question_id FROM classified c JOIN fx_stats s ON s.crop_id = c.crop_id
- WHERE c.stage = 0 AND NOT s.protected_choice AND NOT s.answer_excluded AND s.print_overlap >= CAST(0.2 AS DOUBLE) AND s.largest_residual > 12"""}),
+ WHERE c.stage = 0 AND NOT s.protected_choice AND NOT s.answer_excluded AND s.print_overlap >= CAST(0.2 AS DOUBLE) AND s.largest_residual > 12""", "buckets": BUCKETS}),
     ),
     "by_page": (
         lambda t: pol.status_by_page(Graded(t).reviews()).withColumn("page", F.coalesce("page", F.lit(-1))),
@@ -229,15 +240,5 @@ UNION ALL SELECT DISTINCT question_id, true FROM fx_corrections WHERE question_i
 FROM fx_questions q LEFT JOIN (SELECT roi_question, count(DISTINCT crop_id) AS n_crops, coalesce(string_agg(DISTINCT d, ',' ORDER BY d) FILTER (WHERE d <> '' AND regexp_full_match(txt, '[\\s①②③④⑤1-5,，().]+')), '') AS numbers
  FROM (SELECT roi_question, crop_id, txt, unnest(list_concat([''], string_split(regexp_replace(translate(txt, '①②③④⑤', '12345'), '[^1-5]', '', 'g'), ''))) AS d FROM near) u GROUP BY roi_question) n ON n.roi_question = q.question_id""", X),
     ),
-    "roi_buckets": (
-        _roi_buckets,
-        check("""SELECT q.question_id, CAST(coalesce(n.n_cross, 0) AS BIGINT) AS n_cross, CASE WHEN q.question_id % 37 = 0 THEN '사용자 확인 특수 표시'
- WHEN EXISTS (SELECT 1 FROM reasons r WHERE r.question_id = q.question_id AND r.rule = 'F06') THEN '4단계 · 사유10 답 후보 충돌'
- WHEN p.comparison = '전사 일치' THEN '기존 채택 · 전사 일치' WHEN p.comparison = '전사 불일치' THEN '기존 채택 · 전사 불일치'
- WHEN n.roi_question IS NULL THEN '답 위치의 조각 없음 · 추출 확인' WHEN n.n_passed > 0 THEN '답 위치 후보 있음 · 소속/통합 확인'
- WHEN n.n_stages = 1 THEN n.one_stage || '단계에서 답 위치 조각 전부 중단' ELSE '답 위치 조각이 여러 단계에서 중단' END AS bucket
-FROM fx_questions q JOIN compared p ON p.question_id = q.question_id AND p.policy = 'duplicate'
-LEFT JOIN (SELECT roi_question, count(*) FILTER (WHERE question_id <> roi_question) AS n_cross, count(*) FILTER (WHERE stage = 0) AS n_passed,
- count(DISTINCT stage) FILTER (WHERE stage > 0) AS n_stages, min(stage) FILTER (WHERE stage > 0) AS one_stage FROM near GROUP BY roi_question) n ON n.roi_question = q.question_id""", X),
-    ),
+    "roi_buckets": (_roi_buckets, check(BUCKETS, X)),
 }
