@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from sheetwise.functions.answers import single_mask
 from sheetwise.functions.geometry import Box, box, overlaps, strictly_inside
 from sheetwise.operators.review import (
-    BIT, BLOCK6, f08_blockers, fired_rules, join_question_facts, question_facts, reason_crops, settle, stage_of,
+    BIT, BLOCK6, f08_blockers, fired_rules, join_question_facts, question_facts, reason_crops, reasons_long,
+    settle, stage_of,
 )
 from sheetwise.operators.spatial import BOX
 
@@ -263,14 +264,22 @@ class Agreement:
 
     def trace(self) -> DataFrame:
         """(policy, question, phase, seq, code, rule, crop, method, cleared) for every
-        reason of the open cases, before and with the candidate."""
+        reason of the open cases, before and with the candidate: a row per crop behind
+        it, or one row without crop, never cleared, for a reason that no crop causes."""
         both = ["policy", *self.scope, "question_id"]
         cases = self.decided.filter("decision IS NULL").select(*both)
-        before = reason_crops(self.reviews.join(cases, both, "left_semi"), self.classified, self.blockers, self.scope)
-        after = reason_crops(self.trial.join(cases, both, "left_semi"), self.updated, self.trial_blockers, self.scope)
-        rows = before.withColumn("phase", F.lit("original")).unionByName(after.withColumn("phase", F.lit("candidate")))
+
+        def phase(name: str, reviews: DataFrame, crops: DataFrame, blockers: DataFrame) -> DataFrame:
+            own = reviews.join(cases, both, "left_semi")
+            reasons = reasons_long(own, self.scope).select(*both, "seq", "code", "rule")
+            behind = reason_crops(own, crops, blockers, self.scope).select(*both, "seq", "crop_id")
+            return reasons.join(behind, [*both, "seq"], "left").withColumn("phase", F.lit(name))
+
+        rows = phase("original", self.reviews, self.classified, self.blockers).unionByName(
+            phase("candidate", self.trial, self.updated, self.trial_blockers)
+        )
         method = clear_method(F.col("code"), F.col("rule"))
-        return rows.join(self.flags, [*self.scope, "question_id", "crop_id"]).select(
+        return rows.join(self.flags, [*self.scope, "question_id", "crop_id"], "left").select(
             *both, "phase", "seq", "code", "rule", "crop_id", method.alias("method"), method.isNotNull().alias("cleared")
         )
 

@@ -98,8 +98,11 @@ def suppress_near(points: DataFrame, group: Sequence[str], distance: int = 18) -
 
 
 def number_regions(regions: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
-    """Regions numbered from 1 per page by (top, left, bottom, right)."""
-    rows = ordinal(regions, [*scope, "page"], ["yt", "xl"], ["yb", "xr", "crop_id"], "number")
+    """Regions numbered from 1 per page by (top, left, bottom, right), equal ones by
+    crop. Pixels bound what a window over counts sees; equal boxes are split by
+    stretches of crop ids, so copies of one box are no single task."""
+    rows = regions.withColumn("_stretch", F.floor(F.col("crop_id") / 4096))
+    rows = ordinal(rows, [*scope, "page"], ["yt", "xl", "yb", "xr", "_stretch"], ["crop_id"], "number").drop("_stretch")
     return rows.withColumn("region_id", F.format_string("%d-ink%04d", "page", "number"))
 
 

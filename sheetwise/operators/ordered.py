@@ -40,11 +40,23 @@ def carry_forward(
 def ordinal(
     df: DataFrame, group: Sequence[str], bucket: Sequence[str], order: Sequence[str], out: str
 ) -> DataFrame:
-    """1-based place of each row of a group, ordered by ``bucket`` then ``order``."""
+    """1-based place of each row of a group, ordered by ``bucket`` then ``order``.
+
+    Bucket columns are levels: rows are counted by all of them, and the window of a
+    level sees one small row per value below one value of the level above. Rows
+    themselves are ordered within a value of the last level only.
+    """
     group, bucket = list(group), list(bucket)
     counts = df.groupBy(*group, *bucket).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*group).orderBy(*bucket).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*group, *bucket, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    offsets = None
+    for depth in range(len(bucket)):
+        above, here = [*group, *bucket[:depth]], [*group, *bucket[: depth + 1]]
+        before = Window.partitionBy(*above).orderBy(bucket[depth]).rowsBetween(Window.unboundedPreceding, -1)
+        level = counts.groupBy(*here).agg(F.sum("_n").alias("_n"))
+        start = level.select(*here, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+        if offsets is not None:
+            start = start.join(offsets, above).withColumn("_start", F.col("_start") + F.col("_offset")).drop("_offset")
+        offsets = start.withColumnRenamed("_start", "_offset")
     inside = Window.partitionBy(*group, *bucket).orderBy(*order)
     return (
         df.join(offsets, [*group, *bucket])

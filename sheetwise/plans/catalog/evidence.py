@@ -85,7 +85,7 @@ def _decide(t):
 
 
 def _trace(t):
-    return agreement_tables(t).trace().withColumn("method", F.coalesce("method", F.lit("")))
+    return agreement_tables(t).trace().withColumn("method", F.coalesce("method", F.lit(""))).withColumn("crop_id", F.coalesce("crop_id", F.lit(-1)))
 
 
 def _export(t):
@@ -147,7 +147,10 @@ UNION ALL SELECT policy, question_id, 'choice-mark-recommendation', '추천 ' ||
     ),
     "trace_reasons": (
         _trace,
-        check("SELECT policy, question_id, phase, seq, code, rule, crop_id, coalesce(method, '') AS method, method IS NOT NULL AS cleared FROM traced", X),
+        check("""SELECT policy, question_id, phase, seq, code, rule, crop_id, coalesce(method, '') AS method, method IS NOT NULL AS cleared FROM traced
+UNION ALL SELECT r.policy, r.question_id, phase, r.seq, r.code, r.rule, -1, '', false FROM (SELECT 'original' AS phase, policy, question_id, seq, code, rule FROM reasons UNION ALL SELECT 'candidate', policy, question_id, seq, code, rule FROM u_reasons) r
+ JOIN first_step f ON f.policy = r.policy AND f.question_id = r.question_id AND f.early IS NULL
+ WHERE NOT EXISTS (SELECT 1 FROM causes k WHERE k.phase = r.phase AND k.policy = r.policy AND k.question_id = r.question_id AND k.seq = r.seq)""", X),
     ),
     "agreement_export": (
         _export,

@@ -70,6 +70,18 @@ def test_ordinal_and_carry_match_plain_windows(spark):
             last = v if v is not None else last
 
 
+def test_numbers_of_equal_regions(spark):
+    """A third of all regions are copies of one box, far more than one window holds."""
+    rng = random.Random(37)
+    rows = [(1 if i % 3 else 2, 5, 5, 9, 9, i) if i % 3 < 2 else (1, rng.randrange(9), rng.randrange(9), 20 + rng.randrange(3), 30, i) for i in range(15_000)]
+    df = spark.createDataFrame(rows, "page int, yt int, xl int, yb int, xr int, crop_id bigint")
+    got = {r.crop_id: (r.page, r.number) for r in lo.number_regions(df).collect()}
+    want = {}
+    for page in (1, 2):
+        want.update({row[5]: (page, n) for n, row in enumerate(sorted(r for r in rows if r[0] == page), 1)})
+    assert got == want
+
+
 def test_exact_median(spark):
     rng = random.Random(9)
     rows = [(g, rng.choice([rng.random(), 0.5, 1.0])) for g in (1, 1, 1, 2) for _ in range(51 + g)]
