@@ -88,11 +88,25 @@ def _audit(t):
 EXPLAINED = "CASE question_id % 6 WHEN 0 THEN '② 설명' WHEN 1 THEN '①, ③ 해설' WHEN 2 THEN '①, ?' WHEN 3 THEN '2,5 해설' WHEN 4 THEN '④' ELSE '② → ③' END"
 
 
-def _numbered(t):
+NUMBERED = f"""SELECT 'compact' AS layout, set_id, c.page, n AS question, CASE WHEN k.key_text IS NULL OR c.question_id % 4 = 0 THEN 'text_review' ELSE 'numeric' END AS kind, trim(regexp_replace(body, '\\s+', ' ', 'g')) AS display,
+ CASE WHEN c.question_id % 4 = 0 THEN CASE WHEN c.answer_key LIKE '%:%' THEN k.key_text ELSE '' END ELSE coalesce(k.key_text, '') END AS answer FROM copies c JOIN keyed k ON k.question_id = c.question_id
+UNION ALL SELECT 'explained', set_id, page, n, CASE WHEN question_id % 6 IN (0, 1, 4) THEN 'numeric' ELSE 'review' END, CASE question_id % 6 WHEN 0 THEN '②' WHEN 1 THEN '①, ③' WHEN 4 THEN '④' ELSE {EXPLAINED} END,
+ CASE question_id % 6 WHEN 0 THEN '2' WHEN 1 THEN '1,3' WHEN 4 THEN '4' ELSE '' END FROM copies""".replace("CASE WHEN k.key_text IS NULL OR c.question_id % 4 = 0 THEN", "CASE WHEN k.key_text IS NULL OR (c.question_id % 4 = 0 AND c.answer_key NOT LIKE '%:%') THEN")
+
+
+def _numbered_rows(t):
     compact = ks.numbered_key(key_pages(t, False), "compact", "FOOTER-7").withColumn("layout", F.lit("compact"))
     line = F.concat(c("n").cast("string"), F.lit(" 번 - "), F.expr(EXPLAINED))
     explained = ks.numbered_key(key_pages(t, False, line), "explained", "FOOTER-7").withColumn("layout", F.lit("explained"))
-    return compact.unionByName(explained).select("layout", "set_id", "page", "question", "kind", "display", F.coalesce(answer_string(c("answer")), F.lit("")).alias("answer"))
+    return compact.unionByName(explained)
+
+
+def _numbered_summary(t):
+    return ks.numbered_key_summary(_numbered_rows(t), ("layout", "set_id"))
+
+
+def _numbered(t):
+    return _numbered_rows(t).select("layout", "set_id", "page", "question", "kind", "display", F.coalesce(answer_string(c("answer")), F.lit("")).alias("answer"))
 
 
 def _accept(t):
@@ -163,12 +177,12 @@ UNION ALL SELECT DISTINCT set_id, 'sequence', section FROM (SELECT *, row_number
 UNION ALL SELECT DISTINCT set_id || '-plain', 'no_heading', '' FROM copies UNION ALL SELECT DISTINCT set_id || '-scan', 'no_text', '' FROM copies""",
               {**X, "wanted": "SELECT set_id, set_id || '-p' || (1 + part_no % 2) || '-s' || part_no || '-q' || n AS id FROM entry WHERE question_id % 83 <> 0"}),
     ),
-    "numbered_key": (
-        _numbered,
-        check(f"""SELECT 'compact' AS layout, set_id, c.page, n AS question, CASE WHEN k.key_text IS NULL OR c.question_id % 4 = 0 THEN 'text_review' ELSE 'numeric' END AS kind, trim(regexp_replace(body, '\\s+', ' ', 'g')) AS display,
- CASE WHEN c.question_id % 4 = 0 THEN CASE WHEN c.answer_key LIKE '%:%' THEN k.key_text ELSE '' END ELSE coalesce(k.key_text, '') END AS answer FROM copies c JOIN keyed k ON k.question_id = c.question_id
-UNION ALL SELECT 'explained', set_id, page, n, CASE WHEN question_id % 6 IN (0, 1, 4) THEN 'numeric' ELSE 'review' END, CASE question_id % 6 WHEN 0 THEN '②' WHEN 1 THEN '①, ③' WHEN 4 THEN '④' ELSE {EXPLAINED} END,
- CASE question_id % 6 WHEN 0 THEN '2' WHEN 1 THEN '1,3' WHEN 4 THEN '4' ELSE '' END FROM copies""".replace("CASE WHEN k.key_text IS NULL OR c.question_id % 4 = 0 THEN", "CASE WHEN k.key_text IS NULL OR (c.question_id % 4 = 0 AND c.answer_key NOT LIKE '%:%') THEN"), X),
+    "numbered_key": (_numbered, check(NUMBERED, X)),
+    "numbered_summary": (
+        _numbered_summary,
+        check("""SELECT r.layout, r.set_id, s.sequential, count(*) FILTER (WHERE kind = 'numeric') AS numeric, count(*) FILTER (WHERE kind <> 'numeric') AS to_review, d.duplicates
+FROM numbered_rows r JOIN (SELECT set_id, bool_and(n = place) AS sequential FROM (SELECT set_id, n, row_number() OVER (PARTITION BY set_id ORDER BY page, slot, copy) AS place FROM copies) p GROUP BY set_id) s ON s.set_id = r.set_id
+JOIN (SELECT set_id, count(*) FILTER (WHERE k > 1) AS duplicates FROM (SELECT set_id, n, count(*) AS k FROM copies GROUP BY set_id, n) g GROUP BY set_id) d ON d.set_id = r.set_id GROUP BY r.layout, r.set_id, s.sequential, d.duplicates""", {**X, "numbered_rows": NUMBERED}),
     ),
     "carry_part": (
         _carry,
